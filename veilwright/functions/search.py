@@ -1,0 +1,26 @@
+"""Binary search in a sorted array column."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def count_below(values: Column, bound: Column, inclusive: bool) -> Column:
+    """How many entries of the ascending array lie below ``bound`` (or at it, if ``inclusive``)."""
+    size = F.size(values)
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int"))
+
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        entry = F.get(values, middle)
+        below = (entry <= bound) if inclusive else (entry < bound)
+        open_ = low < high
+        return F.struct(
+            F.when(open_ & below, middle + 1).otherwise(low).alias("low"),
+            F.when(open_ & ~below, middle).otherwise(high).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
+    return F.aggregate(rounds, start, halve, lambda state: state["low"])
