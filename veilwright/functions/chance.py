@@ -9,7 +9,7 @@ can undo hash noise, so it must stay secret in production.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -34,11 +34,6 @@ def hash_bits(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("bigint")
 
 
-def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times: a draw must not be repeated."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 @dataclass(frozen=True)
 class Chance:
     """A source of independent draws, told apart by name."""
@@ -67,8 +62,8 @@ class Chance:
         return (hash_bits(self._salted(name)) + F.lit(0.5)) / F.lit(SPREAD)
 
     def laplace(self, name: str, scale: float) -> Column:
-        shift = self.uniform(name) - 0.5
-        return bound_once(shift, lambda u: F.signum(u) * F.log(1 - 2 * F.abs(u)) * F.lit(-scale))
+        """The difference of two exponential draws: each uniform is used once, so none is repeated."""
+        return (F.log(self.uniform(f"{name}/minus")) - F.log(self.uniform(f"{name}/plus"))) * F.lit(scale)
 
     def gaussian(self, name: str, sd: float) -> Column:
         if self.kind == "random":

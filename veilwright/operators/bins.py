@@ -25,9 +25,20 @@ ADAPTIVE_MOST = 8
 OUTLIER_SDS = 3
 
 
-def _place(value: Column, ladder: Column) -> Column:
-    """The label of ``value``: as many labels are skipped as lower bounds are reached."""
-    return F.get(ladder["labels"], F.size(F.filter(ladder["bounds"], lambda bound: value >= bound)))
+def ladder_of(bounds: Column, labels: Column) -> Column:
+    """Bounds and labels of a ladder with one label more than bounds, as a struct for ``place``."""
+    return F.struct(bounds.alias("bounds"), F.reverse(labels).alias("labels"))
+
+
+def place(value: Column, ladder: Column) -> Column:
+    """The label of ``value``: as many labels are skipped as bounds are reached.
+
+    In descending order the value stands right behind the bounds it does not reach, so its
+    position picks from the reversed labels.  Written so that the scalar subquery behind
+    ``ladder`` is used twice only and everything stays in generated code.
+    """
+    unreached = F.array_position(F.sort_array(F.array_append(ladder["bounds"], value), asc=False), value) - 1
+    return F.get(ladder["labels"], unreached)
 
 
 def equal_width(df: DataFrame, name: str, null_bin: str = "null") -> Column:
@@ -66,9 +77,10 @@ def equal_width(df: DataFrame, name: str, null_bin: str = "null") -> Column:
     bounds = F.slice(F.transform(order, edge), F.lit(1), F.col("bins") - 1)
     missing = {"last": F.element_at(labels, -1), "first": F.element_at(labels, 1), "null": F.lit(None).cast("string")}
     ladder = found.select(
-        F.struct(bounds.alias("bounds"), labels.alias("labels"), missing[null_bin].alias("missing"))
+        F.struct(ladder_of(bounds, labels).alias("ladder"), missing[null_bin].alias("missing"))
     ).scalar()
-    return F.when(value.isNull(), ladder["missing"]).otherwise(_place(value, ladder))
+    placed = place(value, ladder["ladder"])
+    return placed if null_bin == "null" else F.coalesce(placed, ladder["missing"])
 
 
 def _limits(df: DataFrame, value: Column) -> Column:
@@ -120,9 +132,10 @@ def dates_equal(df: DataFrame, name: str, bins: int = EQUAL_DATE_BINS) -> Column
 
     order = F.sequence(F.lit(1), F.lit(bins))
     labels = F.transform(order, lambda i: F.concat(moment_text(edge(i - 1)), F.lit(" - "), moment_text(edge(i))))
-    # the top edge is a bound as well: what reaches it is past the last label
-    ladder = span.select(F.struct(F.transform(order, edge).alias("bounds"), labels.alias("labels"))).scalar()
-    return F.when(micros.isNull(), UNKNOWN).otherwise(_place(micros, ladder))
+    # the top edge is a bound as well, and what reaches it has no label
+    labels = F.array_append(labels, F.lit(None).cast("string"))
+    ladder = span.select(ladder_of(F.transform(order, edge), labels)).scalar()
+    return F.when(micros.isNull(), UNKNOWN).otherwise(place(micros, ladder))
 
 
 def dates_adaptive(df: DataFrame, name: str) -> Column:
@@ -158,14 +171,14 @@ def dates_adaptive(df: DataFrame, name: str) -> Column:
     order = F.sequence(F.lit(1), F.col("bins"))
     labels = F.transform(order, label)
     # every lower edge is a bound, so reaching none (a low outlier) leads to the label put in front
+    bounds = F.transform(order, lambda i: edge(i - 1))
     ladder = span.select(
         F.struct(
-            F.transform(order, lambda i: edge(i - 1)).alias("bounds"),
-            F.concat(F.array(F.element_at(labels, -1)), labels).alias("labels"),
+            ladder_of(bounds, F.concat(F.array(F.element_at(labels, -1)), labels)).alias("ladder"),
+            F.element_at(labels, 1).alias("missing"),
         )
     ).scalar()
-    at = F.floor(micros / 1_000_000)
-    return F.when(micros.isNull(), F.get(ladder["labels"], F.lit(1))).otherwise(_place(at, ladder))
+    return F.coalesce(place(F.floor(micros / 1_000_000), ladder["ladder"]), ladder["missing"])
 
 
 def general() -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwright.functions.chance import bound_once
 from veilwright.functions.search import count_below
 from veilwright.operators.classes import class_shares, count_profile, global_shares
 
@@ -81,7 +80,9 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
             _area_below(steps, F.col("stop")).alias("stop"),
         )
 
-    flat = flat.withColumn("area", bound_once(_share_steps(base, sensitive), measure))
+    # used once, so the optimizer puts the constant where it is needed: rows do not carry it
+    flat = flat.withColumn("steps", _share_steps(base, sensitive))
+    flat = flat.withColumn("area", F.get(F.transform(F.array("steps"), measure), F.lit(0)))
     cross, area = F.col("area.cross"), F.col("area")
     before = F.col("level") * (cross - F.col("start")) - (area["at_cross"] - area["start"])
     after = (area["stop"] - area["at_cross"]) - F.col("level") * (F.col("stop") - cross)

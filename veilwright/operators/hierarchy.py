@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.chance import bound_once
 from veilwright.functions.text import whole_text
 from veilwright.functions.values import as_number, is_number
+from veilwright.operators.bins import ladder_of, place
 from veilwright.operators.categories import value_text
 from veilwright.spec import STAR
 from veilwright.streaming import require_batch
@@ -25,21 +25,25 @@ def numeric_levels(df: DataFrame, name: str, levels: int = NUMERIC_LEVELS, widen
     """
     require_batch(df, "a hierarchy over the column's range")
     value = as_number(df, name).cast("double")
-    limits = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
-
-    def labels(limits: Column) -> Column:
-        def interval(parts: int) -> Column:
-            step = (limits["high"] - limits["low"]) / parts
-            index = F.least(F.lit(parts - 1), F.floor((value - limits["low"]) / F.nullif(step, F.lit(0.0))))
-            low = limits["low"] + step * index
-            text = F.concat(whole_text(low), F.lit("-"), whole_text(low + step - 1))
+    span = df.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+    def ladder(parts: int) -> Column:
+        step = (F.col("high") - F.col("low")) / parts
+
+        def label(i: Column) -> Column:
+            start = F.col("low") + step * (i - 1)
             # a constant column has no width: its only interval is the value itself
-            return F.coalesce(text, F.concat(whole_text(value), F.lit("-"), whole_text(value)))
+            end = F.when(step > 0, start + step - 1).otherwise(start)
+            return F.concat(whole_text(start), F.lit("-"), whole_text(end))
 
-        middle = [interval(levels - i if widening else levels) for i in range(levels)]
-        return F.array(whole_text(value), *middle, F.lit(STAR))
+        order = F.sequence(F.lit(1), F.when(step > 0, parts).otherwise(1))
+        bounds = F.transform(order, lambda i: F.col("low") + step * i)
+        return ladder_of(F.slice(bounds, F.lit(1), F.size(order) - 1), F.transform(order, label))
 
-    return bound_once(limits, labels)
+    parts = [levels - i if widening else levels for i in range(levels)]
+    ladders = span.select(F.struct(*[ladder(p).alias(f"level_{i}") for i, p in enumerate(parts)])).scalar()
+    middle = [place(value, ladders[f"level_{i}"]) for i in range(levels)]
+    return F.array(whole_text(value), *middle, F.lit(STAR))
 
 
 def categorical_levels(df: DataFrame, name: str) -> Column:

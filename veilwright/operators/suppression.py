@@ -29,13 +29,17 @@ def _renamed(classes: DataFrame, qis: Sequence[str]) -> DataFrame:
     return classes.select(*[F.col(f"`{q}`").alias(f"__class_{i}") for i, q in enumerate(qis)])
 
 
-def _same_class(qis: Sequence[str]) -> Column:
-    return all_of([F.col(f"`{q}`") == F.col(f"__class_{i}") for i, q in enumerate(qis)])
+def _same_class(qis: Sequence[str], null_safe: bool = False) -> Column:
+    pairs = [(F.col(f"`{q}`"), F.col(f"__class_{i}")) for i, q in enumerate(qis)]
+    return all_of([a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
 
 
-def drop_classes(rows: DataFrame, classes: DataFrame, qis: Sequence[str]) -> DataFrame:
-    """Remove every row of the listed classes.  Rows with a NULL quasi-identifier stay."""
-    return rows.join(_renamed(classes, qis), _same_class(qis), "left_anti")
+def drop_classes(rows: DataFrame, classes: DataFrame, qis: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """Remove every row of the listed classes.
+
+    Rows with a NULL quasi-identifier stay, unless ``null_safe`` takes NULL for a value.
+    """
+    return rows.join(_renamed(classes, qis), _same_class(qis, null_safe), "left_anti")
 
 
 def rows_of(rows: DataFrame, classes: DataFrame, qis: Sequence[str]) -> DataFrame:

@@ -8,7 +8,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.operators.classes import class_sizes
 from veilwright.operators.hierarchy import levels_of
 from veilwright.operators.suppression import drop_classes
 from veilwright.spec import check_columns, check_fraction
@@ -67,4 +66,5 @@ def full_domain(
             for c in df.columns
         ]
     )
-    return drop_classes(rows, class_sizes(rows, qis).filter(F.col("class_size") < k), qis)
+    small = rows.groupBy(*qis).agg(F.count(F.lit(1)).alias("class_size")).filter(F.col("class_size") < k)
+    return drop_classes(rows, small, qis, null_safe=True)

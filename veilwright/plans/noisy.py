@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.functions.chance import Chance, bound_once, gaussian_sd, keyed_hash
+from veilwright.functions.chance import Chance, gaussian_sd, keyed_hash
 from veilwright.functions.ladders import date_ladder, number_ladder
 from veilwright.functions.masks import mask_constant, mask_prefix, mask_tail
 from veilwright.functions.values import as_moment, as_number, epoch_day, is_number, number_as_read
@@ -72,21 +72,16 @@ def _layered_column(df: DataFrame, name: str, rule: Rule, scale: float, chance:
     return None
 
 
-def budget_rebin(
-    df: DataFrame, name: str, sd: float, threshold: float, chance: Chance
-) -> Column:
+def budget_rebin(df: DataFrame, name: str, noise: Column, threshold: float) -> Column:
     """Decade of the noisy number; a draw smaller than ``threshold`` shows as a star.
 
     The decades span the true values, so a noisy number outside of them becomes NULL.
+    ``noise`` is a column of the table: a draw written out here would be repeated.
     """
     value = as_number(df, name).cast("double")
     limits = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
-
-    def label(noise: Column) -> Column:
-        return F.when(F.abs(noise) < threshold, STAR).otherwise(decade_label(value + noise, limits))
-
-    drawn = bound_once(chance.gaussian(name, sd), label)
-    return F.when(value.isNotNull(), drawn)
+    label = F.when(F.abs(noise) < threshold, STAR).otherwise(decade_label(value + noise, limits))
+    return F.when(value.isNotNull(), label)
 
 
 def randomized_response(df: DataFrame, name: str, probability: float, chance: Chance) -> DataFrame:
@@ -169,6 +164,7 @@ def differential_privacy(
         gaussian_sd(epsilon, DEFAULT_DELTA)
     )
     rewritten: dict[str, Column] = {}
+    drawn: dict[str, Column] = {}
     numbered: list[tuple[str, str]] = []
     answered: list[str] = []
     for name in qis:
@@ -182,7 +178,8 @@ def differential_privacy(
             value = _layered_column(df, name, rule, scale, chance, compat)
         elif variant == "budgeted_gaussian":
             if method == "ordering" and is_number(df, name):
-                value = budget_rebin(df, name, sd, threshold, chance)
+                drawn[f"__noise_{len(drawn)}"] = chance.gaussian(name, sd)
+                value = budget_rebin(df, name, F.col(list(drawn)[-1]), threshold)
             elif method == "dates":
                 value = quarter(df, name)
             elif method == "masking":
@@ -208,7 +205,7 @@ def differential_privacy(
             if rule is not None and rule.spelled == "category":
                 check_columns(df.columns, [name], "sensitive")
                 numbered = [(n, p) for n, p in numbered if n != name] + [(name, "sensitive_type")]
-    out = df
+    out = df.withColumns(drawn) if drawn else df
     for name, prefix in numbered:
         if order_col is None:
             raise ValueError(f"rule 'category' of column {name!r} needs order_col to count types by")
@@ -217,7 +214,7 @@ def differential_privacy(
         out = randomized_response(out, name, response_probability(epsilon), chance)
     out = out.select(*[rewritten[c].alias(c) if c in rewritten else F.col(f"`{c}`") for c in df.columns])
     if variant == "budgeted_gaussian":
-        return star_sync(out, [q for q in qis])
+        return star_sync(out, qis)
     if variant in ("layered", "laplace_response", "layered_typed"):
         out = null_cells(out, threshold, chance)
     return drop_null_rows(out) if variant in ("laplace_response", "layered_typed") else out
