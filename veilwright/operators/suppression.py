@@ -145,7 +145,8 @@ def drop_share(
     listed = rows_of(hashed, classes, qis)
     cut = hash_cut(listed.select(HASH), fraction, unique=bool(key))
     limits = _renamed(classes, qis).withColumn("__limit", cut.select("hash").scalar())
-    gone = _same_class(qis) & (F.col(HASH) <= F.col("__limit"))
+    # coalesce keeps the optimizer from deriving "limit is not null", a second copy of the subquery
+    gone = _same_class(qis) & F.coalesce(F.col(HASH) <= F.col("__limit"), F.lit(False))
     kept = hashed.join(limits, gone, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
     return kept if key else kept.unionByName(_copies(listed, cut, columns))
 
