@@ -165,7 +165,8 @@ def share_distance_ctes(rows: str, base: str, qis, value: str, base_value: str |
 )
 def class_share_distance(spark, sf_dir):
     df = gen_orders(spark, sf_dir)
-    return rounded(class_distance(df, orders(spark, sf_dir), ORDER_QIS, "o_orderstatus"), "distance")
+    far = class_distance(df, orders(spark, sf_dir), ORDER_QIS, "o_orderstatus")
+    return rounded(far.select(*ORDER_QIS, "distance"), "distance")
 
 
 @query(
@@ -176,7 +177,7 @@ def class_share_distance_many(spark, sf_dir):
     """Many sensitive values: one per customer."""
     df = gen_orders(spark, sf_dir)
     qis = ["o_orderpriority", "o_orderdate"]
-    return rounded(class_distance(df, orders(spark, sf_dir), qis, "o_custkey"), "distance")
+    return rounded(class_distance(df, orders(spark, sf_dir), qis, "o_custkey").select(*qis, "distance"), "distance")
 
 
 def aligned_ctes(rows: str, base: str, qis, value: str) -> str:

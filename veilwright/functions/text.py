@@ -20,10 +20,9 @@ def number_text(value: Column) -> Column:
     plain = F.regexp_replace(number.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
     power = F.regexp_replace(number.cast("string"), r"(\.0)?E(-?)", "e$2")
     power = F.regexp_replace(F.regexp_replace(power, r"e(\d)", "e+$1"), r"e([+-])(\d)$", "e$10$2")
+    shown = number.cast("string")
     return (
-        F.when(size.between(1e-3, 9_999_999) | (number == 0), number.cast("string"))
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(power)
+        F.when(~shown.contains("E"), shown).when((size >= 1e-4) & (size < 1e16), plain).otherwise(power)
     )
 
 
@@ -52,3 +51,9 @@ def moment_text(micros: Column) -> Column:
         F.concat(F.lit("."), F.lpad(fraction.cast("bigint").cast("string"), 6, "0"))
     )
     return F.concat(day_text(micros), F.lit(" "), clock, tail)
+
+
+def timestamp_text(moment: Column) -> Column:
+    """The same text, of a zone-free timestamp."""
+    text = moment.cast("string")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)

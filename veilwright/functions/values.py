@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwright.functions.text import number_text
+
 # Text forms of a date tried after the ISO forms.
 DATE_FORMATS = ("yyyy/M/d", "yyyy-M-d")
 
@@ -32,14 +34,29 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def number_or_nan(df: DataFrame, name: str) -> Column:
+    """As ``as_number``, but NaN stays: enough for range tests, which NaN never passes."""
+    if isinstance(df.schema[name].dataType, FRACTIONAL):
+        return F.col(f"`{name}`").cast("double")
+    return as_number(df, name)
+
+
+def number_known(df: DataFrame, name: str) -> Column:
+    """Whether ``as_number`` gives a number, in a form whose NULL test reaches the scan."""
+    column = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, FRACTIONAL):
+        return column.isNotNull() & ~F.isnan(column.cast("double"))
+    return as_number(df, name).isNotNull()
+
+
 def number_as_read(df: DataFrame, name: str) -> Column:
     """The text a number keeps when no label replaces it."""
-    from veilwright.functions.text import number_text
-
     kind = df.schema[name].dataType
     column = F.col(f"`{name}`")
     if isinstance(kind, T.IntegralType):
         return column.cast("string")
+    if isinstance(kind, FRACTIONAL):
+        return F.when(~F.isnan(column), number_text(column))
     text = number_text(as_number(df, name))
     if isinstance(kind, T.StringType):
         return F.when(column.rlike(r"^\s*[+-]?\d{1,18}\s*$"), column.try_cast("bigint").cast("string")).otherwise(text)

@@ -103,6 +103,16 @@ def global_shares(df: DataFrame, sensitive: str) -> DataFrame:
 
 
 def count_profile(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
-    """(class, ``n``, ``values``): how many known sensitive values occur ``n`` times in the class."""
-    counted = value_counts(df, qis, [sensitive]).filter(F.col(f"`{sensitive}`").isNotNull())
-    return counted.groupBy(*qis, "n").agg(F.count(F.lit(1)).alias("values"))
+    """(class, ``n``, ``values``, ``unknown``): how many known sensitive values occur ``n`` times.
+
+    The rows with an unknown value are counted in ``unknown``, on a row of their own with
+    NULL for ``n`` and no values.
+    """
+    known = F.col(f"`{sensitive}`").isNotNull()
+    counted = value_counts(df, qis, [sensitive]).select(
+        *qis,
+        F.when(known, F.col("n")).alias("n"),
+        F.when(known, 1).otherwise(0).alias("one"),
+        F.when(known, 0).otherwise(F.col("n")).alias("unknown"),
+    )
+    return counted.groupBy(*qis, "n").agg(F.sum("one").alias("values"), F.sum("unknown").alias("unknown"))

@@ -48,7 +48,7 @@ def _area_below(steps: Column, at: Column) -> Column:
 
 
 def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
-    """(class, ``distance``): Wasserstein-1 distance of the two *samples of shares*.
+    """(class, ``distance``, ``class_size``, ``nulls``): Wasserstein-1 distance of two *samples of shares*.
 
     The shares of the values in the class and the shares of the values in ``base`` are each
     taken as a sample of numbers in [0, 1]; values are not aligned.  The distance is the area
@@ -57,7 +57,7 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
     and the one point where the global function crosses that level.  No pairing of classes
     with global values is needed: each class step costs a few binary searches.
     """
-    mine = Window.partitionBy(*qis).orderBy("n")
+    mine = Window.partitionBy(*qis).orderBy(F.col("n").asc_nulls_first())
     upto = mine.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     profile = count_profile(df, qis, sensitive).withColumn("rows", F.col("n") * F.col("values"))
@@ -66,8 +66,10 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
         (F.col("n") / F.sum("rows").over(whole)).alias("start"),
         F.coalesce(F.lead("n").over(mine) / F.sum("rows").over(whole), F.lit(1.0)).alias("stop"),
         (F.sum("values").over(upto) / F.sum("values").over(whole)).alias("level"),
-        F.row_number().over(mine).alias("step"),
-    )
+        F.lag("n").over(mine).isNull().alias("lowest"),
+        F.sum("rows").over(whole).alias("known_rows"),
+        F.sum("unknown").over(whole).alias("nulls"),
+    ).filter(F.col("start").isNotNull())
 
     def measure(steps: Column) -> Column:
         # the share at which the global function reaches the level of this flat piece
@@ -86,8 +88,12 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
     cross, area = F.col("area.cross"), F.col("area")
     before = F.col("level") * (cross - F.col("start")) - (area["at_cross"] - area["start"])
     after = (area["stop"] - area["at_cross"]) - F.col("level") * (F.col("stop") - cross)
-    lead_in = F.when(F.col("step") == 1, area["start"]).otherwise(0.0)
-    return flat.groupBy(*qis).agg(F.sum(lead_in + before + after).alias("distance"))
+    lead_in = F.when(F.col("lowest"), area["start"]).otherwise(0.0)
+    return flat.groupBy(*qis).agg(
+        F.sum(lead_in + before + after).alias("distance"),
+        F.first(F.col("known_rows") + F.col("nulls")).alias("class_size"),
+        F.first("nulls").alias("nulls"),
+    )
 
 
 def _aligned(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:

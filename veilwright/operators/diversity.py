@@ -22,7 +22,7 @@ def diversity_measures(df: DataFrame, qis: Sequence[str], sensitive: str, l: int
     largest_first = Window.partitionBy(*qis).orderBy(F.col("n").desc())
     upto = largest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = largest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    profile = count_profile(df, qis, sensitive).select(
+    profile = count_profile(df, qis, sensitive).filter("n IS NOT NULL").select(
         *qis,
         "n",
         "values",

@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from veilwright.functions.ladders import date_ladder, number_ladder
 from veilwright.functions.masks import mask_constant, mask_prefix, mask_tail
-from veilwright.functions.text import moment_text
-from veilwright.functions.values import as_moment, as_number, is_number, number_as_read, wall_micros
+from veilwright.functions.text import timestamp_text
+from veilwright.functions.values import as_moment, is_number, number_as_read, number_known, number_or_nan
 from veilwright.operators.bins import dates_adaptive, dates_equal, equal_width, general, year
 from veilwright.operators.categories import category, typed, value_text
+from veilwright.operators.classes import all_of
 from veilwright.spec import DEFAULT_MASK, Rule, check_columns
 
 
 def ordering(df: DataFrame, name: str, rule: Rule) -> Column:
     """Numeric layers; a number outside of all of them keeps its own text."""
-    return number_ladder(as_number(df, name), rule.number_layers, number_as_read(df, name))
+    return number_ladder(number_or_nan(df, name), rule.number_layers, number_as_read(df, name))
 
 
 def dates(df: DataFrame, name: str, rule: Rule) -> Column:
     """Date layers; a moment outside of all of them keeps its own text."""
     moment = as_moment(df, name)
-    return date_ladder(moment, rule.date_layers, moment_text(wall_micros(moment)))
+    return date_ladder(moment, rule.date_layers, timestamp_text(moment))
 
 
 def masking(df: DataFrame, name: str, rule: Rule) -> Column:
@@ -46,6 +47,30 @@ def generalize(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     return df.select(*[rewritten[c].alias(c) if c in rewritten else F.col(f"`{c}`") for c in df.columns])
 
 
+def generalize_known(df: DataFrame, qis: Sequence[str], rules: Mapping[str, Rule]) -> DataFrame:
+    """Generalise and keep the rows whose quasi-identifiers are all known afterwards.
+
+    Whether a label will be NULL shows in the raw column already, so the filter is put on
+    that: it is cheap and reaches the scan.  The labels then count as never NULL, which spares
+    the optimizer from guarding every later join with a null test on the whole label.
+    """
+    check_columns(df.columns, [*rules, *qis], "rule or quasi-identifier")
+    tests = []
+    for q in qis:
+        method = rules[q].method if q in rules else ""
+        if method == "ordering":
+            tests.append(number_known(df, q))
+        elif method == "dates":
+            tests.append(as_moment(df, q).isNotNull())
+        elif method != "masking":
+            tests.append(F.col(f"`{q}`").isNotNull())
+    rows = generalize(df.filter(all_of(tests)) if tests else df, rules)
+    labels = {q for q in qis if q in rules and rules[q].method in LAYERED}
+    return rows.select(
+        *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in labels else F.col(f"`{c}`") for c in rows.columns]
+    )
+
+
 # How flat rules differ between the generations of the rule language: where NULL numbers go,
 # how text is masked and what a date becomes.
 STYLES = {

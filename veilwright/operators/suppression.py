@@ -2,9 +2,10 @@
 
 The central operator, ``drop_share``, deletes exactly ``floor(count * fraction)`` of the rows
 of some classes.  Ranking those rows would sort them in one task.  Instead every row gets a
-hash, and only the hash *at* the cut is looked for: a histogram over the first four hex
-digits (at most 65,536 rows whatever the table holds) names the bucket of the cut, and a
-second look into that one bucket names the hash.  Rows are then kept or dropped by comparing
+hash, and only the hash *at* the cut is looked for: a histogram over the first five hex
+digits (at most 2^20 rows whatever the table holds) names the bucket of the cut, and a second
+look into that one bucket names the hash.  A bucket holds a 2^20th of the different hashes: a
+million out of a trillion rows.  Rows are then kept or dropped by comparing
 with one constant inside the anti-join that finds the classes, so row payloads are never
 sorted, and never shuffled when the list of classes is small enough for AQE to broadcast.
 """
@@ -23,6 +24,7 @@ from veilwright.streaming import require_batch
 
 HASH = "__hash"
 BLOCK_ROWS = 65_536
+BUCKET_DIGITS = 5
 
 
 def _renamed(classes: DataFrame, qis: Sequence[str]) -> DataFrame:
@@ -47,13 +49,16 @@ def rows_of(rows: DataFrame, classes: DataFrame, qis: Sequence[str]) -> DataFram
     return rows.join(_renamed(classes, qis), _same_class(qis), "left_semi")
 
 
-def _running(counts: DataFrame, by: str, within: str | None = None) -> DataFrame:
-    """Add ``upto`` (running sum of ``n``) and ``total`` in the order of ``by``."""
-    frame = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(by)
+def _running(counts: DataFrame, by: str) -> DataFrame:
+    """Add ``upto`` (running sum of ``n``) and ``total`` in the order of ``by``.
+
+    Ordered in one task: only for counts of bounded number.
+    """
+    order = Window.orderBy(by)
     return counts.withColumns(
         {
-            "upto": F.sum("n").over(frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "total": F.sum("n").over(frame.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "total": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }
     )
 
@@ -67,30 +72,25 @@ def hash_cut(hashes: DataFrame, fraction: float, unique: bool) -> DataFrame:
     """
     # floor in double arithmetic: 100 * 0.29 leaves 28, as it does in the float type
     quota = F.floor(F.col("total") * F.lit(float(fraction)))
-    bucketed = hashes.withColumn("bucket", F.substring(HASH, 1, 4))
-    buckets = _running(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    bucketed = hashes.withColumn("bucket", F.substring(HASH, 1, BUCKET_DIGITS))
     edge = (
-        buckets.withColumn("rest", quota - (F.col("upto") - F.col("n")))
+        _running(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+        .withColumn("rest", quota - (F.col("upto") - F.col("n")))
         .filter((F.col("rest") > 0) & (F.col("rest") <= F.col("n")))
         .agg(F.first("bucket").alias("bucket"), F.first("rest").alias("rest"))
     )
-    # Inside the bucket of the cut (one row, hence the broadcast): copies of one hash are
-    # counted first, then sub-buckets of four more digits are ordered in parallel, and their
-    # at most 65,536 totals put them in line.
-    inside = (
-        bucketed.join(F.broadcast(edge), "bucket")
-        .groupBy(HASH, "rest")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("cell", F.substring(HASH, 5, 4))
+    # one row, hence the broadcast; copies of one hash are counted before they are ordered
+    inside = bucketed.join(F.broadcast(edge), "bucket").groupBy(HASH, "rest").agg(F.count(F.lit(1)).alias("n"))
+    at_cut = (
+        _running(inside, HASH)
+        .withColumn("spare", F.col("upto") - F.col("rest"))
+        .filter((F.col("spare") >= 0) & (F.col("spare") < F.col("n")))
     )
-    cells = _running(inside.groupBy("cell").agg(F.sum("n").alias("n")), "cell")
-    cells = cells.select("cell", (F.col("upto") - F.col("n")).alias("before"))
-    lined = _running(inside, HASH, within="cell").join(cells, "cell")
-    spare = F.col("before") + F.col("upto") - F.col("rest")
-    at_cut = lined.withColumn("spare", spare).filter((F.col("spare") >= 0) & (F.col("spare") < F.col("n")))
     if unique:
         clash = F.raise_error(F.lit("key columns do not identify rows: the cut falls on a repeated key"))
         at_cut = at_cut.withColumn("spare", F.when(F.col("spare") > 0, clash.cast("bigint")).otherwise(F.lit(0)))
+        # the check must not be pruned away with the column it fills
+        at_cut = at_cut.filter(F.col("spare") == 0)
     return at_cut.agg(F.first(HASH).alias("hash"), F.first("spare").alias("spare"))
 
 

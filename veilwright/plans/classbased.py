@@ -19,7 +19,7 @@ from veilwright.operators.categories import map_values
 from veilwright.operators.classes import class_sizes, class_stats, with_known_qis, without_masked
 from veilwright.operators.distance import class_distance
 from veilwright.operators.diversity import diversity_measures
-from veilwright.operators.generalize import generalize, generalize_auto
+from veilwright.operators.generalize import generalize, generalize_auto, generalize_known
 from veilwright.operators.lineage import cut_lineage
 from veilwright.operators.suppression import (
     drop_classes,
@@ -62,7 +62,7 @@ def k_anonymity(
     strict: bool = False,
 ) -> DataFrame:
     """Delete ``threshold`` of the rows in classes smaller than ``k``."""
-    rows = with_known_qis(generalize(df, rules or {}), qis)
+    rows = generalize_known(df, qis, rules or {})
     small = class_sizes(rows, qis).filter(F.col("class_size") < k)
     return drop_share(rows, small, qis, 1.0 if strict else threshold, key, seed)
 
@@ -120,9 +120,11 @@ def distant_classes(
     df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str, t: float, distance: str = "shares"
 ) -> DataFrame:
     """Classes farther than ``t`` from ``base``; those with an unknown value or one row are exempt."""
+    far = class_distance(df, base, qis, sensitive, distance).filter(F.col("distance") > t)
+    if distance == "shares":  # comes with what the exemption needs
+        return far.filter((F.col("nulls") == 0) & (F.col("class_size") >= 2))
     stats = class_stats(df, qis, [sensitive])
     judged = stats.filter((F.col("nulls") == 0) & (F.col("class_size") >= 2))
-    far = class_distance(df, base, qis, sensitive, distance).filter(F.col("distance") > t)
     return far.join(judged.select(*qis), on=list(qis), how="left_semi")
 
 

@@ -28,7 +28,7 @@ def privacy_report(
     stats = class_stats(df, qis, [sensitive])
     keys = list(qis)
     report = stats.join(
-        share_distance(df, base, qis, sensitive).withColumnRenamed("distance", "share_distance"), keys, "left"
+        share_distance(df, base, qis, sensitive).select(*keys, F.col("distance").alias("share_distance")), keys, "left"
     ).join(kl_divergence(df, base, qis, sensitive).withColumnRenamed("distance", "kl_divergence"), keys, "left")
     flags = {}
     if k is not None:
