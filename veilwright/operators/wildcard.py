@@ -52,7 +52,7 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
 
         def project(table: DataFrame) -> DataFrame:
             ranked = table.withColumn("__rank", F.explode(ranks))
-            mask = F.element_at(masks, F.col("__rank"))
+            mask = F.get(masks, F.col("__rank") - 1)
             kept = {
                 name: F.when(mask.bitwiseAND(1 << i) != 0, F.col(f"`{q}`"))
                 for i, (name, q) in enumerate(zip(kept_names, qis, strict=True))
@@ -73,7 +73,7 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
         best = best.select(*[F.col(f"`{q}`").alias(f"__best_{i}") for i, q in enumerate(qis)], "__rank")
         same = all_of([F.col(f"`{q}`").eqNullSafe(F.col(f"__best_{i}")) for i, q in enumerate(qis)])
         picks = picks.join(best, same, "left").withColumn(
-            "__mask", F.coalesce(F.element_at(masks, F.col("__rank")), F.lit(0))
+            "__mask", F.when(F.col("__rank").isNull(), 0).otherwise(F.get(masks, F.col("__rank") - 1))
         )
     else:
         picks = picks.withColumn("__mask", F.lit(0))
