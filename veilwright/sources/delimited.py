@@ -43,7 +43,7 @@ def _infer(raw: DataFrame) -> T.StructType:
     for i, name in enumerate(raw.columns):
         for kind, shape in shapes.items():
             fits = F.col(f"`{name}`").rlike(shape) & F.col(f"`{name}`").try_cast(kind).isNotNull()
-            tests.append(F.min(fits).alias(f"{i}/{kind}"))
+            tests.append(F.min(F.when(F.col(f"`{name}`").isNotNull(), fits)).alias(f"{i}/{kind}"))
     fit = raw.agg(*tests).first()
     picked = []
     for i, name in enumerate(raw.columns):
