@@ -89,15 +89,18 @@ def test_layered_unknown_cells(spark):
     assert rows(compat) == [(1, "NaT", None, "Unknown", "***")]
 
 
-def test_layers_come_after_the_noise(spark):
+@pytest.mark.parametrize("chance", KINDS, ids=["random", "hash"])
+def test_layers_come_after_the_noise(spark, chance):
     df = spark.range(2000).select("id", F.lit("2000-06-30").alias("d"))
     rules = parse_rules({"d": {"method": "dates", "layers": [{"min": "2000-06-30", "max": "2000-06-30"}]}})
-    out = differential_privacy(df, ["d"], 0.01, rules, budget=10.0, chance=Chance("hash", 1, ("id",)))
+    out = differential_privacy(df, ["d"], 0.01, rules, budget=10.0, chance=chance)
     texts = [r.d for r in out.collect()]
     labelled = texts.count("2000-06-30 - 2000-06-30")
     # scale 10: the draw stays within [0, 1) with probability (1 - exp(-0.1)) / 2
     assert abs(labelled / 2000 - (1 - math.exp(-0.1)) / 2) < 0.02
     assert all(len(t) in (10, 23) for t in texts) and len(set(texts)) > 20
+    # label and text come from one draw: a day inside the layer never shows as itself
+    assert "2000-06-30" not in texts
 
 
 def test_text_numbers_are_left_alone(spark):

@@ -46,21 +46,24 @@ def percent_split(epsilon: float, budget: float, columns: int) -> float:
     return epsilon * (budget / 100) / columns
 
 
-def noisy_day(df: DataFrame, name: str, noise: Column) -> Column:
-    """The date moved by ``noise`` days, as text; an unknown date gives its fixed text."""
-    moved = F.floor(epoch_day(as_moment(df, name)) + noise)
-    return F.coalesce(F.date_from_unix_date(moved.cast("int")).cast("string"), F.lit(NOT_A_DATE))
+def moved_date(df: DataFrame, name: str, noise: Column) -> Column:
+    """The date moved by ``noise`` days and rounded down to a day."""
+    return F.date_from_unix_date(F.floor(epoch_day(as_moment(df, name)) + noise).cast("int"))
 
 
-def _relabelled(day: Column, rule: Rule) -> Column:
-    return date_ladder(day.try_cast("timestamp_ntz"), rule.date_layers, day)
+def date_text(date: Column) -> Column:
+    """A date as text; an unknown date gives its fixed text."""
+    return F.coalesce(date.cast("string"), F.lit(NOT_A_DATE))
 
 
-def _layered_column(df: DataFrame, name: str, rule: Rule, scale: float, chance: Chance, compat: bool) -> Column | None:
-    """The layered model's rewrite of one column; ``None`` leaves it alone."""
+def _layered_column(df: DataFrame, name: str, rule: Rule, moved: Column, compat: bool) -> Column | None:
+    """The layered model's rewrite of one column; ``None`` leaves it alone.
+
+    ``moved`` is the column with the noisy date, already drawn: it is looked at several times.
+    """
     method = rule.spelled
     if method == "dates":
-        return _relabelled(noisy_day(df, name, chance.laplace(name, scale)), rule)
+        return date_ladder(moved.cast("timestamp_ntz"), rule.date_layers, date_text(moved))
     if method == "ordering" and is_number(df, name):
         return number_ladder(as_number(df, name), rule.number_layers, number_as_read(df, name))
     if method == "category":
@@ -175,11 +178,15 @@ def differential_privacy(
         if variant == "layered_typed" and method == "category":
             numbered.append((name, "type"))
         elif variant in ("layered", "layered_typed"):
-            value = _layered_column(df, name, rule, scale, chance, compat)
+            moved = f"__moved_{len(drawn)}"
+            if method == "dates":
+                drawn[moved] = moved_date(df, name, chance.laplace(name, scale))
+            value = _layered_column(df, name, rule, F.col(moved), compat)
         elif variant == "budgeted_gaussian":
             if method == "ordering" and is_number(df, name):
-                drawn[f"__noise_{len(drawn)}"] = chance.gaussian(name, sd)
-                value = budget_rebin(df, name, F.col(list(drawn)[-1]), threshold)
+                noise = f"__noise_{len(drawn)}"
+                drawn[noise] = chance.gaussian(name, sd)
+                value = budget_rebin(df, name, F.col(noise), threshold)
             elif method == "dates":
                 value = quarter(df, name)
             elif method == "masking":
@@ -187,7 +194,7 @@ def differential_privacy(
         else:
             draw = (lambda n: chance.gaussian(n, sd)) if variant == "gaussian" else (lambda n: chance.laplace(n, scale))
             if method == "dates":
-                value = noisy_day(df, name, draw(name))
+                value = date_text(moved_date(df, name, draw(name)))
             elif method == "ordering" and is_number(df, name):
                 value = as_number(df, name) + draw(name)
             elif method == "masking" and variant == "laplace_response":
