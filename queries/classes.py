@@ -37,20 +37,24 @@ from veilwright.operators.distance import class_distance
 from veilwright.operators.diversity import diversity_measures
 from veilwright.operators.generalize import generalize
 from veilwright.operators.suppression import (
+    drop_classes,
     drop_exact,
     drop_null_rows,
     newly_null_removed,
     null_cells,
     star_sync,
     suppress_values,
+    without_flagged,
 )
 from veilwright.operators.wildcard import local_suppression
+from veilwright.spec import MASKED
 
 DIGITS = 9
 
 
 def rounded(df, *names):
-    return df.withColumns({n: F.round(n, DIGITS) for n in names})
+    """Rounded, and without the sign of a zero."""
+    return df.withColumns({n: F.round(n, DIGITS) + F.lit(0.0) for n in names})
 
 
 def gen_orders(spark, sf_dir):
@@ -161,7 +165,7 @@ def share_distance_ctes(rows: str, base: str, qis, value: str, base_value: str |
 
 @query(
     f"WITH {ORDERS}, {share_distance_ctes('g', 'orders', ORDER_QIS, 'o_orderstatus')} "
-    f"SELECT {OQ}, round(distance, {DIGITS}) AS distance FROM w"
+    f"SELECT {OQ}, round(distance, {DIGITS}) + 0.0::DOUBLE AS distance FROM w"
 )
 def class_share_distance(spark, sf_dir):
     df = gen_orders(spark, sf_dir)
@@ -171,7 +175,7 @@ def class_share_distance(spark, sf_dir):
 
 @query(
     f"WITH {ORDERS}, {share_distance_ctes('g', 'orders', ['o_orderpriority', 'o_orderdate'], 'o_custkey')} "
-    f"SELECT o_orderpriority, o_orderdate, round(distance, {DIGITS}) AS distance FROM w"
+    f"SELECT o_orderpriority, o_orderdate, round(distance, {DIGITS}) + 0.0::DOUBLE AS distance FROM w"
 )
 def class_share_distance_many(spark, sf_dir):
     """Many sensitive values: one per customer."""
@@ -197,7 +201,7 @@ L1 = "sum(abs(pg - pc))"
 
 @query(
     f"WITH {ORDERS}, {aligned_ctes('g', 'g', ORDER_QIS, 'o_orderstatus')} "
-    f"SELECT {OQ}, round({KL}, {DIGITS}) AS distance FROM al GROUP BY {OQ}"
+    f"SELECT {OQ}, round({KL}, {DIGITS}) + 0.0::DOUBLE AS distance FROM al GROUP BY {OQ}"
 )
 def class_kl(spark, sf_dir):
     df = gen_orders(spark, sf_dir)
@@ -206,7 +210,7 @@ def class_kl(spark, sf_dir):
 
 @query(
     f"WITH {CUSTOMERS}, {aligned_ctes('g', 'g', BALANCE_QIS, 'c_mktsegment')} "
-    f"SELECT {BQ}, round({L1}, {DIGITS}) AS distance FROM al GROUP BY {BQ}"
+    f"SELECT {BQ}, round({L1}, {DIGITS}) + 0.0::DOUBLE AS distance FROM al GROUP BY {BQ}"
 )
 def class_l1(spark, sf_dir):
     df = gen_customers(spark, sf_dir)
@@ -217,7 +221,7 @@ def class_l1(spark, sf_dir):
     f"""WITH {CUSTOMERS}, n AS (SELECT {BQ}, c_mktsegment AS v, count(*) AS n FROM g GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY {BQ} ORDER BY n DESC) AS rk,
           n / CAST(sum(n) OVER (PARTITION BY {BQ}) AS DOUBLE) AS p FROM n)
-    SELECT {BQ}, count(*) AS distinct_values, round(exp(-sum(p * ln(p))), {DIGITS}) AS entropy_l, max(n) AS top_count,
+    SELECT {BQ}, count(*) AS distinct_values, round(exp(-sum(p * ln(p))), {DIGITS}) + 0.0::DOUBLE AS entropy_l, max(n) AS top_count,
     CAST(coalesce(sum(n) FILTER (rk >= 3), 0) AS BIGINT) AS tail_count,
     max(n) < 2.0 * coalesce(sum(n) FILTER (rk >= 3), 0) AS recursive_ok FROM r GROUP BY {BQ}"""
 )
@@ -336,3 +340,20 @@ def k_local_suppression_nulls(spark, sf_dir):
     df = without(gen_customers(spark, sf_dir), c_mktsegment="FURNITURE")
     df = df.withColumn("c_nationkey", F.nullif(F.col("c_nationkey"), F.lit(3)))
     return local_suppression(df, CUSTOMER_QIS, 12)
+
+
+@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer WHERE c_mktsegment <> 'FURNITURE'")
+def filter_sensitive_masked(spark, sf_dir):
+    """A flagged sensitive value goes, an unknown one stays."""
+    df = without(customers(spark, sf_dir).select("c_custkey", "c_mktsegment"), c_mktsegment="BUILDING")
+    mark = F.when(F.col("c_mktsegment") == "FURNITURE", MASKED).otherwise(F.col("c_mktsegment"))
+    return without_flagged(df.withColumn("c_mktsegment", mark), "c_mktsegment")
+
+
+@query(
+    f"""WITH {CUSTOMERS} SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY {CQ}) >= {K}"""
+)
+def drop_small_classes(spark, sf_dir):
+    """An anti-join on the whole tuple of quasi-identifiers."""
+    df = gen_customers(spark, sf_dir)
+    return drop_classes(df, class_sizes(df, CUSTOMER_QIS).filter(F.col("class_size") < K), CUSTOMER_QIS)

@@ -24,7 +24,7 @@ from veilwright.functions.values import as_moment, as_number, epoch_day
 from veilwright.operators import bins
 from veilwright.operators.categories import category, map_values, typed, with_column
 from veilwright.operators.generalize import generalize, generalize_auto
-from veilwright.operators.hierarchy import hierarchy_table
+from veilwright.operators.hierarchy import hierarchy_table, sorted_values
 from veilwright.operators.wildcard import only_qis, sentinel_to_null
 from veilwright.spec import parse_rules
 
@@ -430,3 +430,40 @@ def gen_ordering_filtered(spark, sf_dir):
     """A filter on the raw column still reaches the scan."""
     df = customers(spark, sf_dir).filter(F.col("c_acctbal").isNotNull()).select("c_custkey", "c_acctbal")
     return generalize(df, parse_rules({"c_acctbal": number_rule(BALANCE_LAYERS)}))
+
+
+@query("SELECT DISTINCT p_type FROM part")
+def gen_sorted_values(spark, sf_dir):
+    return sorted_values(table(spark, sf_dir, "part"), "p_type")
+
+
+@query(
+    f"""WITH w AS ({width_sql('part', 'p_partkey', 'CAST(p_size AS DOUBLE)', 'first')})
+    SELECT p_partkey, p_name, 'Masked' AS p_brand, 'General Category' AS p_type, w.label AS p_size, p_retailprice
+    FROM part JOIN w USING (p_partkey)"""
+)
+def gen_auto_adaptive(spark, sf_dir):
+    rules = parse_rules({"p_size": "ordering", "p_brand": "masking"})
+    return generalize_auto(table(spark, sf_dir, "part"), ["p_size", "p_brand", "p_type"], rules, style="adaptive")
+
+
+@query(
+    f"""WITH w AS ({width_sql('customer', 'c_custkey', 'c_acctbal', 'last')})
+    SELECT c_custkey, '通用类别' AS c_mktsegment, w.label AS c_acctbal FROM customer JOIN w USING (c_custkey)"""
+)
+def gen_auto_ranges(spark, sf_dir):
+    """The first rule generation: no rules at all."""
+    df = customers(spark, sf_dir).select("c_custkey", "c_mktsegment", "c_acctbal")
+    return generalize_auto(df, ["c_mktsegment", "c_acctbal"], style="ranges")
+
+
+@query(
+    """WITH v AS (SELECT o_orderpriority AS v, 'type' || CAST(row_number() OVER (ORDER BY min(o_orderkey)) AS VARCHAR) AS label
+    FROM orders GROUP BY 1)
+    SELECT o_orderkey, label AS o_orderpriority, CAST(year(o_orderdate) AS VARCHAR) AS o_orderdate, 'Masked' AS o_orderstatus
+    FROM orders JOIN v ON v = o_orderpriority"""
+)
+def gen_auto_yearly(spark, sf_dir):
+    df = orders(spark, sf_dir).select("o_orderkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
+    rules = parse_rules({"o_orderpriority": "category", "o_orderdate": "dates", "o_orderstatus": "masking"})
+    return generalize_auto(df, list(rules), rules, style="yearly", order_col="o_orderkey")

@@ -261,7 +261,7 @@ def t_strict(spark, sf_dir):
 @query(
     f"""WITH {CUSTOMERS}, {aligned_ctes('g', 'g', BALANCE_QIS, 'c_mktsegment')},
     d AS (SELECT {BQ}, {KL} AS distance FROM al GROUP BY {BQ})
-    SELECT {BQ}, round(distance, {DIGITS}) AS distance FROM d WHERE distance > {T}"""
+    SELECT {BQ}, round(distance, {DIGITS}) + 0.0::DOUBLE AS distance FROM d WHERE distance > {T}"""
 )
 def t_kl_report(spark, sf_dir):
     _, far = models.t_closeness_report(customers(spark, sf_dir), BALANCE_QIS, "c_mktsegment", T, CUSTOMER_RULES)
@@ -321,7 +321,7 @@ def km_strict(spark, sf_dir):
     s AS (SELECT {OQ}, CAST(sum(n) AS BIGINT) AS class_size, 0::BIGINT AS nulls, count(*) AS distinct_values, max(n) AS top_count,
           count(*) AS distinct_with_null, max(n) / CAST(sum(n) AS DOUBLE) AS top_share FROM n GROUP BY {OQ})
     SELECT {OQ}, class_size, nulls, distinct_values, top_count, distinct_with_null, round(top_share, {DIGITS}) AS top_share,
-    round(distance, {DIGITS}) AS share_distance, round(kl, {DIGITS}) AS kl_divergence,
+    round(distance, {DIGITS}) + 0.0::DOUBLE AS share_distance, round(kl, {DIGITS}) + 0.0::DOUBLE AS kl_divergence,
     class_size < 60 AS below_k, distinct_values < 3 AS below_l, top_share > 1 / 2.5::DOUBLE AS above_share,
     class_size >= 2 AND distance > 0.035 AS beyond_t
     FROM s JOIN w USING ({OQ}) JOIN kl USING ({OQ})"""
@@ -349,3 +349,39 @@ def request_dispatch(spark, sf_dir):
     from dataclasses import replace
 
     return anonymize(customers(spark, sf_dir), replace(request, key=tuple(CUSTOMER_KEY)))
+
+
+@query(
+    f"""WITH c AS (SELECT c_nationkey, c_mktsegment, CAST(trunc(c_acctbal / 1000) AS INT) AS band FROM customer),
+    {wildcard_ctes('c', ['c_nationkey', 'c_mktsegment', 'band'], K)} SELECT c_nationkey, c_mktsegment, band FROM ls"""
+)
+def k_raw_keys(spark, sf_dir):
+    """Cells blanked in the table as it came; only the quasi-identifiers are returned."""
+    band = (F.col("c_acctbal") / 1000).cast("int").alias("band")
+    df = customers(spark, sf_dir).select("c_custkey", "c_nationkey", "c_mktsegment", band)
+    return models.k_anonymity_keys(df, ["c_nationkey", "c_mktsegment", "band"], K)
+
+
+@query(
+    f"""WITH types AS (SELECT c_mktsegment AS v, 'type' || CAST(row_number() OVER (ORDER BY min(c_custkey)) AS VARCHAR) AS label FROM customer GROUP BY 1),
+    {CUSTOMERS}, n AS (SELECT g.* REPLACE (label AS c_mktsegment) FROM g JOIN types ON types.v = g.c_mktsegment),
+    {wildcard_ctes('n', CUSTOMER_QIS, K)}, m AS (SELECT * FROM ls WHERE {UNMASKED})
+    SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY {CQ}) >= {K}"""
+)
+def k_strict_types(spark, sf_dir):
+    """Layered rules whose categories become numbered types."""
+    return models.k_anonymity_strict(
+        customers(spark, sf_dir), CUSTOMER_QIS, K, CUSTOMER_RULES, order_col="c_custkey", style="types"
+    )
+
+
+@query(
+    f"""WITH {CUSTOMERS}, n AS (SELECT {BQ}, c_mktsegment AS v, count(*) AS n FROM g GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY {BQ} ORDER BY n DESC) AS rk, n / CAST(sum(n) OVER (PARTITION BY {BQ}) AS DOUBLE) AS p FROM n)
+    SELECT {BQ}, count(*) AS distinct_values, round(exp(-sum(p * ln(p))), {DIGITS}) + 0.0::DOUBLE AS entropy_l, max(n) AS top_count,
+    CAST(coalesce(sum(n) FILTER (rk >= 2), 0) AS BIGINT) AS tail_count, max(n) < coalesce(sum(n) FILTER (rk >= 2), 0) AS recursive_ok
+    FROM r GROUP BY {BQ}"""
+)
+def l_report(spark, sf_dir):
+    _, measures = models.l_diversity_report(customers(spark, sf_dir), BALANCE_QIS, "c_mktsegment", 2, CUSTOMER_RULES)
+    return rounded(measures, "entropy_l")

@@ -280,3 +280,32 @@ def dp_laplace_events(spark, sf_dir):
         variant="laplace", chance=Chance("hash", SEED, ("event_id",)),
     )
     return rounded_to(out, "value")
+
+
+RESPONSE_LAYER_CELLS = {
+    "o_orderkey": "o_orderkey",
+    "o_orderdate": NOISY_LAYERED,
+    "o_totalprice": layer_sql("price", ((0, 600000),), "CAST(price AS VARCHAR)"),
+    "o_orderpriority": "label",
+}
+LAYER_QIS = ["o_orderdate", "o_totalprice", "o_orderpriority", "o_orderkey"]
+LAYER_SCALE = 1 / even_split(EPSILON, 1.0, len(LAYER_QIS))
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders),
+    {response_sql('o', 'o_orderpriority', 'o_orderkey', response_probability(EPSILON))},
+    t AS (SELECT o_orderpriority AS v, 'type' || CAST(row_number() OVER (ORDER BY min(o_orderkey)) AS VARCHAR) AS label FROM rr GROUP BY 1),
+    n AS (SELECT o_orderkey, {NOISY} AS noisy, label, o_totalprice + {laplace_sql('o_totalprice', LAYER_SCALE, 'o_orderkey')} AS price
+          FROM rr JOIN t ON t.v = o_orderpriority),
+    c AS (SELECT {blanked(RESPONSE_LAYER_CELLS, 0.05, 'o_orderkey')} FROM n)
+    SELECT * FROM c WHERE COLUMNS(*) IS NOT NULL"""
+)
+def dp_layered_response(spark, sf_dir):
+    """Noise on numbers before their layers; randomised answers, then numbered types."""
+    rules = parse_rules({**LAYERED_RULES, "o_totalprice": number_rule(((0, 600000),))})
+    df = orders(spark, sf_dir).select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    return differential_privacy(
+        df, LAYER_QIS, EPSILON, rules, budget=1.0, threshold=0.05, variant="layered_response", chance=ORDER_CHANCE,
+        order_col="o_orderkey",
+    )

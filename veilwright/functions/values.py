@@ -73,6 +73,10 @@ def as_moment(df: DataFrame, name: str, formats: tuple[str, ...] = DATE_FORMATS)
         tries = [column.try_cast("timestamp_ntz")]
         tries += [F.try_to_timestamp(column, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
         return F.coalesce(*tries)
+    if isinstance(kind, T.NumericType):  # nanoseconds since 1970
+        seconds = (column / 1_000_000_000).cast("decimal(18,6)")
+        zero = F.lit(0)
+        return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
     return F.lit(None).cast("timestamp_ntz")
 
 

@@ -181,6 +181,6 @@ def dates_adaptive(df: DataFrame, name: str) -> Column:
     return F.coalesce(place(F.floor(micros / 1_000_000), ladder["ladder"]), ladder["missing"])
 
 
-def general() -> Column:
+def general(label: str = GENERAL) -> Column:
     """One category for all."""
-    return F.lit(GENERAL)
+    return F.lit(label)

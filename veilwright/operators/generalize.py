@@ -14,7 +14,7 @@ from veilwright.functions.values import as_moment, is_number, number_as_read, nu
 from veilwright.operators.bins import dates_adaptive, dates_equal, equal_width, general, year
 from veilwright.operators.categories import category, typed, value_text
 from veilwright.operators.classes import all_of
-from veilwright.spec import DEFAULT_MASK, Rule, check_columns
+from veilwright.spec import DEFAULT_MASK, GENERAL, GENERAL_FIRST, Rule, check_columns
 
 
 def ordering(df: DataFrame, name: str, rule: Rule) -> Column:
@@ -41,12 +41,26 @@ def generalize(df: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
     Stateless: works on a stream as well.  An unknown method leaves its column alone.
     """
     check_columns(df.columns, list(rules), "rule")
+    flat = [name for name, rule in rules.items() if rule.flat]
+    if flat:
+        raise ValueError(f"flat rules of {', '.join(flat)} take their bins from the data: use generalize_auto")
     rewritten = {
         name: LAYERED[rule.method](df, name, rule) for name, rule in rules.items() if rule.method in LAYERED
     }
     return df.select(*[rewritten[c].alias(c) if c in rewritten else F.col(f"`{c}`") for c in df.columns])
 
 
+def generalize_typed(df: DataFrame, rules: Mapping[str, Rule], order_col: str) -> DataFrame:
+    """Layered rules whose categories become numbered types instead of keeping their text."""
+    plain = {name: rule for name, rule in rules.items() if rule.method != "category"}
+    check_columns(df.columns, list(rules), "rule")
+    out = df
+    for name in rules:
+        if name not in plain:
+            out = typed(out, name, order_col)
+    return generalize(out, plain)
+
+
 def generalize_known(df: DataFrame, qis: Sequence[str], rules: Mapping[str, Rule]) -> DataFrame:
     """Generalise and keep the rows whose quasi-identifiers are all known afterwards.
 
@@ -74,10 +88,10 @@ def generalize_known(df: DataFrame, qis: Sequence[str], rules: Mapping[str, Rule
 # How flat rules differ between the generations of the rule language: where NULL numbers go,
 # how text is masked and what a date becomes.
 STYLES = {
-    "ranges": {"null_bin": "last", "mask": None, "dates": None},
-    "adaptive": {"null_bin": "first", "mask": "constant", "dates": dates_adaptive},
-    "yearly": {"null_bin": "first", "mask": "tail", "dates": year},
-    "equal": {"null_bin": "null", "mask": "tail", "dates": dates_equal},
+    "ranges": {"null_bin": "last", "mask": None, "dates": None, "rest": GENERAL_FIRST},
+    "adaptive": {"null_bin": "first", "mask": "constant", "dates": dates_adaptive, "rest": GENERAL},
+    "yearly": {"null_bin": "first", "mask": "tail", "dates": year, "rest": GENERAL},
+    "equal": {"null_bin": "null", "mask": "tail", "dates": dates_equal, "rest": GENERAL},
 }
 
 
@@ -99,7 +113,7 @@ def generalize_auto(
     for name in qis:
         method = rules[name].method if name in rules and style != "ranges" else None
         if method is None:
-            rewritten[name] = equal_width(df, name, chosen["null_bin"]) if is_number(df, name) else general()
+            rewritten[name] = equal_width(df, name, chosen["null_bin"]) if is_number(df, name) else general(chosen["rest"])
         elif method == "ordering":
             rewritten[name] = equal_width(df, name, chosen["null_bin"])
         elif method == "masking" and chosen["mask"] == "constant":

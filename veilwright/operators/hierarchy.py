@@ -63,3 +63,8 @@ def hierarchy_table(df: DataFrame, name: str, widening: bool = False) -> DataFra
     labels, _ = levels_of(df, name, widening)
     known = df.filter(F.col(f"`{name}`").isNotNull()).select(name).distinct()
     return known.select(F.col(f"`{name}`").alias("value"), F.posexplode(labels).alias("level", "label"))
+
+
+def sorted_values(df: DataFrame, name: str) -> DataFrame:
+    """The distinct known values in order: the lowest level of a hierarchy."""
+    return df.filter(F.col(f"`{name}`").isNotNull()).select(name).distinct().orderBy(name)

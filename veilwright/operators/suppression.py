@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veilwright.functions.chance import Chance, keyed_hash
 from veilwright.operators.classes import all_of
-from veilwright.spec import STAR, SUPPRESSED, check_fraction
+from veilwright.spec import MASKED, STAR, SUPPRESSED, check_fraction
 from veilwright.streaming import require_batch
 
 HASH = "__hash"
@@ -188,6 +188,11 @@ def newly_null_removed(df: DataFrame, before: Sequence[str], qis: Sequence[str])
     return df.filter(all_of([~test for test in fresh])).drop(*before)
 
 
+def without_flagged(df: DataFrame, sensitive: str) -> DataFrame:
+    """Drop rows whose sensitive value is the mask marker; an unknown value stays."""
+    return df.filter(~F.col(f"`{sensitive}`").cast("string").eqNullSafe(MASKED))
+
+
 def suppress_values(df: DataFrame, classes: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
     """Overwrite the sensitive value in the listed classes and keep the rows."""
     marks = _renamed(classes, qis).withColumn("__hit", F.lit(True))

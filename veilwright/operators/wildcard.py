@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwright.operators.classes import all_of
 from veilwright.spec import check_columns
@@ -91,10 +92,11 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
 
 
 def sentinel_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Turn the whole-number sentinel of missing values back into NULL."""
+    """Turn the whole-number sentinel of missing values back into NULL in the numeric columns."""
+    numeric = {c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)}
     return df.select(
         *[
-            F.when(F.col(f"`{c}`") != INTEGER_SENTINEL, F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`")
+            F.nullif(F.col(f"`{c}`"), F.lit(INTEGER_SENTINEL)).alias(c) if c in numeric else F.col(f"`{c}`")
             for c in df.columns
         ]
     )

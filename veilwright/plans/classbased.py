@@ -19,7 +19,7 @@ from veilwright.operators.categories import map_values
 from veilwright.operators.classes import class_sizes, class_stats, with_known_qis, without_masked
 from veilwright.operators.distance import class_distance
 from veilwright.operators.diversity import diversity_measures
-from veilwright.operators.generalize import generalize, generalize_auto, generalize_known
+from veilwright.operators.generalize import generalize, generalize_auto, generalize_known, generalize_typed
 from veilwright.operators.lineage import cut_lineage
 from veilwright.operators.suppression import (
     drop_classes,
@@ -27,8 +27,9 @@ from veilwright.operators.suppression import (
     newly_null_removed,
     rows_of,
     suppress_values,
+    without_flagged,
 )
-from veilwright.operators.wildcard import local_suppression
+from veilwright.operators.wildcard import local_suppression, only_qis, sentinel_to_null
 from veilwright.spec import SAMPLE_SEED, Rule
 
 Rules = Mapping[str, Rule]
@@ -42,7 +43,12 @@ def _second_salt(seed: int) -> str:
 def generalized(
     df: DataFrame, qis: Sequence[str], rules: Rules, order_col: str | None = None, style: str = "equal"
 ) -> DataFrame:
-    """Apply layered rules, or flat ones with their defaults when any rule is flat."""
+    """Apply layered rules, or flat ones with their defaults when any rule is flat.
+
+    Style ``"types"`` is for layered rules whose categories become numbered types.
+    """
+    if style == "types":
+        return generalize_typed(df, rules, order_col)
     if any(rule.flat for rule in rules.values()):
         return generalize_auto(df, qis, rules, style=style, order_col=order_col)
     return generalize(df, rules)
@@ -178,13 +184,31 @@ def k_anonymity_strict(
     rules: Rules | None = None,
     order_col: str | None = None,
     importance: Sequence[str] | None = None,
+    style: str = "equal",
 ) -> DataFrame:
     """Blank cells, drop rows with a masked or unknown quasi-identifier, drop small classes."""
-    rows = local_suppression(generalized(df, qis, rules or {}, order_col), qis, k, importance)
+    rows = local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k, importance)
     rows = without_masked(rows, qis)
     return drop_classes(rows, class_sizes(rows, qis).filter(F.col("class_size") < k), qis)
 
 
+def k_anonymity_local(
+    df: DataFrame,
+    qis: Sequence[str],
+    k: int,
+    rules: Rules | None = None,
+    order_col: str | None = None,
+    style: str = "equal",
+) -> DataFrame:
+    """Generalise and blank cells, nothing else: k-anonymous with NULL matching anything."""
+    return local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k)
+
+
+def k_anonymity_keys(df: DataFrame, qis: Sequence[str], k: int) -> DataFrame:
+    """Blank cells of the table as it came and return the quasi-identifiers alone."""
+    return only_qis(sentinel_to_null(local_suppression(df, qis, k), qis), qis)
+
+
 def k_anonymity_new_nulls(
     df: DataFrame,
     qis: Sequence[str],
@@ -221,9 +245,10 @@ def l_diversity_strict(
     l: int,  # noqa: E741
     rules: Rules | None = None,
     order_col: str | None = None,
+    style: str = "equal",
 ) -> DataFrame:
     """Strict k-anonymity, then drop classes with fewer than ``l`` values, unknown being one."""
-    rows = k_anonymity_strict(df, qis, k, rules, order_col)
+    rows = k_anonymity_strict(df, qis, k, rules, order_col, style=style)
     return drop_classes(rows, class_stats(rows, qis, [sensitive]).filter(F.col("distinct_with_null") < l), qis)
 
 
@@ -263,17 +288,16 @@ def t_closeness_strict(
     t: float,
     rules: Rules | None = None,
     order_col: str | None = None,
+    style: str = "equal",
 ) -> DataFrame:
     """Blank cells, drop masked rows, drop classes far from the original table.
 
     Class sizes are not checked again here.  Rows whose sensitive value is the mask marker go
     as well; an unknown sensitive value stays.
     """
-    from veilwright.spec import MASKED
-
-    rows = without_masked(local_suppression(generalized(df, qis, rules or {}, order_col), qis, k), qis)
+    rows = without_masked(local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k), qis)
     kept = drop_classes(rows, distant_classes(rows, df, qis, sensitive, t), qis)
-    return kept.filter(~F.col(f"`{sensitive}`").cast("string").eqNullSafe(MASKED))
+    return without_flagged(kept, sensitive)
 
 
 def t_closeness_report(
@@ -298,8 +322,9 @@ def km_anonymity_strict(
     m: int,
     rules: Rules | None = None,
     order_col: str | None = None,
+    style: str = "equal",
 ) -> DataFrame:
     """Blank cells, then keep classes of ``k`` rows or more and ``m`` values or more, unknown being one."""
-    rows = with_known_qis(local_suppression(generalized(df, qis, rules or {}, order_col), qis, k), qis)
+    rows = with_known_qis(local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k), qis)
     stats = class_stats(rows, qis, [sensitive])
     return rows_of(rows, stats.filter((F.col("class_size") >= k) & (F.col("distinct_with_null") >= m)), qis)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from veilwright.functions.chance import Chance, gaussian_sd, keyed_hash
 from veilwright.functions.ladders import date_ladder, number_ladder
 from veilwright.functions.masks import mask_constant, mask_prefix, mask_tail
+from veilwright.functions.text import number_text
 from veilwright.functions.values import as_moment, as_number, epoch_day, is_number, number_as_read
 from veilwright.operators.bins import decade_label, quarter
 from veilwright.operators.categories import typed, value_text
@@ -56,25 +58,6 @@ def date_text(date: Column) -> Column:
     return F.coalesce(date.cast("string"), F.lit(NOT_A_DATE))
 
 
-def _layered_column(df: DataFrame, name: str, rule: Rule, moved: Column, compat: bool) -> Column | None:
-    """The layered model's rewrite of one column; ``None`` leaves it alone.
-
-    ``moved`` is the column with the noisy date, already drawn: it is looked at several times.
-    """
-    method = rule.spelled
-    if method == "dates":
-        return date_ladder(moved.cast("timestamp_ntz"), rule.date_layers, date_text(moved))
-    if method == "ordering" and is_number(df, name):
-        return number_ladder(as_number(df, name), rule.number_layers, number_as_read(df, name))
-    if method == "category":
-        return F.coalesce(value_text(df, name), F.lit(UNKNOWN))
-    if method == "masking":
-        pattern = DEFAULT_NOISY_MASK if rule.mask is None else rule.mask
-        text = value_text(df, name)
-        return mask_prefix(F.coalesce(text, F.lit(NULL_TEXT)) if compat else text, pattern)
-    return None
-
-
 def budget_rebin(df: DataFrame, name: str, noise: Column, threshold: float) -> Column:
     """Decade of the noisy number; a draw smaller than ``threshold`` shows as a star.
 
@@ -127,7 +110,62 @@ def response_probability(epsilon: float) -> float:
     return 1 / (1 + math.exp(epsilon))
 
 
-VARIANTS = ("layered", "laplace", "gaussian", "budgeted_gaussian", "laplace_response", "layered_typed")
+def typed_response(df: DataFrame, name: str, probability: float, chance: Chance, order_col: str) -> DataFrame:
+    """Randomised response, then numbered types in the order in which the answers appear."""
+    return typed(randomized_response(df, name, probability, chance), name, order_col, number_null=True)
+
+
+@dataclass(frozen=True)
+class Variant:
+    """What one generation of the noise model does to each kind of column."""
+
+    split: str  # how the budget is divided: "even", "percent" or "none"
+    dates: str  # "layers" (noise, then layers), "noise" or "quarter"
+    numbers: str  # "layers", "noise", "noise_layers" or "rebin"
+    masks: str  # "prefix", "tail" or "constant"
+    categories: str = ""  # "text", "types", "response" or "typed_response"
+    gaussian: bool = False
+    sensitive_types: bool = False  # number the types of sensitive columns too
+    blank: bool = False  # blank cells at the threshold
+    full_rows: bool = False  # keep only rows without NULL
+    stars: bool = False  # star rows as a whole
+
+
+VARIANTS = {
+    "layered": Variant("even", "layers", "layers", "prefix", "text", blank=True),
+    "laplace": Variant("none", "noise", "noise", "constant"),
+    "gaussian": Variant("none", "noise", "noise", "constant", gaussian=True),
+    "budgeted_gaussian": Variant("percent", "quarter", "rebin", "constant", gaussian=True, stars=True),
+    "laplace_response": Variant("even", "noise", "noise", "tail", "response", blank=True, full_rows=True),
+    "layered_typed": Variant(
+        "even", "layers", "layers", "prefix", "types", sensitive_types=True, blank=True, full_rows=True
+    ),
+    "layered_response": Variant(
+        "even", "layers", "noise_layers", "prefix", "typed_response", blank=True, full_rows=True
+    ),
+}
+
+
+def _masked(df: DataFrame, name: str, rule: Rule, kind: str, compat: bool) -> Column:
+    text = value_text(df, name)
+    if kind == "constant":
+        return mask_constant()
+    if kind == "tail":
+        return mask_tail(F.coalesce(text, F.lit(NULL_TEXT)), short=None, marker_stays=False)
+    pattern = DEFAULT_NOISY_MASK if rule.mask is None else rule.mask
+    return mask_prefix(F.coalesce(text, F.lit(NULL_TEXT)) if compat else text, pattern)
+
+
+def _number(df: DataFrame, name: str, rule: Rule, kind: str, noise: Column, threshold: float) -> Column:
+    value = as_number(df, name)
+    if kind == "layers":
+        return number_ladder(value, rule.number_layers, number_as_read(df, name))
+    if kind == "noise":
+        return value + noise
+    if kind == "noise_layers":
+        noisy = value + noise
+        return number_ladder(noisy, rule.number_layers, number_text(noisy))
+    return budget_rebin(df, name, noise, threshold)
 
 
 def differential_privacy(
@@ -144,85 +182,70 @@ def differential_privacy(
     order_col: str | None = None,
     compat: bool = False,
 ) -> DataFrame:
-    """Perturb the quasi-identifiers by their rules.
-
-    ``layered``            dates: Laplace, then layers; numbers: layers; masks; own text; blanked cells
-    ``laplace``            dates and numbers: Laplace at 1/epsilon; constant mask
-    ``gaussian``           dates and numbers: Gaussian at fixed delta; constant mask
-    ``budgeted_gaussian``  quarters; decades of noisy numbers; constant mask; rows starred as one
-    ``laplace_response``   dates and numbers: Laplace by budget; randomised response; cut text;
-                           blanked cells, then only full rows
-    ``layered_typed``      as layered with numbered types, also for sensitive columns; only full rows
+    """Perturb the quasi-identifiers by their rules; see ``VARIANTS`` for what each variant does.
+
+    All draws are made in one projection below the one that uses them, so a draw that decides
+    several things (a label and a star) is made once.
     """
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; choose one of {', '.join(VARIANTS)}")
     if not epsilon:
         raise ValueError("epsilon must not be 0")
     check_columns(df.columns, list(qis), "quasi-identifier")
-    chance = chance or Chance()
-    budgeted = variant in ("layered", "laplace_response", "layered_typed")
-    own_epsilon = even_split(epsilon, budget, len(qis)) if budgeted else epsilon
-    scale = 1 / own_epsilon
-    sd = gaussian_sd(percent_split(epsilon, budget, len(qis)), delta) if variant == "budgeted_gaussian" else (
-        gaussian_sd(epsilon, DEFAULT_DELTA)
-    )
-    rewritten: dict[str, Column] = {}
+    chosen, chance = VARIANTS[variant], chance or Chance()
+    splits = {"even": even_split, "percent": percent_split, "none": lambda e, _budget, _columns: e}
+    share = splits[chosen.split](epsilon, budget, len(qis))
+    sd = gaussian_sd(share, delta if chosen.split == "percent" else DEFAULT_DELTA)
     drawn: dict[str, Column] = {}
-    numbered: list[tuple[str, str]] = []
-    answered: list[str] = []
+    rewritten: dict[str, Column] = {}
+    types: dict[str, str] = {}
+    answers: list[str] = []
+
+    def draw(name: str) -> Column:
+        column = f"__drawn_{len(drawn)}"
+        drawn[column] = chance.gaussian(name, sd) if chosen.gaussian else chance.laplace(name, 1 / share)
+        return F.col(column)
+
     for name in qis:
         rule = rules.get(name)
-        if rule is None:
-            continue
-        method, value = rule.spelled, None
-        if variant == "layered_typed" and method == "category":
-            numbered.append((name, "type"))
-        elif variant in ("layered", "layered_typed"):
-            moved = f"__moved_{len(drawn)}"
-            if method == "dates":
-                drawn[moved] = moved_date(df, name, chance.laplace(name, scale))
-            value = _layered_column(df, name, rule, F.col(moved), compat)
-        elif variant == "budgeted_gaussian":
-            if method == "ordering" and is_number(df, name):
-                noise = f"__noise_{len(drawn)}"
-                drawn[noise] = chance.gaussian(name, sd)
-                value = budget_rebin(df, name, F.col(noise), threshold)
-            elif method == "dates":
-                value = quarter(df, name)
-            elif method == "masking":
-                value = mask_constant()
-        else:
-            draw = (lambda n: chance.gaussian(n, sd)) if variant == "gaussian" else (lambda n: chance.laplace(n, scale))
-            if method == "dates":
-                value = date_text(moved_date(df, name, draw(name)))
-            elif method == "ordering" and is_number(df, name):
-                value = as_number(df, name) + draw(name)
-            elif method == "masking" and variant == "laplace_response":
-                text = F.coalesce(value_text(df, name), F.lit(NULL_TEXT))
-                value = mask_tail(text, short=None, marker_stays=False)
-            elif method == "masking":
-                value = mask_constant()
-            elif method == "category" and variant == "laplace_response":
-                answered.append(name)
-        if value is not None:
-            rewritten[name] = value
-    if variant == "layered_typed":
-        for name in sensitive:
-            rule = rules.get(name)
-            if rule is not None and rule.spelled == "category":
-                check_columns(df.columns, [name], "sensitive")
-                numbered = [(n, p) for n, p in numbered if n != name] + [(name, "sensitive_type")]
+        method = rule.spelled if rule else ""
+        if method == "dates" and chosen.dates == "quarter":
+            rewritten[name] = quarter(df, name)
+        elif method == "dates":
+            moved = moved_date(df, name, draw(name))
+            plain = date_text(moved)
+            layered = chosen.dates == "layers"
+            rewritten[name] = date_ladder(moved.cast("timestamp_ntz"), rule.date_layers, plain) if layered else plain
+        elif method == "ordering" and is_number(df, name):
+            noise = F.lit(0) if chosen.numbers == "layers" else draw(name)
+            rewritten[name] = _number(df, name, rule, chosen.numbers, noise, threshold)
+        elif method == "masking":
+            rewritten[name] = _masked(df, name, rule, chosen.masks, compat)
+        elif method == "category" and chosen.categories == "text":
+            rewritten[name] = F.coalesce(value_text(df, name), F.lit(UNKNOWN))
+        elif method == "category" and chosen.categories == "types":
+            types[name] = "type"
+        elif method == "category" and chosen.categories:
+            answers.append(name)
+    for name in sensitive if chosen.sensitive_types else ():
+        if name in rules and rules[name].spelled == "category":
+            check_columns(df.columns, [name], "sensitive")
+            types[name] = "sensitive_type"
+    if (types or (answers and chosen.categories == "typed_response")) and order_col is None:
+        raise ValueError("rule 'category' needs order_col to count types by")
+
     out = df.withColumns(drawn) if drawn else df
-    for name, prefix in numbered:
-        if order_col is None:
-            raise ValueError(f"rule 'category' of column {name!r} needs order_col to count types by")
+    for name, prefix in types.items():
         out = typed(out, name, order_col, prefix=prefix, number_null=True)
-    for name in answered:
-        out = randomized_response(out, name, response_probability(epsilon), chance)
+    for name in answers:
+        probability = response_probability(epsilon)
+        if chosen.categories == "typed_response":
+            out = typed_response(out, name, probability, chance, order_col)
+        else:
+            out = randomized_response(out, name, probability, chance)
     out = out.select(*[rewritten[c].alias(c) if c in rewritten else F.col(f"`{c}`") for c in df.columns])
-    if variant == "budgeted_gaussian":
-        return star_sync(out, qis)
-    if variant in ("layered", "laplace_response", "layered_typed"):
+    if chosen.stars:
+        out = star_sync(out, qis)
+    if chosen.blank:
         out = null_cells(out, threshold, chance)
-    return drop_null_rows(out) if variant in ("laplace_response", "layered_typed") else out
-
+    return drop_null_rows(out) if chosen.full_rows else out

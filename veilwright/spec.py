@@ -14,6 +14,7 @@ UNKNOWN = "Unknown"
 SUPPRESSED = "Suppressed"
 STAR = "*"
 GENERAL = "General Category"
+GENERAL_FIRST = "通用类别"  # the same label in the first rule generation
 NOT_A_DATE = "NaT"
 DEFAULT_MASK = "Masked"
 DEFAULT_NOISY_MASK = "***"
