@@ -13,20 +13,15 @@ numbers that add up to at most ``n``), which bounds every per-class window used
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwright.operators.matching import all_of, attach
 from veilwright.spec import MASKED
 from veilwright.streaming import require_batch
 
 
-def all_of(tests: Sequence[Column]) -> Column:
-    return reduce(and_, tests)
-
-
 def with_known_qis(df: DataFrame, qis: Sequence[str]) -> DataFrame:
     """Rows that belong to a class: none of their quasi-identifiers is NULL."""
     return df.filter(all_of([F.col(f"`{q}`").isNotNull() for q in qis]))
@@ -46,7 +41,7 @@ def class_sizes(df: DataFrame, qis: Sequence[str]) -> DataFrame:
 
 def attach_class_size(df: DataFrame, qis: Sequence[str]) -> DataFrame:
     """Every row with the size of its class; rows without a class drop out."""
-    return df.join(class_sizes(df, qis), on=list(qis), how="inner")
+    return attach(df, class_sizes(df, qis), qis, ["class_size"])
 
 
 def value_counts(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
@@ -87,11 +82,8 @@ def class_shares(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) ->
     """(class, sensitive values, ``n``, ``share`` among the rows of the class with known values)."""
     counted = value_counts(df, qis, sensitive).filter(_known(sensitive))
     totals = counted.groupBy(*qis).agg(F.sum("n").alias("known_rows"))
-    return (
-        counted.join(totals, on=list(qis), how="inner")
-        .withColumn("share", F.col("n") / F.col("known_rows"))
-        .drop("known_rows")
-    )
+    both = attach(counted, totals, qis, ["known_rows"])
+    return both.withColumn("share", F.col("n") / F.col("known_rows")).drop("known_rows")
 
 
 def global_shares(df: DataFrame, sensitive: str) -> DataFrame:

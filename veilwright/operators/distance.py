@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwright.functions.search import count_below
 from veilwright.operators.classes import class_shares, count_profile, global_shares
+from veilwright.operators.matching import attach
 
 
 def _share_steps(base: DataFrame, sensitive: str) -> Column:
@@ -98,7 +99,7 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
 
 def _aligned(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
     world = global_shares(base, sensitive).select(sensitive, F.col("share").alias("global_share"))
-    return class_shares(df, qis, [sensitive]).join(world, on=sensitive, how="inner")
+    return attach(class_shares(df, qis, [sensitive]), world, [sensitive], ["global_share"])
 
 
 def kl_divergence(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:

@@ -13,7 +13,7 @@ from veilwright.functions.text import timestamp_text
 from veilwright.functions.values import as_moment, is_number, number_as_read, number_known, number_or_nan
 from veilwright.operators.bins import dates_adaptive, dates_equal, equal_width, general, year
 from veilwright.operators.categories import category, typed, value_text
-from veilwright.operators.classes import all_of
+from veilwright.operators.matching import all_of
 from veilwright.spec import DEFAULT_MASK, GENERAL, GENERAL_FIRST, Rule, check_columns
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.functions.chance import Chance, keyed_hash
-from veilwright.operators.classes import all_of
+from veilwright.operators.matching import all_of, key_side, same_key
 from veilwright.spec import MASKED, STAR, SUPPRESSED, check_fraction
 from veilwright.streaming import require_batch
 
@@ -27,26 +27,20 @@ BLOCK_ROWS = 65_536
 BUCKET_DIGITS = 5
 
 
-def _renamed(classes: DataFrame, qis: Sequence[str]) -> DataFrame:
-    return classes.select(*[F.col(f"`{q}`").alias(f"__class_{i}") for i, q in enumerate(qis)])
-
-
-def _same_class(qis: Sequence[str], null_safe: bool = False) -> Column:
-    pairs = [(F.col(f"`{q}`"), F.col(f"__class_{i}")) for i, q in enumerate(qis)]
-    return all_of([a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
-
-
-def drop_classes(rows: DataFrame, classes: DataFrame, qis: Sequence[str], null_safe: bool = False) -> DataFrame:
+def drop_classes(
+    rows: DataFrame, classes: DataFrame, qis: Sequence[str], null_safe: bool = False, join: object = "drop"
+) -> DataFrame:
     """Remove every row of the listed classes.
 
     Rows with a NULL quasi-identifier stay, unless ``null_safe`` takes NULL for a value.
+    ``join`` names the join; see ``matching`` for why consecutive ones need different names.
     """
-    return rows.join(_renamed(classes, qis), _same_class(qis, null_safe), "left_anti")
+    return rows.join(key_side(rows, classes, qis, join=join), same_key(qis, join, null_safe), "left_anti")
 
 
-def rows_of(rows: DataFrame, classes: DataFrame, qis: Sequence[str]) -> DataFrame:
+def rows_of(rows: DataFrame, classes: DataFrame, qis: Sequence[str], join: object = "keep") -> DataFrame:
     """Only the rows of the listed classes."""
-    return rows.join(_renamed(classes, qis), _same_class(qis), "left_semi")
+    return rows.join(key_side(rows, classes, qis, join=join), same_key(qis, join), "left_semi")
 
 
 def _running(counts: DataFrame, by: str) -> DataFrame:
@@ -134,7 +128,7 @@ def drop_share(
     if fraction == 0.0:
         return rows
     if fraction == 1.0:
-        return drop_classes(rows, classes, qis)
+        return drop_classes(rows, classes, qis, join=salt)
     columns = rows.columns
     if key:
         digest = keyed_hash(salt, key)
@@ -142,11 +136,11 @@ def drop_share(
         content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
         digest = F.md5(F.concat_ws("|", F.lit(str(salt)), content))
     hashed = rows.withColumn(HASH, digest)
-    listed = rows_of(hashed, classes, qis)
+    listed = rows_of(hashed, classes, qis, join=salt)
     cut = hash_cut(listed.select(HASH), fraction, unique=bool(key))
-    limits = _renamed(classes, qis).withColumn("__limit", cut.select("hash").scalar())
+    limits = key_side(rows, classes, qis, cut.select("hash").scalar().alias("__limit"), join=salt)
     # coalesce keeps the optimizer from deriving "limit is not null", a second copy of the subquery
-    gone = _same_class(qis) & F.coalesce(F.col(HASH) <= F.col("__limit"), F.lit(False))
+    gone = same_key(qis, salt) & F.coalesce(F.col(HASH) <= F.col("__limit"), F.lit(False))
     kept = hashed.join(limits, gone, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
     return kept if key else kept.unionByName(_copies(listed, cut, columns))
 
@@ -195,8 +189,8 @@ def without_flagged(df: DataFrame, sensitive: str) -> DataFrame:
 
 def suppress_values(df: DataFrame, classes: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
     """Overwrite the sensitive value in the listed classes and keep the rows."""
-    marks = _renamed(classes, qis).withColumn("__hit", F.lit(True))
-    joined = df.join(marks, _same_class(qis), "left")
+    marks = key_side(df, classes, qis, F.lit(True).alias("__hit"), join="overwrite")
+    joined = df.join(marks, same_key(qis, "overwrite"), "left")
     value = F.when(F.col("__hit"), F.lit(SUPPRESSED)).otherwise(F.col(f"`{sensitive}`").cast("string"))
     return joined.select(*[value.alias(c) if c == sensitive else F.col(f"`{c}`") for c in df.columns])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilwright.operators.classes import all_of
+from veilwright.operators.matching import all_of, key_side, same_key
 from veilwright.spec import check_columns
 from veilwright.streaming import require_batch
 
@@ -71,22 +71,21 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
             [F.col("__rank") == F.col("__of")] + [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in kept_names]
         )
         best = project(picks).join(counts, agree, "left_semi").groupBy(*qis).agg(F.min("__rank").alias("__rank"))
-        best = best.select(*[F.col(f"`{q}`").alias(f"__best_{i}") for i, q in enumerate(qis)], "__rank")
-        same = all_of([F.col(f"`{q}`").eqNullSafe(F.col(f"__best_{i}")) for i, q in enumerate(qis)])
-        picks = picks.join(best, same, "left").withColumn(
+        best = key_side(df, best, qis, "__rank", join="best")
+        picks = picks.join(best, same_key(qis, "best", null_safe=True), "left").withColumn(
             "__mask", F.when(F.col("__rank").isNull(), 0).otherwise(F.get(masks, F.col("__rank") - 1))
         )
     else:
         picks = picks.withColumn("__mask", F.lit(0))
-    picks = picks.select(*[F.col(f"`{q}`").alias(f"__pick_{i}") for i, q in enumerate(qis)], "__mask")
-    here = all_of([F.col(f"`{q}`").eqNullSafe(F.col(f"__pick_{i}")) for i, q in enumerate(qis)])
 
     def keep(i: int, q: str) -> Column:
         stays = F.col("__mask").isNull() | (F.col("__mask").bitwiseAND(1 << i) != 0)
         return F.when(stays, F.col(f"`{q}`")).alias(q)
 
     place = {q: i for i, q in enumerate(qis)}
-    return df.join(picks, here, "left").select(
+    picks = key_side(df, picks, qis, "__mask", join="blank")
+    picked = df.join(picks, same_key(qis, "blank", null_safe=True), "left")
+    return picked.select(
         *[keep(place[c], c) if c in place else F.col(f"`{c}`") for c in df.columns]
     )
 

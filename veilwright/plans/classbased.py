@@ -249,7 +249,7 @@ def l_diversity_strict(
 ) -> DataFrame:
     """Strict k-anonymity, then drop classes with fewer than ``l`` values, unknown being one."""
     rows = k_anonymity_strict(df, qis, k, rules, order_col, style=style)
-    return drop_classes(rows, class_stats(rows, qis, [sensitive]).filter(F.col("distinct_with_null") < l), qis)
+    return drop_classes(rows, class_stats(rows, qis, [sensitive]).filter(F.col("distinct_with_null") < l), qis, join="poor")
 
 
 def l_diversity_suppress(
