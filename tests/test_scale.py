@@ -100,6 +100,12 @@ def test_no_pairing_and_no_python(spark):
             assert word not in text
 
 
+def test_rows_do_not_carry_the_global_steps(spark):
+    df = spark.read.parquet(f"{SF_DIR}/customer.parquet")
+    text = plan(class_distance(df, df, ["c_nationkey"], "c_mktsegment"))
+    assert "AS steps#" not in text and "transform(array(Subquery" in text
+
+
 def test_no_broadcast_is_forced_but_of_one_row(spark, no_broadcast):
     """With broadcasting off only the single-row edge of the cut may still be one."""
     df = spark.read.parquet(f"{SF_DIR}/customer.parquet")

@@ -64,36 +64,39 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
     profile = count_profile(df, qis, sensitive).withColumn("rows", F.col("n") * F.col("values"))
     flat = profile.select(
         *qis,
-        (F.col("n") / F.sum("rows").over(whole)).alias("start"),
-        F.coalesce(F.lead("n").over(mine) / F.sum("rows").over(whole), F.lit(1.0)).alias("stop"),
-        (F.sum("values").over(upto) / F.sum("values").over(whole)).alias("level"),
-        F.lag("n").over(mine).isNull().alias("lowest"),
+        "n",
+        F.lag("n").over(mine).alias("lower"),
+        F.lead("n").over(mine).alias("higher"),
+        F.sum("values").over(upto).alias("reached"),
+        F.sum("values").over(whole).alias("all_values"),
         F.sum("rows").over(whole).alias("known_rows"),
         F.sum("unknown").over(whole).alias("nulls"),
-    ).filter(F.col("start").isNotNull())
+    ).filter(F.col("n").isNotNull())
+    start = F.col("n") / F.col("known_rows")
+    stop = F.coalesce(F.col("higher") / F.col("known_rows"), F.lit(1.0))
+    level = F.col("reached") / F.col("all_values")
 
-    def measure(steps: Column) -> Column:
+    def piece(steps: Column) -> Column:
         # the share at which the global function reaches the level of this flat piece
-        reached = F.get(steps["share"], count_below(steps["level"], F.col("level"), inclusive=False))
-        cross = F.greatest(F.col("start"), F.least(F.col("stop"), F.coalesce(reached, F.lit(1.0))))
-        return F.struct(
-            cross.alias("cross"),
-            _area_below(steps, F.col("start")).alias("start"),
-            _area_below(steps, cross).alias("at_cross"),
-            _area_below(steps, F.col("stop")).alias("stop"),
-        )
-
-    # used once, so the optimizer puts the constant where it is needed: rows do not carry it
+        meeting = F.get(steps["share"], count_below(steps["level"], level, inclusive=False))
+        cross = F.greatest(start, F.least(stop, F.coalesce(meeting, F.lit(1.0))))
+        at_start, at_cross, at_stop = (_area_below(steps, x) for x in (start, cross, stop))
+        before = level * (cross - start) - (at_cross - at_start)
+        after = (at_stop - at_cross) - level * (stop - cross)
+        return F.when(F.col("lower").isNull(), at_start).otherwise(0.0) + before + after
+
+    # The analyser takes no subquery inside a lambda, so the steps come in as a column.  It is
+    # used once and beside plain columns only, so the optimizer puts the constant straight into
+    # the expression and rows do not carry a copy of it (a test looks at the plan for this).
     flat = flat.withColumn("steps", _share_steps(base, sensitive))
-    flat = flat.withColumn("area", F.get(F.transform(F.array("steps"), measure), F.lit(0)))
-    cross, area = F.col("area.cross"), F.col("area")
-    before = F.col("level") * (cross - F.col("start")) - (area["at_cross"] - area["start"])
-    after = (area["stop"] - area["at_cross"]) - F.col("level") * (F.col("stop") - cross)
-    lead_in = F.when(F.col("lowest"), area["start"]).otherwise(0.0)
-    return flat.groupBy(*qis).agg(
-        F.sum(lead_in + before + after).alias("distance"),
-        F.first(F.col("known_rows") + F.col("nulls")).alias("class_size"),
-        F.first("nulls").alias("nulls"),
+    return (
+        flat.withColumn("piece", F.get(F.transform(F.array("steps"), piece), F.lit(0)))
+        .groupBy(*qis)
+        .agg(
+            F.sum("piece").alias("distance"),
+            F.first(F.col("known_rows") + F.col("nulls")).alias("class_size"),
+            F.first("nulls").alias("nulls"),
+        )
     )
 
 

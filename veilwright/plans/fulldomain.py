@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,6 @@ from veilwright.operators.suppression import drop_classes
 from veilwright.spec import check_columns, check_fraction
 from veilwright.streaming import require_batch
 
-MAX_NODES = 4096
-
 
 def full_domain(
     df: DataFrame,
@@ -27,42 +25,43 @@ def full_domain(
 
     A level vector qualifies when at most ``budget`` of the rows sit in classes below ``k``;
     those rows are then removed.  The lowest is the one with the smallest sum of levels, the
-    first in column order among equals.  ``hierarchies`` may give a column its own array of labels
-    and the length of that array.  The table is reduced to its distinct classes once;
-    all vectors are judged in one pass over those, so rows are read twice however many
-    vectors there are.
+    first in column order among equals.  ``hierarchies`` may give a column its own array of
+    labels and the length of that array.
+
+    The table is reduced to its distinct classes once, with the labels of all levels; every
+    vector is then counted over those in one pass.  A vector is a plain number whose mixed
+    digits are the levels, so nothing is enumerated on the driver.
     """
     require_batch(df, "full-domain generalisation")
     check_columns(df.columns, list(qis), "quasi-identifier")
     check_fraction(budget, "budget")
     given = hierarchies or {}
     levels = {q: given[q] if q in given else levels_of(df, q, widening=True) for q in qis}
-    vectors = sorted(product(*[range(levels[q][1]) for q in qis]), key=lambda v: (sum(v), v))
-    if len(vectors) > MAX_NODES:
-        raise ValueError(f"{len(vectors)} level vectors exceed {MAX_NODES}; give shorter hierarchies")
-    table = F.array(*[F.array(*[F.lit(x) for x in v]) for v in vectors])
+    depth = [levels[q][1] for q in qis]
+
+    def digit(node: Column, i: int) -> Column:
+        return (F.floor(node / prod(depth[i + 1 :])) % depth[i]).cast("int")
 
     classes = df.groupBy(*qis).agg(F.count(F.lit(1)).alias("__n"))
-    tried = classes.withColumn("__node", F.explode(F.sequence(F.lit(1), F.lit(len(vectors)))))
-    vector = F.element_at(table, F.col("__node"))
-    labels = [F.get(levels[q][0], F.get(vector, F.lit(i))).alias(f"__g{i}") for i, q in enumerate(qis)]
-    sizes = (
-        tried.select("__node", "__n", *labels)
-        .groupBy("__node", *[f"__g{i}" for i in range(len(qis))])
-        .agg(F.sum("__n").alias("__rows"))
-    )
+    labelled = classes.select("__n", *[levels[q][0].alias(f"__labels_{i}") for i, q in enumerate(qis)])
+    tried = labelled.withColumn("__node", F.explode(F.sequence(F.lit(0), F.lit(prod(depth) - 1))))
+    names = [f"__label_{i}" for i in range(len(qis))]
+    chosen_labels = [F.get(f"__labels_{i}", digit(F.col("__node"), i)).alias(n) for i, n in enumerate(names)]
+    sizes = tried.select("__node", "__n", *chosen_labels).groupBy("__node", *names).agg(F.sum("__n").alias("__rows"))
     judged = sizes.groupBy("__node").agg(
         F.sum("__rows").alias("__all"),
         F.sum(F.when(F.col("__rows") < k, F.col("__rows")).otherwise(0)).alias("__small"),
     )
-    chosen = judged.filter(F.col("__small") <= F.col("__all") * F.lit(float(budget))).agg(F.min("__node")).scalar()
-    # a table of fewer than k rows has no qualifying vector: fall back to the top
-    node = F.coalesce(chosen, F.lit(len(vectors)))
-    at = F.element_at(table, node)
+    height = sum((digit(F.col("__node"), i) for i in range(1, len(qis))), digit(F.col("__node"), 0))
+    best = judged.filter(F.col("__small") <= F.col("__all") * F.lit(float(budget))).agg(
+        F.min(F.struct(height.alias("height"), F.col("__node").alias("node"))).alias("best")
+    )
+    # a table of fewer than k rows has no qualifying vector: fall back to the top of all columns
+    node = best.select(F.coalesce(F.col("best.node"), F.lit(prod(depth) - 1))).scalar()
     place = {q: i for i, q in enumerate(qis)}
     rows = df.select(
         *[
-            F.get(levels[c][0], F.get(at, F.lit(place[c]))).alias(c) if c in place else F.col(f"`{c}`")
+            F.get(levels[c][0], digit(node, place[c])).alias(c) if c in place else F.col(f"`{c}`")
             for c in df.columns
         ]
     )
