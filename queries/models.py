@@ -39,6 +39,7 @@ from queries.classes import (
     share_distance_ctes,
     wildcard_ctes,
 )
+from queries.generalisers import width_sql
 from veilwright.plans import classbased as models
 from veilwright.plans.dispatch import anonymize
 from veilwright.plans.fulldomain import full_domain
@@ -362,6 +363,17 @@ def k_raw_keys(spark, sf_dir):
     return models.k_anonymity_keys(df, ["c_nationkey", "c_mktsegment", "band"], K)
 
 
+@query(
+    f"""WITH w AS ({width_sql('customer', 'c_custkey', 'c_acctbal', 'last')}), n AS ({width_sql('customer', 'c_custkey', 'CAST(c_nationkey AS DOUBLE)', 'last')}),
+    g AS (SELECT c_custkey, c_name, n.label AS c_nationkey, w.label AS c_acctbal, '通用类别' AS c_mktsegment
+          FROM customer JOIN w USING (c_custkey) JOIN n USING (c_custkey)),
+    {wildcard_ctes('g', CUSTOMER_QIS, 190)} SELECT * FROM ls"""
+)
+def k_local_ranges(spark, sf_dir):
+    """The first generation: no rules, equal-width bins, cells blanked."""
+    return models.k_anonymity_local(customers(spark, sf_dir), CUSTOMER_QIS, 190, style="ranges")
+
+
 @query(
     f"""WITH types AS (SELECT c_mktsegment AS v, 'type' || CAST(row_number() OVER (ORDER BY min(c_custkey)) AS VARCHAR) AS label FROM customer GROUP BY 1),
     {CUSTOMERS}, n AS (SELECT g.* REPLACE (label AS c_mktsegment) FROM g JOIN types ON types.v = g.c_mktsegment),

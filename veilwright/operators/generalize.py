@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from veilwright.functions.values import as_moment, is_number, number_as_read, nu
 from veilwright.operators.bins import dates_adaptive, dates_equal, equal_width, general, year
 from veilwright.operators.categories import category, typed, value_text
 from veilwright.operators.matching import all_of
-from veilwright.spec import DEFAULT_MASK, GENERAL, GENERAL_FIRST, Rule, check_columns
+from veilwright.spec import DEFAULT_MASK, GENERAL, GENERAL_FIRST, UNKNOWN, Rule, check_columns
 
 
 def ordering(df: DataFrame, name: str, rule: Rule) -> Column:
@@ -85,13 +86,25 @@ def generalize_known(df: DataFrame, qis: Sequence[str], rules: Mapping[str, Rule
     )
 
 
-# How flat rules differ between the generations of the rule language: where NULL numbers go,
-# how text is masked and what a date becomes.
+@dataclass(frozen=True)
+class Style:
+    """How one generation of flat rules treats a column."""
+
+    null_bin: str  # where unknown numbers go, see equal_width
+    dates: Callable[[DataFrame, str], Column] | None = None
+    mask: str = ""  # "constant" or "tail"
+    types: bool = False  # whether categories become numbered types
+    unknown_type: str | None = None  # what an unknown category becomes
+    text_only: bool = False  # cut text only: other values, and the marker itself, get no exception
+    rest: str = GENERAL  # the category of all that is no number and has no rule
+
+
 STYLES = {
-    "ranges": {"null_bin": "last", "mask": None, "dates": None, "rest": GENERAL_FIRST},
-    "adaptive": {"null_bin": "first", "mask": "constant", "dates": dates_adaptive, "rest": GENERAL},
-    "yearly": {"null_bin": "first", "mask": "tail", "dates": year, "rest": GENERAL},
-    "equal": {"null_bin": "null", "mask": "tail", "dates": dates_equal, "rest": GENERAL},
+    "ranges": Style("last", rest=GENERAL_FIRST),
+    "adaptive": Style("first", dates_adaptive, "constant"),
+    "years": Style("first", year, "constant"),
+    "yearly": Style("first", year, "tail", types=True, unknown_type=UNKNOWN, text_only=True),
+    "equal": Style("null", dates_equal, "tail", types=True),
 }
 
 
@@ -111,26 +124,25 @@ def generalize_auto(
     rewritten: dict[str, Column] = {}
     numbered: list[str] = []
     for name in qis:
-        method = rules[name].method if name in rules and style != "ranges" else None
-        if method is None:
-            rewritten[name] = equal_width(df, name, chosen["null_bin"]) if is_number(df, name) else general(chosen["rest"])
-        elif method == "ordering":
-            rewritten[name] = equal_width(df, name, chosen["null_bin"])
-        elif method == "masking" and chosen["mask"] == "constant":
+        method = rules[name].method if name in rules else None
+        number = is_number(df, name)
+        if method == "ordering" or (method is None and number):
+            rewritten[name] = equal_width(df, name, chosen.null_bin)
+        elif method is None:
+            rewritten[name] = general(chosen.rest)
+        elif method == "masking" and (chosen.mask == "constant" or (chosen.mask and chosen.text_only and number)):
             rewritten[name] = mask_constant()
-        elif method == "masking" and style == "yearly" and is_number(df, name):
-            rewritten[name] = mask_constant()  # only text is cut in this style
-        elif method == "masking":
-            rewritten[name] = mask_tail(value_text(df, name), marker_stays=style != "yearly")
-        elif method == "dates":
-            rewritten[name] = chosen["dates"](df, name)
-        elif method == "category" and style in ("yearly", "equal"):
+        elif method == "masking" and chosen.mask:
+            rewritten[name] = mask_tail(value_text(df, name), marker_stays=not chosen.text_only)
+        elif method == "dates" and chosen.dates is not None:
+            rewritten[name] = chosen.dates(df, name)
+        elif method == "category" and chosen.types:
             numbered.append(name)
         else:
             raise ValueError(f"rule {method!r} of column {name!r} is unknown in style {style!r}")
+    if numbered and order_col is None:
+        raise ValueError(f"rule 'category' of {', '.join(numbered)} needs order_col to count types by")
     out = df
     for name in numbered:
-        if order_col is None:
-            raise ValueError(f"rule 'category' of column {name!r} needs order_col to count types by")
-        out = typed(out, name, order_col, null_as="Unknown" if style == "yearly" else None)
+        out = typed(out, name, order_col, null_as=chosen.unknown_type)
     return out.select(*[rewritten[c].alias(c) if c in rewritten else F.col(f"`{c}`") for c in df.columns])

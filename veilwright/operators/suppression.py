@@ -82,7 +82,8 @@ def hash_cut(hashes: DataFrame, fraction: float, unique: bool) -> DataFrame:
     )
     if unique:
         clash = F.raise_error(F.lit("key columns do not identify rows: the cut falls on a repeated key"))
-        at_cut = at_cut.withColumn("spare", F.when(F.col("spare") > 0, clash.cast("bigint")).otherwise(F.lit(0)))
+        tied = (F.col("spare") > 0) & (F.col("spare") < F.col("n"))
+        at_cut = at_cut.withColumn("spare", F.when(tied, clash.cast("bigint")).otherwise(F.lit(0)))
         # the check must not be pruned away with the column it fills
         at_cut = at_cut.filter(F.col("spare") == 0)
     return at_cut.agg(F.first(HASH).alias("hash"), F.first("spare").alias("spare"))

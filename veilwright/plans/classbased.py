@@ -41,16 +41,17 @@ def _second_salt(seed: int) -> str:
 
 
 def generalized(
-    df: DataFrame, qis: Sequence[str], rules: Rules, order_col: str | None = None, style: str = "equal"
+    df: DataFrame, qis: Sequence[str], rules: Rules, order_col: str | None = None, style: str | None = None
 ) -> DataFrame:
     """Apply layered rules, or flat ones with their defaults when any rule is flat.
 
-    Style ``"types"`` is for layered rules whose categories become numbered types.
+    A named ``style`` asks for flat rules and defaults even where there are no rules at all;
+    ``"types"`` is for layered rules whose categories become numbered types.
     """
     if style == "types":
         return generalize_typed(df, rules, order_col)
-    if any(rule.flat for rule in rules.values()):
-        return generalize_auto(df, qis, rules, style=style, order_col=order_col)
+    if style is not None or any(rule.flat for rule in rules.values()):
+        return generalize_auto(df, qis, rules, style=style or "equal", order_col=order_col)
     return generalize(df, rules)
 
 
@@ -184,7 +185,7 @@ def k_anonymity_strict(
     rules: Rules | None = None,
     order_col: str | None = None,
     importance: Sequence[str] | None = None,
-    style: str = "equal",
+    style: str | None = None,
 ) -> DataFrame:
     """Blank cells, drop rows with a masked or unknown quasi-identifier, drop small classes."""
     rows = local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k, importance)
@@ -198,7 +199,7 @@ def k_anonymity_local(
     k: int,
     rules: Rules | None = None,
     order_col: str | None = None,
-    style: str = "equal",
+    style: str | None = None,
 ) -> DataFrame:
     """Generalise and blank cells, nothing else: k-anonymous with NULL matching anything."""
     return local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k)
@@ -245,7 +246,7 @@ def l_diversity_strict(
     l: int,  # noqa: E741
     rules: Rules | None = None,
     order_col: str | None = None,
-    style: str = "equal",
+    style: str | None = None,
 ) -> DataFrame:
     """Strict k-anonymity, then drop classes with fewer than ``l`` values, unknown being one."""
     rows = k_anonymity_strict(df, qis, k, rules, order_col, style=style)
@@ -273,7 +274,7 @@ def l_diversity_report(
     l: int,  # noqa: E741
     rules: Rules | None = None,
     order_col: str | None = None,
-    style: str = "equal",
+    style: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The generalised table as it is, and the diversity measures of its classes."""
     rows = generalized(df, qis, rules or {}, order_col, style)
@@ -288,7 +289,7 @@ def t_closeness_strict(
     t: float,
     rules: Rules | None = None,
     order_col: str | None = None,
-    style: str = "equal",
+    style: str | None = None,
 ) -> DataFrame:
     """Blank cells, drop masked rows, drop classes far from the original table.
 
@@ -307,7 +308,7 @@ def t_closeness_report(
     t: float,
     rules: Rules | None = None,
     order_col: str | None = None,
-    style: str = "equal",
+    style: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The generalised table as it is, and the classes whose KL divergence exceeds ``t``."""
     rows = generalized(df, qis, rules or {}, order_col, style)
@@ -322,7 +323,7 @@ def km_anonymity_strict(
     m: int,
     rules: Rules | None = None,
     order_col: str | None = None,
-    style: str = "equal",
+    style: str | None = None,
 ) -> DataFrame:
     """Blank cells, then keep classes of ``k`` rows or more and ``m`` values or more, unknown being one."""
     rows = with_known_qis(local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k), qis)
