@@ -223,7 +223,7 @@ def far_sql(rows: str, base: str, qis, value: str, t: float, base_value: str | N
     q = ", ".join(qis)
     return f"""{share_distance_ctes(rows, base, qis, value, base_value)},
     far AS (SELECT {q} FROM w SEMI JOIN (SELECT {q} FROM {rows} GROUP BY {q}
-            HAVING count(*) >= 2 AND count(*) = count({value})) USING ({q}) WHERE distance > {t})"""
+            HAVING count(*) >= 2 AND count(*) = count({value})) USING ({q}) WHERE round(distance, 12) > {t})"""
 
 
 @query(
@@ -262,7 +262,7 @@ def t_strict(spark, sf_dir):
 @query(
     f"""WITH {CUSTOMERS}, {aligned_ctes('g', 'g', BALANCE_QIS, 'c_mktsegment')},
     d AS (SELECT {BQ}, {KL} AS distance FROM al GROUP BY {BQ})
-    SELECT {BQ}, round(distance, {DIGITS}) + 0.0::DOUBLE AS distance FROM d WHERE distance > {T}"""
+    SELECT {BQ}, round(distance, {DIGITS}) + 0.0::DOUBLE AS distance FROM d WHERE round(distance, 12) > {T}"""
 )
 def t_kl_report(spark, sf_dir):
     _, far = models.t_closeness_report(customers(spark, sf_dir), BALANCE_QIS, "c_mktsegment", T, CUSTOMER_RULES)
@@ -272,7 +272,7 @@ def t_kl_report(spark, sf_dir):
 @query(
     f"""WITH {CUSTOMERS}, b AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY {BQ}) >= 12),
     {aligned_ctes('b', 'b', BALANCE_QIS, 'c_mktsegment')},
-    far AS (SELECT {BQ} FROM al GROUP BY {BQ} HAVING {L1} > 0.45),
+    far AS (SELECT {BQ} FROM al GROUP BY {BQ} HAVING round({L1}, 12) > 0.45),
     {cut_sql('b', f'SELECT b.* FROM b SEMI JOIN far USING ({BQ})', 'c_custkey', '42', THRESHOLD, 'kb')} SELECT * FROM kb"""
 )
 def t_l1(spark, sf_dir):
@@ -324,7 +324,7 @@ def km_strict(spark, sf_dir):
     SELECT {OQ}, class_size, nulls, distinct_values, top_count, distinct_with_null, round(top_share, {DIGITS}) AS top_share,
     round(distance, {DIGITS}) + 0.0::DOUBLE AS share_distance, round(kl, {DIGITS}) + 0.0::DOUBLE AS kl_divergence,
     class_size < 60 AS below_k, distinct_values < 3 AS below_l, top_share > 1 / 2.5::DOUBLE AS above_share,
-    class_size >= 2 AND distance > 0.035 AS beyond_t
+    class_size >= 2 AND round(distance, 12) > 0.035 AS beyond_t
     FROM s JOIN w USING ({OQ}) JOIN kl USING ({OQ})"""
 )
 def class_report(spark, sf_dir):

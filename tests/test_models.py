@@ -212,3 +212,30 @@ def test_lineage_is_cut_into_the_named_folder(spark, tmp_path):
     assert df.count() == 5
     assert spark.sparkContext.getCheckpointDir().startswith("file:" + spark.conf.get("spark.checkpoint.dir"))
     assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_awkward_column_names(spark):
+    """Dots, and the names the plans use themselves."""
+    data = [(i, i % 3, "ab"[i % 2], "xyz"[i % 3 - 1], True) for i in range(24)]
+    for names in (["id", "my.age", "n", "values", "flag"], ["id", "value", "share", "rows", "level"], ["id", "a b", "piece", "n", "total"]):
+        df = spark.createDataFrame(data, names)
+        qis, sensitive = names[1:3], names[3]
+        outs = [
+            models.k_anonymity(df, qis, 5, threshold=0.5, key=["id"]),
+            models.k_anonymity(df, qis, 5, threshold=0.5),
+            models.k_anonymity_strict(df, qis, 4),
+            models.k_anonymity_new_nulls(df, qis, 4),
+            models.l_diversity(df, qis, sensitive, 2, 2, threshold=0.5, key=["id"]),
+            models.l_diversity_suppress(df, qis, sensitive, 2, 2),
+            models.t_closeness(df, qis, sensitive, 2, 0.1, threshold=0.5, key=["id"]),
+            models.t_closeness_l1(df, qis, sensitive, 2, 0.1, threshold=0.5, key=["id"]),
+            models.km_anonymity(df, qis, [sensitive], 2, 2.0, threshold=0.5, key=["id"]),
+            full_domain(df, qis, 4),
+        ]
+        for out in outs:
+            assert out.columns == names and out.count() <= 24
+    report = privacy_report(df, df, qis, sensitive, k=2)
+    assert report.count() == 6
+    clash = df.withColumnRenamed("piece", "distance")
+    with pytest.raises(ValueError, match="rename distance"):
+        models.t_closeness(clash, ["distance"], "n", 2, 0.1)

@@ -20,6 +20,8 @@ def value_text(df: DataFrame, name: str) -> Column:
     column = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, FRACTIONAL):
         return number_text(column)
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return F.initcap(column.cast("string"))
     return column.cast("string")
 
 

@@ -17,11 +17,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.operators.matching import all_of, attach
-from veilwright.spec import MASKED
+from veilwright.operators.matching import all_of, attach, cols
+from veilwright.spec import MASKED, check_free
 from veilwright.streaming import require_batch
 
 
+STATISTICS = ("class_size", "nulls", "distinct_values", "distinct_with_null", "top_count", "top_share")
+
+
 def with_known_qis(df: DataFrame, qis: Sequence[str]) -> DataFrame:
     """Rows that belong to a class: none of their quasi-identifiers is NULL."""
     return df.filter(all_of([F.col(f"`{q}`").isNotNull() for q in qis]))
@@ -36,7 +39,8 @@ def without_masked(df: DataFrame, qis: Sequence[str]) -> DataFrame:
 
 def class_sizes(df: DataFrame, qis: Sequence[str]) -> DataFrame:
     require_batch(df, "class size")
-    return with_known_qis(df, qis).groupBy(*qis).agg(F.count(F.lit(1)).alias("class_size"))
+    check_free(qis, ["class_size"])
+    return with_known_qis(df, qis).groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("class_size"))
 
 
 def attach_class_size(df: DataFrame, qis: Sequence[str]) -> DataFrame:
@@ -45,9 +49,9 @@ def attach_class_size(df: DataFrame, qis: Sequence[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
-    """(class, sensitive values, ``n``); rows with a NULL sensitive value count under NULL."""
+    """(class, sensitive values, ``__n``); rows with a NULL sensitive value count under NULL."""
     require_batch(df, "class statistics")
-    return with_known_qis(df, qis).groupBy(*qis, *sensitive).agg(F.count(F.lit(1)).alias("n"))
+    return with_known_qis(df, qis).groupBy(*cols([*qis, *sensitive])).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def _known(sensitive: Sequence[str]) -> Column:
@@ -61,13 +65,14 @@ def class_stats(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) ->
     (known values), ``distinct_with_null``, ``top_count`` and ``top_share`` (the most
     frequent known value among the known rows).
     """
+    check_free(qis, STATISTICS)
     known = _known(sensitive)
     counted = value_counts(df, qis, sensitive)
-    stats = counted.groupBy(*qis).agg(
-        F.sum("n").alias("class_size"),
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("nulls"),
+    stats = counted.groupBy(*cols(qis)).agg(
+        F.sum("__n").alias("class_size"),
+        F.coalesce(F.sum(F.when(~known, F.col("__n"))), F.lit(0)).alias("nulls"),
         F.count(F.when(known, F.lit(1))).alias("distinct_values"),
-        F.max(F.when(known, F.col("n"))).alias("top_count"),
+        F.max(F.when(known, F.col("__n"))).alias("top_count"),
     )
     known_rows = F.col("class_size") - F.col("nulls")
     return stats.withColumns(
@@ -78,33 +83,43 @@ def class_stats(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) ->
     )
 
 
+def own_shares(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
+    """``class_shares`` under working names: ``__n`` and ``__share``."""
+    counted = value_counts(df, qis, sensitive).filter(_known(sensitive))
+    totals = counted.groupBy(*cols(qis)).agg(F.sum("__n").alias("__known"))
+    both = attach(counted, totals, qis, ["__known"])
+    return both.withColumn("__share", F.col("__n") / F.col("__known")).drop("__known")
+
+
 def class_shares(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
     """(class, sensitive values, ``n``, ``share`` among the rows of the class with known values)."""
-    counted = value_counts(df, qis, sensitive).filter(_known(sensitive))
-    totals = counted.groupBy(*qis).agg(F.sum("n").alias("known_rows"))
-    both = attach(counted, totals, qis, ["known_rows"])
-    return both.withColumn("share", F.col("n") / F.col("known_rows")).drop("known_rows")
+    check_free([*qis, *sensitive], ["n", "share"])
+    return own_shares(df, qis, sensitive).withColumnsRenamed({"__n": "n", "__share": "share"})
 
 
 def global_shares(df: DataFrame, sensitive: str) -> DataFrame:
     """(sensitive value, ``n``, ``share``) over all rows with a known value."""
     require_batch(df, "the global distribution")
-    counted = df.filter(F.col(f"`{sensitive}`").isNotNull()).groupBy(sensitive).agg(F.count(F.lit(1)).alias("n"))
+    check_free([sensitive], ["n", "share"])
+    known = df.filter(F.col(f"`{sensitive}`").isNotNull())
+    counted = known.groupBy(*cols([sensitive])).agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n")).scalar()
     return counted.withColumn("share", F.col("n") / total)
 
 
 def count_profile(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
-    """(class, ``n``, ``values``, ``unknown``): how many known sensitive values occur ``n`` times.
+    """(class, ``__n``, ``__values``, ``__unknown``): how many known values occur ``__n`` times.
 
-    The rows with an unknown value are counted in ``unknown``, on a row of their own with
-    NULL for ``n`` and no values.
+    The rows with an unknown value are counted in ``__unknown``, on a row of their own with
+    NULL for ``__n`` and no values.
     """
     known = F.col(f"`{sensitive}`").isNotNull()
     counted = value_counts(df, qis, [sensitive]).select(
-        *qis,
-        F.when(known, F.col("n")).alias("n"),
-        F.when(known, 1).otherwise(0).alias("one"),
-        F.when(known, 0).otherwise(F.col("n")).alias("unknown"),
+        *cols(qis),
+        F.when(known, F.col("__n")).alias("__n"),
+        F.when(known, 1).otherwise(0).alias("__one"),
+        F.when(known, 0).otherwise(F.col("__n")).alias("__unknown"),
+    )
+    return counted.groupBy(*cols(qis), "__n").agg(
+        F.sum("__one").alias("__values"), F.sum("__unknown").alias("__unknown")
     )
-    return counted.groupBy(*qis, "n").agg(F.sum("one").alias("values"), F.sum("unknown").alias("unknown"))

@@ -8,8 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.functions.search import count_below
-from veilwright.operators.classes import class_shares, count_profile, global_shares
-from veilwright.operators.matching import attach
+from veilwright.operators.classes import count_profile, global_shares, own_shares
+from veilwright.operators.matching import attach, cols
+from veilwright.spec import check_free
+
+
+# Fixed value: decimals a distance keeps.
+DECIMALS = 12
+
+
+def _settled(total: Column) -> Column:
+    """A sum without the noise of the order in which its terms arrive.
+
+    Tasks deliver in any order, so the last bits of a sum of doubles change from run to run.
+    A class exactly at the threshold must not be judged now one way and now the other.
+    """
+    return F.round(total, DECIMALS)
 
 
 def _share_steps(base: DataFrame, sensitive: str) -> Column:
@@ -19,7 +33,8 @@ def _share_steps(base: DataFrame, sensitive: str) -> Column:
     up to at most N, so there are at most sqrt(2N) steps: 1.4 million for 10^12 rows.  That
     bound is why the steps may be ordered in one task and travel as one value.
     """
-    counted = base.filter(F.col(f"`{sensitive}`").isNotNull()).groupBy(sensitive).agg(F.count(F.lit(1)).alias("n"))
+    known = base.filter(F.col(f"`{sensitive}`").isNotNull()).select(F.col(f"`{sensitive}`").alias("value"))
+    counted = known.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     steps = counted.groupBy("n").agg(F.count(F.lit(1)).alias("values"))
     order = Window.orderBy("n")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -58,23 +73,23 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
     and the one point where the global function crosses that level.  No pairing of classes
     with global values is needed: each class step costs a few binary searches.
     """
-    mine = Window.partitionBy(*qis).orderBy(F.col("n").asc_nulls_first())
+    mine = Window.partitionBy(*cols(qis)).orderBy(F.col("__n").asc_nulls_first())
     upto = mine.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    profile = count_profile(df, qis, sensitive).withColumn("rows", F.col("n") * F.col("values"))
+    profile = count_profile(df, qis, sensitive).withColumn("__rows", F.col("__n") * F.col("__values"))
     flat = profile.select(
-        *qis,
-        "n",
-        F.lag("n").over(mine).alias("lower"),
-        F.lead("n").over(mine).alias("higher"),
-        F.sum("values").over(upto).alias("reached"),
-        F.sum("values").over(whole).alias("all_values"),
-        F.sum("rows").over(whole).alias("known_rows"),
-        F.sum("unknown").over(whole).alias("nulls"),
-    ).filter(F.col("n").isNotNull())
-    start = F.col("n") / F.col("known_rows")
-    stop = F.coalesce(F.col("higher") / F.col("known_rows"), F.lit(1.0))
-    level = F.col("reached") / F.col("all_values")
+        *cols(qis),
+        "__n",
+        F.lag("__n").over(mine).alias("__lower"),
+        F.lead("__n").over(mine).alias("__higher"),
+        F.sum("__values").over(upto).alias("__reached"),
+        F.sum("__values").over(whole).alias("__all_values"),
+        F.sum("__rows").over(whole).alias("__known_rows"),
+        F.sum("__unknown").over(whole).alias("__nulls"),
+    ).filter(F.col("__n").isNotNull())
+    start = F.col("__n") / F.col("__known_rows")
+    stop = F.coalesce(F.col("__higher") / F.col("__known_rows"), F.lit(1.0))
+    level = F.col("__reached") / F.col("__all_values")
 
     def piece(steps: Column) -> Column:
         # the share at which the global function reaches the level of this flat piece
@@ -83,26 +98,28 @@ def share_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive
         at_start, at_cross, at_stop = (_area_below(steps, x) for x in (start, cross, stop))
         before = level * (cross - start) - (at_cross - at_start)
         after = (at_stop - at_cross) - level * (stop - cross)
-        return F.when(F.col("lower").isNull(), at_start).otherwise(0.0) + before + after
+        return F.when(F.col("__lower").isNull(), at_start).otherwise(0.0) + before + after
 
     # The analyser takes no subquery inside a lambda, so the steps come in as a column.  It is
     # used once and beside plain columns only, so the optimizer puts the constant straight into
     # the expression and rows do not carry a copy of it (a test looks at the plan for this).
-    flat = flat.withColumn("steps", _share_steps(base, sensitive))
+    flat = flat.withColumn("__steps", _share_steps(base, sensitive))
     return (
-        flat.withColumn("piece", F.get(F.transform(F.array("steps"), piece), F.lit(0)))
-        .groupBy(*qis)
+        flat.withColumn("__piece", F.get(F.transform(F.array("__steps"), piece), F.lit(0)))
+        .groupBy(*cols(qis))
         .agg(
-            F.sum("piece").alias("distance"),
-            F.first(F.col("known_rows") + F.col("nulls")).alias("class_size"),
-            F.first("nulls").alias("nulls"),
+            _settled(F.sum("__piece")).alias("distance"),
+            F.first(F.col("__known_rows") + F.col("__nulls")).alias("class_size"),
+            F.first("__nulls").alias("nulls"),
         )
     )
 
 
 def _aligned(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
-    world = global_shares(base, sensitive).select(sensitive, F.col("share").alias("global_share"))
-    return attach(class_shares(df, qis, [sensitive]), world, [sensitive], ["global_share"])
+    value = F.col(f"`{sensitive}`")
+    world = global_shares(base.select(value.alias("value")), "value")
+    world = world.select(F.col("value").alias(sensitive), F.col("share").alias("__global"))
+    return attach(own_shares(df, qis, [sensitive]), world, [sensitive], ["__global"])
 
 
 def kl_divergence(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
@@ -111,8 +128,8 @@ def kl_divergence(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive:
     A value absent from the class adds nothing, and every value of the class that occurs in
     ``base`` has a positive global share, so only class values are looked at.
     """
-    p, q = F.col("share"), F.col("global_share")
-    return _aligned(df, base, qis, sensitive).groupBy(*qis).agg(F.sum(p * F.log(p / q)).alias("distance"))
+    p, q = F.col("__share"), F.col("__global")
+    return _aligned(df, base, qis, sensitive).groupBy(*cols(qis)).agg(_settled(F.sum(p * F.log(p / q))).alias("distance"))
 
 
 def l1_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
@@ -121,9 +138,9 @@ def l1_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: s
     Values absent from the class add their own global share; all global shares add up to 1,
     so they are accounted for by ``1 - (global share of the values present)``.
     """
-    p, q = F.col("share"), F.col("global_share")
+    p, q = F.col("__share"), F.col("__global")
     return (
-        _aligned(df, base, qis, sensitive).groupBy(*qis).agg((F.lit(1.0) + F.sum(F.abs(q - p) - q)).alias("distance"))
+        _aligned(df, base, qis, sensitive).groupBy(*cols(qis)).agg(_settled(F.lit(1.0) + F.sum(F.abs(q - p) - q)).alias("distance"))
     )
 
 
@@ -133,4 +150,5 @@ DISTANCES = {"shares": share_distance, "kl": kl_divergence, "l1": l1_distance}
 def class_distance(df: DataFrame, base: DataFrame, qis: Sequence[str], sensitive: str, kind: str = "shares") -> DataFrame:
     if kind not in DISTANCES:
         raise ValueError(f"unknown distance {kind!r}; choose one of {', '.join(DISTANCES)}")
+    check_free(qis, ["distance", "class_size", "nulls"])
     return DISTANCES[kind](df, base, qis, sensitive)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.operators.classes import count_profile
+from veilwright.operators.matching import cols
 
 
 def diversity_measures(df: DataFrame, qis: Sequence[str], sensitive: str, l: int, c: float = 1.0) -> DataFrame:  # noqa: E741
@@ -19,22 +20,22 @@ def diversity_measures(df: DataFrame, qis: Sequence[str], sensitive: str, l: int
     The counts are held as (count, number of values), so the running total that finds the
     l - 1 largest stays short in every class.
     """
-    largest_first = Window.partitionBy(*qis).orderBy(F.col("n").desc())
+    largest_first = Window.partitionBy(*cols(qis)).orderBy(F.col("__n").desc())
     upto = largest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = largest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    profile = count_profile(df, qis, sensitive).filter("n IS NOT NULL").select(
-        *qis,
-        "n",
-        "values",
-        (F.sum("values").over(upto) - F.col("values")).alias("ahead"),
-        F.sum(F.col("n") * F.col("values")).over(whole).alias("rows"),
+    profile = count_profile(df, qis, sensitive).filter("__n IS NOT NULL").select(
+        *cols(qis),
+        "__n",
+        "__values",
+        (F.sum("__values").over(upto) - F.col("__values")).alias("__ahead"),
+        F.sum(F.col("__n") * F.col("__values")).over(whole).alias("__rows"),
     )
-    share = F.col("n") / F.col("rows")
-    tail_values = F.greatest(F.lit(0), F.least(F.col("values"), F.col("ahead") + F.col("values") - (l - 1)))
-    measured = profile.groupBy(*qis).agg(
-        F.sum("values").alias("distinct_values"),
-        F.exp(-F.sum(F.col("values") * share * F.log(share))).alias("entropy_l"),
-        F.max("n").alias("top_count"),
-        F.sum(F.col("n") * tail_values).alias("tail_count"),
+    share = F.col("__n") / F.col("__rows")
+    tail_values = F.greatest(F.lit(0), F.least(F.col("__values"), F.col("__ahead") + F.col("__values") - (l - 1)))
+    measured = profile.groupBy(*cols(qis)).agg(
+        F.sum("__values").alias("distinct_values"),
+        F.exp(-F.sum(F.col("__values") * share * F.log(share))).alias("entropy_l"),
+        F.max("__n").alias("top_count"),
+        F.sum(F.col("__n") * tail_values).alias("tail_count"),
     )
     return measured.withColumn("recursive_ok", F.col("top_count") < F.lit(float(c)) * F.col("tail_count"))

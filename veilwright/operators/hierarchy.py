@@ -61,10 +61,10 @@ def levels_of(df: DataFrame, name: str, widening: bool = False) -> tuple[Column,
 def hierarchy_table(df: DataFrame, name: str, widening: bool = False) -> DataFrame:
     """(``value``, ``level``, ``label``) for every distinct known value of the column."""
     labels, _ = levels_of(df, name, widening)
-    known = df.filter(F.col(f"`{name}`").isNotNull()).select(name).distinct()
+    known = df.filter(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`")).distinct()
     return known.select(F.col(f"`{name}`").alias("value"), F.posexplode(labels).alias("level", "label"))
 
 
 def sorted_values(df: DataFrame, name: str) -> DataFrame:
     """The distinct known values in order: the lowest level of a hierarchy."""
-    return df.filter(F.col(f"`{name}`").isNotNull()).select(name).distinct().orderBy(name)
+    return df.filter(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`")).distinct().orderBy(F.col(f"`{name}`"))

@@ -24,7 +24,8 @@ def all_of(tests: Sequence[Column]) -> Column:
     return reduce(and_, tests)
 
 
-def _quoted(names: Sequence[str]) -> list[Column]:
+def cols(names: Sequence[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
     return [F.col(f"`{n}`") for n in names]
 
 
@@ -42,7 +43,7 @@ def key_side(rows: DataFrame, keyed: DataFrame, names: Sequence[str], *carried:
 
 def same_key(names: Sequence[str], join: object, null_safe: bool = False) -> Column:
     """Row and ``key_side`` agree; with ``null_safe`` NULL is a value like any other."""
-    columns = _quoted(names)
+    columns = cols(names)
     pairs = [(column, F.col(f"__key_{i}")) for i, column in enumerate(columns)]
     equal = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
     return all_of([_fingerprint(columns, join) == F.col("__print"), *equal])
@@ -51,4 +52,4 @@ def same_key(names: Sequence[str], join: object, null_safe: bool = False) -> Col
 def attach(rows: DataFrame, keyed: DataFrame, names: Sequence[str], carried: Sequence[str], how: str = "inner") -> DataFrame:
     """Add the ``carried`` columns of a table with one row per key."""
     side = key_side(rows, keyed, names, *carried, join="attach")
-    return rows.join(side, same_key(names, "attach"), how).select(*_quoted(rows.columns), *_quoted(carried))
+    return rows.join(side, same_key(names, "attach"), how).select(*cols(rows.columns), *cols(carried))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilwright.operators.matching import all_of, key_side, same_key
+from veilwright.operators.matching import all_of, cols, key_side, same_key
 from veilwright.spec import check_columns
 from veilwright.streaming import require_batch
 
@@ -44,7 +44,7 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
     if len(qis) > MAX_QIS:
         raise ValueError(f"local suppression takes at most {MAX_QIS} quasi-identifiers, got {len(qis)}")
     order = _subset_order(qis, importance or qis)
-    classes = df.groupBy(*qis).agg(F.count(F.lit(1)).alias("__n"))
+    classes = df.groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("__n"))
     picks = classes.filter(F.col("__n") < k)
     if order:
         ranks = F.sequence(F.lit(1), F.lit(len(order)))
@@ -70,7 +70,7 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
         agree = all_of(
             [F.col("__rank") == F.col("__of")] + [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in kept_names]
         )
-        best = project(picks).join(counts, agree, "left_semi").groupBy(*qis).agg(F.min("__rank").alias("__rank"))
+        best = project(picks).join(counts, agree, "left_semi").groupBy(*cols(qis)).agg(F.min("__rank").alias("__rank"))
         best = key_side(df, best, qis, "__rank", join="best")
         picks = picks.join(best, same_key(qis, "best", null_safe=True), "left").withColumn(
             "__mask", F.when(F.col("__rank").isNull(), 0).otherwise(F.get(masks, F.col("__rank") - 1))

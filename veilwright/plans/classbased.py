@@ -132,7 +132,7 @@ def distant_classes(
         return far.filter((F.col("nulls") == 0) & (F.col("class_size") >= 2))
     stats = class_stats(df, qis, [sensitive])
     judged = stats.filter((F.col("nulls") == 0) & (F.col("class_size") >= 2))
-    return far.join(judged.select(*qis), on=list(qis), how="left_semi")
+    return rows_of(far, judged, qis)
 
 
 def t_closeness(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.operators.hierarchy import levels_of
+from veilwright.operators.matching import cols
 from veilwright.operators.suppression import drop_classes
 from veilwright.spec import check_columns, check_fraction
 from veilwright.streaming import require_batch
@@ -42,7 +43,7 @@ def full_domain(
     def digit(node: Column, i: int) -> Column:
         return (F.floor(node / prod(depth[i + 1 :])) % depth[i]).cast("int")
 
-    classes = df.groupBy(*qis).agg(F.count(F.lit(1)).alias("__n"))
+    classes = df.groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("__n"))
     labelled = classes.select("__n", *[levels[q][0].alias(f"__labels_{i}") for i, q in enumerate(qis)])
     tried = labelled.withColumn("__node", F.explode(F.sequence(F.lit(0), F.lit(prod(depth) - 1))))
     names = [f"__label_{i}" for i in range(len(qis))]
@@ -65,5 +66,5 @@ def full_domain(
             for c in df.columns
         ]
     )
-    small = rows.groupBy(*qis).agg(F.count(F.lit(1)).alias("class_size")).filter(F.col("class_size") < k)
+    small = rows.groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("class_size")).filter(F.col("class_size") < k)
     return drop_classes(rows, small, qis, null_safe=True)

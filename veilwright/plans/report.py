@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwright.operators.classes import class_stats
 from veilwright.operators.distance import kl_divergence, share_distance
+from veilwright.operators.matching import attach
 
 
 def privacy_report(
@@ -26,10 +27,11 @@ def privacy_report(
     ``df`` is the generalised table and ``base`` the original one the distances refer to.
     """
     stats = class_stats(df, qis, [sensitive])
-    keys = list(qis)
-    report = stats.join(
-        share_distance(df, base, qis, sensitive).select(*keys, F.col("distance").alias("share_distance")), keys, "left"
-    ).join(kl_divergence(df, base, qis, sensitive).withColumnRenamed("distance", "kl_divergence"), keys, "left")
+    apart = {"share_distance": share_distance, "kl_divergence": kl_divergence}
+    report = stats
+    for name, measure in apart.items():
+        measured = measure(df, base, qis, sensitive).withColumnRenamed("distance", name)
+        report = attach(report, measured, qis, [name], how="left")
     flags = {}
     if k is not None:
         flags["below_k"] = F.col("class_size") < k

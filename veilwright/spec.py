@@ -126,6 +126,13 @@ def check_columns(columns: Sequence[str], wanted: Sequence[str], role: str) -> N
         raise ValueError(f"{role} column(s) not in the table: {', '.join(missing)}")
 
 
+def check_free(names: Sequence[str], taken: Sequence[str]) -> None:
+    """Refuse input columns named like the result columns that would stand beside them."""
+    clash = [name for name in names if name in taken]
+    if clash:
+        raise ValueError(f"rename {', '.join(clash)}: the result has columns of that name")
+
+
 @dataclass(frozen=True)
 class PrivacyRequest:
     """Everything one anonymisation needs.  ``key`` names columns that identify a row."""
