@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 from queries.base import (
     BALANCE,
     BALANCE_QIS,
-    CUSTOMER_KEY,
     CUSTOMER_QIS,
     CUSTOMER_RULES,
     CUSTOMERS,
-    FINE_QIS,
     K,
     ORDER_QIS,
     ORDER_RULES,
     ORDERS,
-    THRESHOLD,
     customers,
     cut_sql,
     orders,
@@ -68,7 +65,6 @@ def gen_customers(spark, sf_dir):
 OQ = ", ".join(ORDER_QIS)
 CQ = ", ".join(CUSTOMER_QIS)
 BQ = ", ".join(BALANCE_QIS)
-FQ = ", ".join(FINE_QIS)
 
 
 @query(f"WITH {ORDERS} SELECT {OQ}, count(*) AS class_size FROM g GROUP BY {OQ}")
