@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Copies of one row are written out again in blocks of so many, to keep arrays short.
 COPY_BLOCK = 65_536
+#: Applications whose workers have this library.
+_shipped: set[str] = set()
 #: A table of at most so many rows, counted beforehand, may be broadcast.
 SMALL_ROWS = 20_000
 
@@ -18,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this library to the Python workers, once per application: the driver's file server sends it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, name = os.path.split(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="library-"), name)
+    context.addPyFile(shutil.make_archive(archive, "zip", root, name))
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or where unset one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)

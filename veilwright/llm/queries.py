@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import mixing, sharding
-from veilwright.llm.common import table
+from veilwright.llm import mixing, packing, repair, sharding
+from veilwright.llm.common import shared_folder, table
+from veilwright.llm.tokens import vocabulary_path
+
+#: Ids in the vocabulary of the token operators; the next number is a grammar's first symbol.
+VOCABULARY_IDS = 50_257
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +42,17 @@ def op6_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source weights 5, 2, 1, repeating, to as many words as there are."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
+@register
+def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in grammar-compressed files, and what these files give back."""
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    repair.write(table(spark, sf_dir, "documents"), path, vocabulary_path(), VOCABULARY_IDS)
+    return repair.catalogue(spark, path)
+
+
+@register
+def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), 2048)
