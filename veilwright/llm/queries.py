@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import mixing, packing, repair, sharding
+from veilwright.llm import fingerprints, langid, mixing, packing, repair, sharding
 from veilwright.llm.common import shared_folder, table
 from veilwright.llm.tokens import vocabulary_path
 
@@ -37,6 +37,19 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def held_out(doc_id: str) -> Column:
+    return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 4 == 2
+
+
+@register
+def op2_byte_convolution_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    documents = table(spark, sf_dir, "documents")
+    net = langid.fit(documents.filter(~held_out("doc_id")))
+    rows = documents.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return langid.identify(rows, net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @register
 def op6_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source weights 5, 2, 1, repeating, to as many words as there are."""
@@ -56,3 +69,9 @@ def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), 2048)
+
+
+@register
+def op9_edit_embedding_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
