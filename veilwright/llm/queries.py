@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import fingerprints, langid, mixing, packing, repair, sharding
+from veilwright.llm import fingerprints, langid, mixing, packing, pseudonyms, repair, sharding
 from veilwright.llm.common import shared_folder, table
 from veilwright.llm.tokens import vocabulary_path
 
+#: Key of the pseudonyms in the registered queries; in production a secret.
+PSEUDONYM_KEY = "registered query"
 #: Ids in the vocabulary of the token operators; the next number is a grammar's first symbol.
 VOCABULARY_IDS = 50_257
 
@@ -50,6 +52,13 @@ def op2_byte_convolution_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@register
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the personal data in their texts replaced by pseudonyms."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(documents, PSEUDONYM_KEY)
+
+
 @register
 def op6_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source weights 5, 2, 1, repeating, to as many words as there are."""
