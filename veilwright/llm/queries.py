@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import fingerprints, langid, mixing, packing, pseudonyms, repair, sharding
+from veilwright.llm import fingerprints, jaccard, langid, mixing, packing, pseudonyms, repair, sharding
 from veilwright.llm.common import shared_folder, table
 from veilwright.llm.tokens import vocabulary_path
 
@@ -59,6 +59,12 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(documents, PSEUDONYM_KEY)
 
 
+@register
+def op5_chosen_path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents and the number of links of each document."""
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("first")
+
+
 @register
 def op6_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source weights 5, 2, 1, repeating, to as many words as there are."""
