@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import fingerprints, jaccard, langid, mixing, packing, pseudonyms, repair, sharding
+from veilwright.llm import fingerprints, jaccard, langid, mixing, packing, pseudonyms, repair, sharding, spans
 from veilwright.llm.common import shared_folder, table
 from veilwright.llm.tokens import vocabulary_path
 
@@ -52,6 +52,13 @@ def op2_byte_convolution_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@register
+def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that stand in an earlier place."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.remove_repeats(documents)
+
+
 @register
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the personal data in their texts replaced by pseudonyms."""
