@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import fingerprints, jaccard, langid, mixing, packing, pseudonyms, repair, sharding, spans
+from veilwright.llm import fingerprints, forest, jaccard, langid, mixing, packing, pseudonyms, repair, sharding, spans
 from veilwright.llm.common import shared_folder, table
 from veilwright.llm.tokens import vocabulary_path
 
@@ -97,3 +97,10 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_edit_embedding_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_projection_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
