@@ -33,7 +33,7 @@ SHARD_IDS = 1 << 20
 #: Symbols fit in 16 bits; a pair is frequent from so many occurrences on; most passes over a shard.
 SYMBOLS = 1 << 16
 FREQUENT = 8
-PASSES = 24
+PASSES = 8
 END_ID = 0
 SCHEMA = (
     "part int, shard int, doc_ids array<bigint>, n_ids array<bigint>, n_symbols array<bigint>, "
@@ -41,7 +41,7 @@ SCHEMA = (
 )
 
 
-def _choose(left: np.ndarray, right: np.ndarray, count: np.ndarray, room: int) -> list[int]:
+def _choose(left: np.ndarray, right: np.ndarray, room: int) -> list[int]:
     """Of pairs sorted by falling count, those that cannot overlap: no id is used on both sides."""
     chosen, lefts, rights = [], set(), set()
     for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
@@ -75,50 +75,56 @@ def _matches(x: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], which[hit]
 
 
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols), their expansion lengths, and the symbols with a mark where kept.
+def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """``rules`` (pairs of symbols; rule i makes symbol ``base + i``) and the ``symbols`` that are left.
 
-    Returns ``rules`` of shape (n, 2), ``symbols`` and ``place``, the position of each symbol's first id.
+    Each pass replaces pairs of at least a certain frequency, a quarter of the one before.
     """
-    x, place = ids.astype(np.uint16), np.arange(len(ids))
+    x = ids.astype(np.uint16)
     rules: list[np.ndarray] = []
     n_rules = 0
+    often = len(x) // 16
     for _ in range(PASSES):
         room = SYMBOLS - base - n_rules
         if room <= 0 or len(x) < 2:
             break
-        inner = (x[:-1] != END_ID) & (x[1:] != END_ID)
-        key = np.sort(((x[:-1].astype(np.uint32) << 16) | x[1:])[inner])
-        if not len(key):
-            break
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        often = max(often // 4, FREQUENT)
+        # a pair is no more frequent than its rarer half
+        common = np.bincount(x, minlength=SYMBOLS) >= often
+        common[END_ID] = False
+        inside = common[x]
+        at = np.flatnonzero(inside[:-1] & inside[1:])
+        key = np.sort((x[at].astype(np.uint32) << 16) | x[at + 1])
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else at
         count = np.diff(np.append(edge, len(key)))
-        top = int(count.max())
-        if top < FREQUENT:
-            break
-        frequent = np.flatnonzero(count >= max(FREQUENT, top // 4))
+        frequent = np.flatnonzero(count >= often)
+        if not len(frequent):
+            if often == FREQUENT:
+                break
+            continue
         frequent = frequent[np.argsort(-count[frequent], kind="stable")]
         pair = key[edge[frequent]]
-        taken = _choose(pair >> 16, pair & 0xFFFF, count[frequent], room)
+        taken = _choose(pair >> 16, pair & 0xFFFF, room)
         pairs = np.sort(pair[taken])
         at, which = _matches(x, pairs)
-        x = x.copy()
         x[at] = base + n_rules + which
         keep = np.ones(len(x), dtype=bool)
         keep[at + 1] = False
-        x, place = x[keep], place[keep]
+        x = x[keep]
         rules.append(np.stack([pairs >> 16, pairs & 0xFFFF], axis=1).astype("<u2"))
         n_rules += len(pairs)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u2")), x.astype("<u2"), place
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u2")), x.astype("<u2")
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """All symbols expanded, one after another, and the length of each expansion."""
-    parts = [np.uint16(i).tobytes() for i in range(base)]
-    for a, b in rules.tolist():
-        parts.append(parts[a] + parts[b])
-    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
-    return np.frombuffer(b"".join(parts), dtype="<u2"), lengths
+    own = np.arange(base, dtype="<u2").tobytes()
+    parts: list[bytes] = []
+    for pair in rules.tolist():
+        parts.append(b"".join([own[2 * s : 2 * s + 2] if s < base else parts[s - base] for s in pair]))
+    lengths = np.ones(base + len(parts), dtype=np.int64)
+    lengths[base:] = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
+    return np.frombuffer(own + b"".join(parts), dtype="<u2"), lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -129,9 +135,9 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 def _shard(part: int, number: int, doc_ids: list, docs: list[np.ndarray], base: int) -> dict:
     counts = np.array([len(d) for d in docs])
-    rules, symbols, place = compress(np.concatenate(docs), base)
-    ends = np.searchsorted(place, np.cumsum(counts))
+    rules, symbols = compress(np.concatenate(docs), base)
     _, lengths = expansions(rules, base)
+    ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum(counts)) + 1
     return {
         "part": part,
         "shard": number,

@@ -1,15 +1,16 @@
 """Token ids of whole texts from a public vocabulary, as a column of arrays or as flat numpy arrays.
 
 The vocabulary's rule cuts a text into words before any merge, so a word's ids do not depend on its
-neighbours.  Batches are therefore cut into pieces at single spaces, every distinct piece is looked
-at once, and only words not met before go through the tokenizer.  Texts with characters beyond the
-Latin blocks, or with other white space beside a space, are cut by the full rule or encoded whole.
+neighbours.  Batches are therefore cut into words, every distinct word is looked at once, and only
+words not met before go through the tokenizer.  Texts with white space in a row are cut by the rule
+in Python instead of Arrow, and texts with characters beyond the Latin blocks are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,18 +20,19 @@ import pyarrow.compute as pc
 
 #: Text bytes handled at a time, and words remembered by a worker (twice that for a moment).
 CHUNK_BYTES = 8 << 20
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 #: White space, letters and digits below U+0250, as the vocabulary's rule sees them.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 DIGITS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
-WORDS = re.compile(
-    f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+"
-    f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-)
-#: RE2: characters the rule above does not know, and spaces whose neighbours make the cut uncertain.
-UNKNOWN = r"[^\x00-\x{24f}]"
-UNCERTAIN = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}] | $"
+RULE = f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+"
+WORDS = re.compile(f"{RULE}|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: The same in RE2, for texts without white space in a row or at the end, where no look ahead is needed.
+RE2_RULE = re.sub(r"\\(x|u0)([0-9a-f]{2,3})", r"\\x{\2}", f"{RULE}|[{SPACES}]")
+MARK = "\0"
+#: RE2: characters that the rule above does not know or that mark the cuts, and uncertain white space.
+UNKNOWN = r"[^\x01-\x{24f}]"
+UNCERTAIN = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}](?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}]|$)"
 
 
 class Encoder:
@@ -48,22 +50,28 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts or pieces that the rule above can cut into words."""
-        words = [WORDS.findall(t) for t in texts]
+    def _remember(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words by word, for the given ones at least."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         missing = []
-        for word in {w for ws in words for w in ws if w not in young}:
-            if word in old:
-                young[word] = old[word]
-            else:
-                missing.append(word)
+        for word in words:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    missing.append(word)
         young.update(zip(missing, self._whole(missing), strict=True))
-        return [b"".join([young[w] for w in ws]) for ws in words]
+        return young
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that the rule can cut into words."""
+        words = [WORDS.findall(t) for t in texts]
+        known = self._remember(list({w for ws in words for w in ws}))
+        return [b"".join([known[w] for w in ws]) for ws in words]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of consecutive texts: all ids in one array, and the number of ids of each text."""
@@ -101,22 +109,19 @@ class Encoder:
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, RE2_RULE, f"{MARK}\\0"), MARK)
         offsets = np.asarray(lists.offsets).astype(np.int64)
         encoded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets -= offsets[0]
-        key = np.asarray(encoded.indices).astype(np.int64) * 2 + 1
-        key[offsets[:-1]] -= 1  # the first piece of a text has no space before it
-        used = np.zeros(2 * len(encoded.dictionary), dtype=bool)
-        used[key] = True
-        pieces = encoded.dictionary.to_pylist()
-        found = self._cut([" " + pieces[k >> 1] if k & 1 else pieces[k >> 1] for k in np.flatnonzero(used).tolist()])
-        place = np.cumsum(used) - 1
+        words = encoded.dictionary.to_pylist()
+        known = self._remember(words)
+        found = [known[w] for w in words]
         length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         flat = np.frombuffer(b"".join(found), dtype="<u4")
-        which = place[key]
-        ids = gather(flat, (np.cumsum(length) - length)[which], length[which])
-        ends = np.concatenate(([0], np.cumsum(length[which])))
+        which = np.asarray(encoded.indices)
+        counts = length[which]
+        ids = gather(flat, (np.cumsum(length) - length)[which], counts)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        offsets -= offsets[0]
         return ids, ends[offsets[1:]] - ends[offsets[:-1]]
 
 
