@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import ship, stored
+from veilwright.llm.common import fresh, ship, stored
 from veilwright.llm.components import components
 
 #: Words of a shingle, and the similarity from which two texts are linked.
@@ -286,7 +286,8 @@ def join(
     """Per row: key, ``class_id``, ``links`` (other rows of at least that similarity), ``linked_texts``.
 
     ``class_id`` is the smallest id of all rows connected by links; ``linked_texts`` counts different
-    texts with another set.  ``first`` marks one row of each class, one with the smallest id.
+    texts with another set.  ``first`` marks one row of each class, one with the smallest id;
+    ``text_hash`` tells rows of one id apart.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -331,15 +332,26 @@ def join(
     )
     firsts = of_class.groupBy("root").agg(F.min("first").alias("lead"))
     named = of_class.join(firsts, "root").drop("root", "first")
-    return base.select("doc_id", "node", *one_set).join(named, one_set).select(
+    return base.select("doc_id", "text_hash", "node", *one_set).join(named, one_set).select(
         F.col("doc_id").alias(key),
         F.col("lead.doc_id").alias("class_id"),
         (F.col("copies") - 1 + F.col("others")).cast("bigint").alias("links"),
         F.col("linked_texts").cast("bigint"),
         (F.col("node") == F.col("lead.node")).alias("first"),
+        "text_hash",
     )
 
 
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each class of near duplicates, one with the smallest id."""
+    own_id, own_hash = fresh("own_id", df.columns), fresh("own_hash", df.columns)
+    kept = join(df, key, text).filter("first").select(F.col(key).alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    rows = df.withColumns({own_id: F.col(f"`{key}`").cast("bigint"), own_hash: F.xxhash64(F.col(f"`{text}`"))})
+    same = F.col(own_id).eqNullSafe(F.col("kept_id")) & (F.col(own_hash) == F.col("kept_hash"))
+    # equal rows all match the one that stays
+    return rows.join(kept, same, "left_semi").dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
+
+
 def _with_sets(words: int):
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwright.llm.common import before, small, spread_copies, stored
+from veilwright.llm.common import before, fresh, small, spread_copies, stored
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,7 +90,10 @@ def mix(
     share: float = 1.0,
     most: float = 3.0,
 ) -> DataFrame:
-    """Per row: key, ``source``, ``size`` in words, ``source_size``, ``target``, ``times`` it is taken, ``taken`` words."""
+    """Per row: key, ``source``, ``size`` in words, ``source_size``, ``target``, ``times`` it is taken, ``taken`` words.
+
+    ``row_hash`` tells rows of one key apart.
+    """
     key_column, text_column = F.col(f"`{key}`"), F.col(f"`{text}`")
     rows = stored(
         df.select(
@@ -160,4 +163,21 @@ def mix(
         "target",
         "times",
         (F.col("size") * F.col("times")).alias("taken"),
+        F.col("hash").alias("row_hash"),
+    )
+
+
+def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``df`` with every row as often as the mix takes it."""
+    own, hashed, times, copy = (fresh(name, df.columns) for name in ("own", "hashed", "times", "copy"))
+    sums = (
+        mix(df, key, text, source, **options)
+        .groupBy(F.col(key).alias("of_key"), F.col("row_hash").alias("of_hash"))
+        .agg(F.sum("times").alias(times))
+        .filter(F.col(times) > 0)
     )
+    rows = df.withColumns({own: F.col(f"`{key}`"), hashed: row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"))})
+    same = F.col(own).eqNullSafe(F.col("of_key")) & (F.col(hashed) == F.col("of_hash"))
+    # equal rows are one here: their times are summed
+    taken = rows.dropDuplicates([own, hashed]).join(sums, same).drop("of_key", "of_hash")
+    return spread_copies(taken, F.col(times), copy).drop(own, hashed, times, copy)

@@ -69,7 +69,7 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_chosen_path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicate documents and the number of links of each document."""
-    return jaccard.join(table(spark, sf_dir, "documents")).drop("first")
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("first", "text_hash")
 
 
 @register
