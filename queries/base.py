@@ -95,10 +95,19 @@ ORDERS = (
 )
 
 
-def cut_sql(source: str, flagged: str, key: str, salt: str, fraction: float, out: str) -> str:
+def marked_sql(expression: str) -> str:
+    """A value's text with its length before it, a dash for NULL."""
+    text = f"CAST({expression} AS VARCHAR)"
+    return f"CASE WHEN {expression} IS NULL THEN '-' ELSE length({text}) || ':' || {text} END"
+
+
+def cut_sql(
+    source: str, flagged: str, key: str, salt: str, fraction: float, out: str, text: str | None = None
+) -> str:
     """CTEs that drop floor(count * fraction) flagged rows of ``source`` in hash order."""
+    text = text or marked_sql(key)
     return f"""
-    {out}_r AS (SELECT *, row_number() OVER (ORDER BY md5('{salt}|' || CAST({key} AS VARCHAR)), {key}) AS rk,
+    {out}_r AS (SELECT *, row_number() OVER (ORDER BY md5('{salt}|' || {text}), {key}) AS rk,
                 count(*) OVER () AS cnt FROM ({flagged}) f),
     {out}_d AS (SELECT {key} AS gone FROM {out}_r
                 WHERE rk <= floor(CAST(cnt AS DOUBLE) * CAST({fraction} AS DOUBLE))),

@@ -16,6 +16,7 @@ from queries.base import (
     ORDERS,
     customers,
     cut_sql,
+    marked_sql,
     orders,
     query,
     table,
@@ -264,7 +265,7 @@ def cell_sql(column: str, key: str, name: str, seed: int, p: float) -> str:
 
 
 def uniform_sql(seed: int, name: str, key: str) -> str:
-    digest = f"md5('{seed}|{name}|' || CAST({key} AS VARCHAR))"
+    digest = f"md5('{seed}|{name}|' || {marked_sql(key)})"
     return f"((CAST('0x' || substr({digest}, 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 

@@ -22,6 +22,7 @@ from queries.base import (
     customers,
     cut_sql,
     in_classes_sql,
+    marked_sql,
     orders,
     query,
     table,
@@ -48,10 +49,11 @@ from veilwright.plans.report import privacy_report
 from veilwright.spec import PrivacyRequest
 
 SMALL = f"count(*) < {K}"
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def k_ctes(source: str, qis, key: str, k: int = K, out: str = "ka", salt: str = "42", fraction: float = THRESHOLD) -> str:
-    return cut_sql(source, in_classes_sql(source, qis, f"count(*) < {k}"), key, salt, fraction, out)
+def k_ctes(source: str, qis, key: str, k: int = K, out: str = "ka", salt: str = "42", fraction: float = THRESHOLD, text: str | None = None) -> str:
+    return cut_sql(source, in_classes_sql(source, qis, f"count(*) < {k}"), key, salt, fraction, out, text)
 
 
 @query(f"WITH {CUSTOMERS}, {k_ctes('g', CUSTOMER_QIS, 'c_custkey')} SELECT * FROM ka")
@@ -77,19 +79,18 @@ def k_partial_many_classes(spark, sf_dir):
 
 
 @query(
-    f"""WITH o AS (SELECT *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
-    {k_ctes('o', ['l_suppkey', 'l_shipdate'], 'k', 2)} SELECT * EXCLUDE (k) FROM ka"""
+    f"""WITH o AS (SELECT *, {' || '.join(marked_sql(c) for c in LINE_KEY)} AS k FROM lineitem),
+    {k_ctes('o', ['l_suppkey', 'l_shipdate'], 'k', 2, text='k')} SELECT * EXCLUDE (k) FROM ka"""
 )
 def k_partial_wide(spark, sf_dir):
     """The largest table, with classes by supplier and day."""
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return models.k_anonymity(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_shipdate"], 2, {}, THRESHOLD, key)
+    return models.k_anonymity(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_shipdate"], 2, {}, THRESHOLD, LINE_KEY)
 
 
 @query(
     f"""WITH r AS (SELECT l_suppkey, l_linenumber, l_returnflag FROM lineitem),
     s AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey, l_linenumber, l_returnflag) AS size,
-          md5('42|{{"l_suppkey":' || l_suppkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}}') AS h FROM r),
+          md5('42|' || {' || '.join(marked_sql(c) for c in ('l_suppkey', 'l_linenumber', 'l_returnflag'))}) AS h FROM r),
     x AS (SELECT *, row_number() OVER (PARTITION BY size < 95 ORDER BY h) AS rk,
           count(*) FILTER (size < 95) OVER () AS cnt FROM s)
     SELECT l_suppkey, l_linenumber, l_returnflag FROM x
@@ -101,6 +102,62 @@ def k_partial_copies(spark, sf_dir):
     return models.k_anonymity(df, ["l_suppkey", "l_linenumber", "l_returnflag"], 95, {}, 0.3)
 
 
+MOMENT = "make_timestamp(epoch_us(date_trunc('hour', ts)) + event_id % 5)"
+
+
+@query(
+    f"""WITH r AS (SELECT event_type, {MOMENT} AS ts, user_id % 3 AS part FROM events),
+    s AS (SELECT *, count(*) OVER (PARTITION BY event_type, part, date_trunc('hour', ts)) AS size,
+          md5('42|' || {marked_sql('event_type')} || {marked_sql('epoch_us(ts)')} || {marked_sql('part')}
+              || {marked_sql("epoch_us(date_trunc('hour', ts))")}) AS h FROM r),
+    x AS (SELECT *, row_number() OVER (PARTITION BY size < 3 ORDER BY h) AS rk, count(*) FILTER (size < 3) OVER () AS cnt FROM s)
+    SELECT event_type, ts, part, date_trunc('hour', ts) AS hour FROM x
+    WHERE NOT (size < 3 AND rk <= floor(CAST(cnt AS DOUBLE) * 0.3::DOUBLE))"""
+)
+def k_partial_moments(spark, sf_dir):
+    """Rows without a key that differ by microseconds: several to a millisecond, some of them copies."""
+    hour = F.date_trunc("hour", "ts")
+    moment = F.timestamp_micros(F.unix_micros(hour) + F.col("event_id") % 5)
+    df = table(spark, sf_dir, "events").select(
+        "event_type", moment.alias("ts"), (F.col("user_id") % 3).alias("part"), hour.alias("hour")
+    )
+    return models.k_anonymity(df, ["event_type", "part", "hour"], 3, {}, 0.3)
+
+
+WIDE_QIS = [
+    "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "flag_a", "flag_b", "flag_c",
+]
+WIDE = f"""w AS (SELECT l_orderkey, l_suppkey % 2 AS l_suppkey, l_linenumber // 4 AS l_linenumber, floor(l_quantity / 26) AS l_quantity,
+    l_discount >= 0.06 AS l_discount, l_tax >= 0.05 AS l_tax, l_returnflag, l_linestatus, l_orderkey % 2 AS flag_a,
+    l_partkey % 2 AS flag_b, (l_orderkey // 2) % 3 AS flag_c FROM lineitem)"""
+
+
+def wide_lines(spark, sf_dir):
+    """Lines with ten quasi-identifiers."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_suppkey % 2 AS l_suppkey", "l_linenumber div 4 AS l_linenumber",
+        "CAST(floor(l_quantity / 26) AS DOUBLE) AS l_quantity", "l_discount >= 0.06D AS l_discount", "l_tax >= 0.05D AS l_tax",
+        "l_returnflag", "l_linestatus", "l_orderkey % 2 AS flag_a", "l_partkey % 2 AS flag_b", "(l_orderkey div 2) % 3 AS flag_c",
+    )
+
+
+@query(f"WITH {WIDE} SELECT * FROM w QUALIFY count(*) OVER (PARTITION BY {', '.join(WIDE_QIS)}) >= 20")
+def k_strict_ten(spark, sf_dir):
+    """Ten quasi-identifiers."""
+    return models.k_anonymity_strict(wide_lines(spark, sf_dir), WIDE_QIS, 20)
+
+
+NINE_QIS = WIDE_QIS[:5] + WIDE_QIS[7:10] + ["flag_d"]
+NINE = f"{WIDE}, g AS (SELECT l_orderkey, {', '.join(WIDE_QIS[:5] + WIDE_QIS[7:10])}, l_orderkey % 5 AS flag_d FROM w)"
+
+
+@query(f"WITH {NINE}, {wildcard_ctes('g', NINE_QIS, 20)} SELECT * FROM ls")
+def k_local_nine(spark, sf_dir):
+    """Cells blanked among nine quasi-identifiers."""
+    df = wide_lines(spark, sf_dir).withColumn("flag_d", F.col("l_orderkey") % 5).select("l_orderkey", *NINE_QIS)
+    return models.k_anonymity_local(df, NINE_QIS, 20)
+
+
 STRICT_K = f"{CUSTOMERS}, {wildcard_ctes('g', CUSTOMER_QIS, K)}"
 UNMASKED = " AND ".join(f"{q} IS NOT NULL AND NOT contains(CAST({q} AS VARCHAR), 'Masked')" for q in CUSTOMER_QIS)
 

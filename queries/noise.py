@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import combinations
+from operator import and_
 
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from queries.base import (
     date_layer_sql,
     date_rule,
     layer_sql,
+    marked_sql,
     number_rule,
     orders,
     query,
@@ -171,7 +175,7 @@ def dp_budget_quarters(spark, sf_dir):
 
 def response_sql(source: str, column: str, key: str, probability: float) -> str:
     hit, pick = uniform_sql(SEED, f"{column}/hit", key), uniform_sql(SEED, f"{column}/pick", key)
-    return f"""nv AS (SELECT {column} AS val, row_number() OVER (ORDER BY substr(md5('{SEED}|' || {column}), 1, 12), {column}) AS num
+    return f"""nv AS (SELECT {column} AS val, row_number() OVER (ORDER BY substr(md5('{SEED}|' || {marked_sql(column)}), 1, 12), {column}) AS num
         FROM (SELECT DISTINCT {column} FROM {source} WHERE {column} IS NOT NULL)),
     dr AS (SELECT s.*, nv.num, {hit} AS hit, least(floor({pick} * (SELECT count(*) - 1 FROM nv)), (SELECT count(*) - 2 FROM nv)) + 1 AS step
         FROM {source} s LEFT JOIN nv ON s.{column} = nv.val),
@@ -260,13 +264,44 @@ def dp_layered_typed(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f"""SELECT count(*) AS rows, {', '.join(f'true AS nulls_{c}' for c in LAYERED_CELLS)}, true AS pairs,
+    true AS noise_mean, true AS noise_spread FROM orders"""
+)
 def dp_random(spark, sf_dir):
-    """The engine's own generator: no SQL can repeat its draws, so rows only."""
-    return differential_privacy(
-        orders(spark, sf_dir), LAYERED_QIS, EPSILON, parse_rules(LAYERED_RULES), budget=1.0, threshold=0.1,
+    """The engine's own generator: facts about all rows that hold for any independent draws.
+
+    Null shares and the agreement of two columns' nulls lie within six standard deviations of what
+    independence gives, mean and spread of the noise within as many of theirs.
+    """
+    p, df = 0.1, orders(spark, sf_dir)
+    out = differential_privacy(
+        df, LAYERED_QIS, EPSILON, parse_rules(LAYERED_RULES), budget=1.0, threshold=p, chance=Chance("random", SEED)
+    )
+    n = F.count(F.lit(1))
+
+    def near(flag, share):
+        return F.abs(F.avg(flag.cast("double")) - share) < 6 * F.sqrt(F.lit(share * (1 - share)) / n)
+
+    nulls = {c: F.col(c).isNull() for c in LAYERED_CELLS}
+    pairs = [near(nulls[a] == nulls[b], p * p + (1 - p) ** 2) for a, b in combinations(nulls, 2)]
+    blanked_facts = out.agg(
+        n.alias("rows"), *[near(null, p).alias(f"nulls_{c}") for c, null in nulls.items()], reduce(and_, pairs).alias("pairs")
+    )
+    # the price layers apart, the noise of the "laplace" variant can be read off a number
+    rules = parse_rules({"o_totalprice": "ordering"})
+    noisy = differential_privacy(
+        df.withColumn("before", F.col("o_totalprice")), ["o_totalprice"], 0.5, rules, variant="laplace",
         chance=Chance("random", SEED),
+    )
+    noise = F.col("o_totalprice") - F.col("before")
+    sd = math.sqrt(2) / 0.5
+    noise_facts = noisy.agg(
+        (F.abs(F.avg(noise)) < 6 * sd / F.sqrt(n)).alias("noise_mean"),
+        # the fourth moment of this noise is six times the squared second
+        (F.abs(F.avg(noise * noise) - sd**2) < 6 * sd**2 * math.sqrt(5) / F.sqrt(n)).alias("noise_spread"),
     )
+    return blanked_facts.join(F.broadcast(noise_facts), F.lit(True))
 
 
 @query(

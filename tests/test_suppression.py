@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tests.conftest import rows
 
-from veilwright.functions.chance import Chance
+from veilwright.functions.chance import Chance, keyed_hash
 from veilwright.operators.classes import class_sizes
 from veilwright.operators.suppression import drop_exact, drop_share, null_cells, star_sync
 from veilwright.operators.wildcard import local_suppression
@@ -19,7 +19,7 @@ def small_classes(df, k, qis=("q",)):
 
 
 def order_of(key, salt=42):
-    return hashlib.md5(f"{salt}|{key}".encode()).hexdigest()
+    return hashlib.md5(f"{salt}|{len(str(key))}:{key}".encode()).hexdigest()
 
 
 @pytest.mark.parametrize("fraction", [0.0, 0.29, 0.3, 0.5, 0.999, 1.0])
@@ -142,7 +142,50 @@ def test_local_suppression_keeps_important_columns(spark):
     assert rows(local_suppression(df, ["x"], 3)) == [(None, "a"), (None, "a"), (None, "b"), (None, "b")]
 
 
-def test_too_many_columns(spark):
-    df = spark.createDataFrame([tuple(range(9))], [f"c{i}" for i in range(9)])
-    with pytest.raises(ValueError, match="at most 8"):
-        local_suppression(df, df.columns, 2)
+def test_many_columns_keep_the_largest_shared_subset(spark):
+    # eleven columns: two rows share all but the last, one shares nothing
+    table = [tuple([1] * 10 + [2]), tuple([1] * 10 + [3]), tuple(range(20, 31))]
+    df = spark.createDataFrame(table, [f"c{i}" for i in range(11)])
+    done = rows(local_suppression(df, df.columns, 2))
+    assert done == sorted([tuple([1] * 10 + [None])] * 2 + [tuple([None] * 11)], key=str)
+
+
+def test_keyless_rows_that_differ_by_microseconds(spark):
+    df = spark.sql(
+        "SELECT 'a' AS q, timestamp_micros(m) AS ts FROM VALUES (1L), (2L), (2L), (2L) AS t(m)"
+    )
+    kept = drop_share(df, small_classes(df, 5), ["q"], 0.5)
+    counts, before = Counter(rows(kept)), Counter(rows(df))
+    assert kept.count() == 2
+    assert all(counts[r] <= before[r] for r in counts)
+
+
+def test_keyless_rows_of_every_type(spark):
+    df = spark.sql(
+        """SELECT 'a' AS q, CAST(id AS STRING) AS s, X'00' AS b, array(id, NULL) AS l, named_struct('t', timestamp_micros(id)) AS r,
+        map('k', id) AS m, CAST(NULL AS STRING) AS n, date'2020-01-01' AS d FROM range(40)"""
+    )
+    assert drop_share(df, small_classes(df, 50), ["q"], 0.25).count() == 30
+
+
+def test_keys_with_bars_and_nulls_are_told_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", None), (None, "")], "x string, y string")
+    digests = {r[0] for r in df.select(keyed_hash(1, ["x", "y"])).collect()}
+    assert len(digests) == 4
+
+
+def test_seeds_are_far_apart():
+    seeds = sorted(Chance("random", 42)._own_seed(f"cell/col_{i:03d}") for i in range(1000))
+    assert min(b - a for a, b in zip(seeds, seeds[1:], strict=False)) > 10**6
+
+
+def test_columns_are_blanked_independently(spark):
+    names = [f"col_{i:03d}" for i in range(120)]
+    df = spark.range(4000).select(*[F.lit(1).alias(n) for n in names])
+    blank = null_cells(df, 0.3, Chance("random", 42)).select(*[F.col(n).isNull().cast("int").alias(n) for n in names])
+    import numpy as np
+
+    bits = blank.toPandas().to_numpy()
+    agree = (bits.T @ bits + (1 - bits).T @ (1 - bits)) / len(bits)
+    off = agree[np.triu_indices(len(names), 1)]
+    assert abs(off - 0.58).max() < 0.06

@@ -8,21 +8,51 @@ can undo hash noise, so it must stay secret in production.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StructType, TimestampType
 
 # 13 hex digits of an MD5 text hold 52 bits, as many as a double keeps.
 HEX_DIGITS = 13
 SPREAD = float(2**52)
 
 
+def marked(text: Column) -> Column:
+    """A text with its length before it, or a dash for NULL: such parts can be strung together safely."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def key_text(columns: Sequence[str]) -> Column:
-    """Key columns joined by a bar; NULL counts as empty text."""
-    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    """Key columns as one text that no other key shares; NULL is told apart from empty text."""
+    return F.concat(F.lit(""), *[marked(F.col(f"`{c}`").cast("string")) for c in columns])
+
+
+def lossless(value: Column, kind: DataType) -> Column:
+    """A text that no other value of this type shares, whatever the session's settings; NULL for NULL."""
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, BinaryType):
+        return F.hex(value)
+    if isinstance(kind, ArrayType):
+        return F.array_join(F.transform(value, lambda x: marked(lossless(x, kind.elementType))), "")
+    if isinstance(kind, StructType):
+        parts = [marked(lossless(value.getField(f.name), f.dataType)) for f in kind]
+        return F.when(value.isNotNull(), F.concat(F.lit(""), *parts))
+    if isinstance(kind, MapType):
+        pair = StructType().add("key", kind.keyType).add("value", kind.valueType)
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: marked(lossless(e, pair))))
+        return F.array_join(entries, "")
+    return value.cast("string")
+
+
+def content_text(df: DataFrame) -> Column:
+    """All columns of a row as one text that only equal rows share."""
+    return F.concat(F.lit(""), *[marked(lossless(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema])
 
 
 def keyed_hash(salt: object, columns: Sequence[str]) -> Column:
@@ -52,8 +82,8 @@ class Chance:
         return F.md5(F.concat_ws("|", F.lit(str(self.seed)), F.lit(name), key_text(self.key or ())))
 
     def _own_seed(self, name: str) -> int:
-        # spread the names over seeds without depending on the interpreter's hash
-        return self.seed * 1_000_003 + sum((i + 1) * ord(ch) for i, ch in enumerate(name))
+        # 63 bits of a digest: the engine counts seeds up by partition, so near seeds would share streams
+        return int.from_bytes(hashlib.sha256(f"{self.seed}|{name}".encode()).digest()[:8], "big") >> 1
 
     def uniform(self, name: str) -> Column:
         """Strictly between 0 and 1."""

@@ -62,6 +62,8 @@ def typed(
 def mapping_table(spark: SparkSession, mapping: Mapping[object, str]) -> DataFrame:
     """A lookup table from a small declared dictionary."""
     rows = [(None if k is None else str(k), v) for k, v in mapping.items()]
+    if len({value for value, _ in rows}) < len(rows):
+        raise ValueError("the mapping gives one value, written in several ways, more than one label")
     return spark.createDataFrame(rows, "value string, label string")
 
 
@@ -69,10 +71,14 @@ def map_values(df: DataFrame, name: str, mapping: DataFrame | Mapping[object, st
     """Look values up in a (value, label) table; others stay or become NULL.
 
     The table may be of any size: no broadcast is forced, so AQE broadcasts it only if it
-    measures below the session's limit.
+    measures below the session's limit.  A value listed twice must have one label: rows are never
+    multiplied, and the plan stops with an error where labels differ.
     """
     table = mapping if isinstance(mapping, DataFrame) else mapping_table(df.sparkSession, mapping)
     table = table.select(F.col(table.columns[0]).cast("string").alias("__value"), F.col(table.columns[1]).alias("__label"))
+    clash = F.raise_error(F.concat(F.lit("different labels for the value "), F.col("__value"))).cast("string")
+    same = F.min("__label").eqNullSafe(F.max("__label")) & (F.count("__label") % F.count(F.lit(1)) == 0)
+    table = table.groupBy("__value").agg(F.when(same, F.min("__label")).otherwise(clash).alias("__label"))
     text = value_text(df, name)
     joined = df.join(table, text == F.col("__value"), "left")
     found = F.coalesce(F.col("__label"), text) if keep_unmapped else F.col("__label")

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+    """Write the rows to the shared checkpoint folder, at once, and go on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a local
-    session without such a setting gets a temporary one.
+    The folder is the one the session names in ``spark.checkpoint.dir``, or where that is unset one
+    in the warehouse: either is a folder all executors share.  Spark removes the files itself when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        context.setCheckpointDir(named)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint()

@@ -3,11 +3,11 @@
 The central operator, ``drop_share``, deletes exactly ``floor(count * fraction)`` of the rows
 of some classes.  Ranking those rows would sort them in one task.  Instead every row gets a
 hash, and only the hash *at* the cut is looked for: a histogram over the first five hex
-digits (at most 2^20 rows whatever the table holds) names the bucket of the cut, and a second
-look into that one bucket names the hash.  A bucket holds a 2^20th of the different hashes: a
-million out of a trillion rows.  Rows are then kept or dropped by comparing
-with one constant inside the anti-join that finds the classes, so row payloads are never
-sorted, and never shuffled when the list of classes is small enough for AQE to broadcast.
+digits (at most 2^20 rows whatever the table holds) names the bucket of the cut, another over the
+next five digits the bucket inside that, and a last look into it the hash.  That bucket holds a
+2^40th of the different hashes: one out of a trillion rows.  Rows are then kept or dropped by
+comparing with one constant inside the anti-join that finds the classes, so row payloads are never
+sorted.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwright.functions.chance import Chance, keyed_hash
+from veilwright.functions.chance import Chance, content_text, keyed_hash
 from veilwright.operators.matching import all_of, key_side, same_key
 from veilwright.spec import MASKED, STAR, SUPPRESSED, check_fraction
 from veilwright.streaming import require_batch
 
 HASH = "__hash"
 BLOCK_ROWS = 65_536
-BUCKET_DIGITS = 5
+BUCKET_DIGITS, LEVELS = 5, 2
 
 
 def drop_classes(
@@ -66,15 +66,24 @@ def hash_cut(hashes: DataFrame, fraction: float, unique: bool) -> DataFrame:
     """
     # floor in double arithmetic: 100 * 0.29 leaves 28, as it does in the float type
     quota = F.floor(F.col("total") * F.lit(float(fraction)))
-    bucketed = hashes.withColumn("bucket", F.substring(HASH, 1, BUCKET_DIGITS))
-    edge = (
-        _running(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-        .withColumn("rest", quota - (F.col("upto") - F.col("n")))
-        .filter((F.col("rest") > 0) & (F.col("rest") <= F.col("n")))
-        .agg(F.first("bucket").alias("bucket"), F.first("rest").alias("rest"))
-    )
-    # one row, hence the broadcast; copies of one hash are counted before they are ordered
-    inside = bucketed.join(F.broadcast(edge), "bucket").groupBy(HASH, "rest").agg(F.count(F.lit(1)).alias("n"))
+    inside, edge = hashes, None
+    for level in range(LEVELS):
+        place = F.substring(HASH, level * BUCKET_DIGITS + 1, BUCKET_DIGITS)
+        placed = inside.withColumn("bucket", place)
+        wanted = quota if edge is None else F.col("wanted")
+        carried = [] if edge is None else ["wanted"]
+        counts = placed.groupBy("bucket", *carried).agg(F.count(F.lit(1)).alias("n"))
+        edge = (
+            _running(counts, "bucket")
+            .withColumn("rest", wanted - (F.col("upto") - F.col("n")))
+            .filter((F.col("rest") > 0) & (F.col("rest") <= F.col("n")))
+            .agg(F.first("bucket").alias("bucket"), F.first("rest").alias("rest"))
+        )
+        # one row, hence the broadcast
+        inside = placed.drop(*carried).join(F.broadcast(edge), "bucket").drop("bucket")
+        inside = inside.withColumnRenamed("rest", "wanted")
+    # copies of one hash are counted before they are ordered
+    inside = inside.groupBy(HASH, F.col("wanted").alias("rest")).agg(F.count(F.lit(1)).alias("n"))
     at_cut = (
         _running(inside, HASH)
         .withColumn("spare", F.col("upto") - F.col("rest"))
@@ -90,25 +99,28 @@ def hash_cut(hashes: DataFrame, fraction: float, unique: bool) -> DataFrame:
 
 
 def _copies(rows: DataFrame, cut: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The spared copies of the one row at the cut.
+    """The spared copies at the cut: as many rows with the hash of the cut as must stay.
 
-    Rows without a key can only be told apart by content, so the rows at the cut are copies
-    of each other.  They are counted, not ranked, and the remaining number is written out
-    again block by block: the blocks spread over all tasks even if the copies are a third
-    of the table.
+    Rows without a key can only be told apart by content.  Equal rows are counted, not ranked.
+    Should different contents share the hash, they take their turns in the order of their text, so
+    that together they keep the right number.  The copies are written out again block by block: the
+    blocks spread over all tasks even if the copies are a third of the table.
     """
     names = [f"`{c}`" for c in columns]
-    one = (
-        rows.join(F.broadcast(cut), F.col(HASH) == F.col("hash"))
-        .groupBy(*[F.col(n) for n in names])
-        .agg(F.first("spare").alias("__left"))
-        .filter(F.col("__left") > 0)
+    own = F.struct(*[F.col(n) for n in names])
+    at_cut = rows.join(F.broadcast(cut), F.col(HASH) == F.col("hash"))
+    contents = at_cut.groupBy(content_text(rows.select(*names)).alias("__content"), "spare").agg(
+        F.count(F.lit(1)).alias("__n"), F.first(own).alias("__row")
     )
+    turn = Window.orderBy("__content").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("spare") - F.coalesce(F.sum("__n").over(turn), F.lit(0))
+    one = contents.withColumn("__left", F.least(room, F.col("__n"))).filter(F.col("__left") > 0)
     one_long = F.lit(1).cast("bigint")
     blocks = F.ceil(F.col("__left") / BLOCK_ROWS)
     spread = one.withColumn("__block", F.explode(F.sequence(one_long, blocks))).repartition("__block")
     size = F.least(F.lit(BLOCK_ROWS).cast("bigint"), F.col("__left") - (F.col("__block") - 1) * BLOCK_ROWS)
-    return spread.withColumn("__copy", F.explode(F.sequence(one_long, size))).select(*[F.col(n) for n in names])
+    copies = spread.withColumn("__copy", F.explode(F.sequence(one_long, size)))
+    return copies.select(*[F.col("__row").getField(c).alias(c) for c in columns])
 
 
 def drop_share(
@@ -134,8 +146,7 @@ def drop_share(
     if key:
         digest = keyed_hash(salt, key)
     else:
-        content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
-        digest = F.md5(F.concat_ws("|", F.lit(str(salt)), content))
+        digest = F.md5(F.concat_ws("|", F.lit(str(salt)), content_text(rows)))
     hashed = rows.withColumn(HASH, digest)
     listed = rows_of(hashed, classes, qis, join=salt)
     cut = hash_cut(listed.select(HASH), fraction, unique=bool(key))

@@ -8,86 +8,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwright.operators.lineage import cut_lineage
 from veilwright.operators.matching import all_of, cols, key_side, same_key
 from veilwright.spec import check_columns
 from veilwright.streaming import require_batch
 
-MAX_QIS = 8
 INTEGER_SENTINEL = -2147483648  # fixed value: how a missing whole number is written by some tools
 
 
-def _subset_order(qis: Sequence[str], importance: Sequence[str]) -> list[int]:
-    """Bit masks of the proper, non-empty subsets to keep, best first.
-
-    More columns are better; among equals the one that keeps more important columns.
-    """
-    weight = {q: 1 << (len(importance) - 1 - i) for i, q in enumerate(importance)}
-
-    def merit(mask: int) -> tuple[int, int]:
-        kept = [q for i, q in enumerate(qis) if mask >> i & 1]
-        return len(kept), sum(weight[q] for q in kept)
-
-    return sorted(range(1, (1 << len(qis)) - 1), key=merit, reverse=True)
-
-
 def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Sequence[str] | None = None) -> DataFrame:
     """Blank quasi-identifiers until every row agrees with at least ``k`` rows.
 
     The decision is made per class, not per row: the table is first reduced to its distinct
-    classes with their sizes, each class is counted towards the subsets of its columns, and a
-    class below ``k`` keeps the largest subset that at least ``k`` rows share.  If no subset
-    does, all its columns go.  All rows sharing the kept values still match one another under
-    NULL-as-wildcard, so the result is k-anonymous in that sense.
+    classes with their sizes, and a class below ``k`` keeps the largest subset of its columns that
+    at least ``k`` rows share; among subsets of one size the one that keeps the most important
+    columns.  If no subset does, all its columns go.  All rows sharing the kept values still match
+    one another under NULL-as-wildcard, so the result is k-anonymous in that sense.
+
+    Subsets are tried size by size, the largest first.  Only classes still without one are
+    written out towards the subsets of that size, only keys they ask for are counted, and the
+    search, which runs as the plan is built, ends with the last such class.  The class tables of
+    each step are written to the checkpoint folder.
     """
     require_batch(df, "local suppression")
     check_columns(df.columns, list(qis), "quasi-identifier")
-    if len(qis) > MAX_QIS:
-        raise ValueError(f"local suppression takes at most {MAX_QIS} quasi-identifiers, got {len(qis)}")
-    order = _subset_order(qis, importance or qis)
-    classes = df.groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("__n"))
-    picks = classes.filter(F.col("__n") < k)
-    if order:
-        ranks = F.sequence(F.lit(1), F.lit(len(order)))
-        masks = F.array(*[F.lit(mask) for mask in order])
-        kept_names = [f"__kept_{i}" for i in range(len(qis))]
-
-        def project(table: DataFrame) -> DataFrame:
-            ranked = table.withColumn("__rank", F.explode(ranks))
-            mask = F.get(masks, F.col("__rank") - 1)
-            kept = {
-                name: F.when(mask.bitwiseAND(1 << i) != 0, F.col(f"`{q}`"))
-                for i, (name, q) in enumerate(zip(kept_names, qis, strict=True))
-            }
-            return ranked.withColumns(kept)
-
-        counts = (
-            project(classes)
-            .groupBy("__rank", *kept_names)
+    ranked = list(importance or qis)
+    # the more important a column, the higher its bit: the best mask of a size is the greatest
+    bit = {q: 1 << (len(ranked) - 1 - ranked.index(q)) for q in qis}
+    kept = {f"__kept_{i}": q for i, q in enumerate(qis)}
+
+    def towards(table: DataFrame, size: int) -> DataFrame:
+        every = F.sequence(F.lit(1), F.lit((1 << len(ranked)) - 1))
+        masks = F.filter(every, lambda mask: F.bit_count(mask) == size)
+        spread = table.withColumn("__mask", F.explode(masks))
+        return spread.withColumns(
+            {name: F.when(F.col("__mask").bitwiseAND(bit[q]) != 0, F.col(f"`{q}`")) for name, q in kept.items()}
+        )
+
+    classes = cut_lineage(df.groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("__n")))
+    pending = classes.filter(F.col("__n") < k)
+    found = []
+    for size in range(len(qis) - 1, 0, -1):
+        if pending.isEmpty():
+            break
+        asked = towards(pending, size)
+        wanted = asked.select(F.col("__mask").alias("__of"), *[F.col(n).alias(f"{n}_of") for n in kept]).distinct()
+        agree = all_of([F.col("__mask") == F.col("__of")] + [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in kept])
+        shared = (
+            towards(classes, size)
+            .join(wanted, agree, "left_semi")
+            .groupBy("__mask", *kept)
             .agg(F.sum("__n").alias("__shared"))
             .filter(F.col("__shared") >= k)
-            .select(F.col("__rank").alias("__of"), *[F.col(n).alias(f"{n}_of") for n in kept_names])
-        )
-        agree = all_of(
-            [F.col("__rank") == F.col("__of")] + [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in kept_names]
+            .select(F.col("__mask").alias("__of"), *[F.col(n).alias(f"{n}_of") for n in kept])
         )
-        best = project(picks).join(counts, agree, "left_semi").groupBy(*cols(qis)).agg(F.min("__rank").alias("__rank"))
-        best = key_side(df, best, qis, "__rank", join="best")
-        picks = picks.join(best, same_key(qis, "best", null_safe=True), "left").withColumn(
-            "__mask", F.when(F.col("__rank").isNull(), 0).otherwise(F.get(masks, F.col("__rank") - 1))
-        )
-    else:
-        picks = picks.withColumn("__mask", F.lit(0))
-
-    def keep(i: int, q: str) -> Column:
-        stays = F.col("__mask").isNull() | (F.col("__mask").bitwiseAND(1 << i) != 0)
+        best = asked.join(shared, agree, "left_semi").groupBy(*cols(qis)).agg(F.max("__mask").alias("__mask"))
+        best = cut_lineage(best)
+        found.append(best)
+        side = key_side(df, best, qis, join=f"found {size}")
+        pending = cut_lineage(pending.join(side, same_key(qis, f"found {size}", null_safe=True), "left_anti"))
+    picks = pending.select(*cols(qis), F.lit(0).alias("__mask"))
+    for best in found:
+        picks = picks.unionByName(best)
+
+    def keep(q: str) -> Column:
+        stays = F.col("__mask").isNull() | (F.col("__mask").bitwiseAND(bit[q]) != 0)
         return F.when(stays, F.col(f"`{q}`")).alias(q)
 
-    place = {q: i for i, q in enumerate(qis)}
     picks = key_side(df, picks, qis, "__mask", join="blank")
     picked = df.join(picks, same_key(qis, "blank", null_safe=True), "left")
-    return picked.select(
-        *[keep(place[c], c) if c in place else F.col(f"`{c}`") for c in df.columns]
-    )
+    return picked.select(*[keep(c) if c in bit else F.col(f"`{c}`") for c in df.columns])
 
 
 def sentinel_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:

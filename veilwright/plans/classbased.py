@@ -187,9 +187,13 @@ def k_anonymity_strict(
     importance: Sequence[str] | None = None,
     style: str | None = None,
 ) -> DataFrame:
-    """Blank cells, drop rows with a masked or unknown quasi-identifier, drop small classes."""
-    rows = local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k, importance)
-    rows = without_masked(rows, qis)
+    """Drop rows with a masked or unknown quasi-identifier, then small classes.
+
+    The model blanks cells of small classes and then drops rows with a blank cell.  Blanking always
+    takes at least one cell of every row it touches, so nothing need be blanked, and ``importance``,
+    which says what to blank first, changes nothing.
+    """
+    rows = without_masked(generalized(df, qis, rules or {}, order_col, style), qis)
     return drop_classes(rows, class_sizes(rows, qis).filter(F.col("class_size") < k), qis)
 
 
@@ -291,13 +295,13 @@ def t_closeness_strict(
     order_col: str | None = None,
     style: str | None = None,
 ) -> DataFrame:
-    """Blank cells, drop masked rows, drop classes far from the original table.
+    """Drop rows with a masked or unknown value or in small classes, then classes far from the original table.
 
-    Class sizes are not checked again here.  Rows whose sensitive value is the mask marker go
+    Small classes go for the reason given in ``k_anonymity_strict``.  Rows whose sensitive value is the mask marker go
     as well; an unknown sensitive value stays.
     """
-    rows = without_masked(local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k), qis)
-    kept = drop_classes(rows, distant_classes(rows, df, qis, sensitive, t), qis)
+    rows = k_anonymity_strict(df, qis, k, rules, order_col, style=style)
+    kept = drop_classes(rows, distant_classes(rows, df, qis, sensitive, t), qis, join="far")
     return without_flagged(kept, sensitive)
 
 
@@ -325,7 +329,10 @@ def km_anonymity_strict(
     order_col: str | None = None,
     style: str | None = None,
 ) -> DataFrame:
-    """Blank cells, then keep classes of ``k`` rows or more and ``m`` values or more, unknown being one."""
-    rows = with_known_qis(local_suppression(generalized(df, qis, rules or {}, order_col, style), qis, k), qis)
+    """Keep classes of ``k`` rows or more and ``m`` values or more, unknown being one.
+
+    Rows of small classes would lose a cell first and then go; see ``k_anonymity_strict``.
+    """
+    rows = with_known_qis(generalized(df, qis, rules or {}, order_col, style), qis)
     stats = class_stats(rows, qis, [sensitive])
     return rows_of(rows, stats.filter((F.col("class_size") >= k) & (F.col("distinct_with_null") >= m)), qis)

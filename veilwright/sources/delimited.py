@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwright.spec import check_columns
+
 # Separators by file suffix, and texts read as a missing value.
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 MISSING = (
@@ -25,7 +27,7 @@ def _separator(path: str) -> str:
 
 def _known(name: str) -> Column:
     column = F.col(f"`{name}`")
-    return F.when(~F.trim(column).isin(*MISSING), column)
+    return F.when(~column.isin(*MISSING), column)
 
 
 def _infer(raw: DataFrame) -> T.StructType:
@@ -58,7 +60,7 @@ def read_delimited(
     """A table from a ``.csv`` or ``.tsv`` file with a header row.
 
     Give a schema wherever possible: it saves one pass over the data and keeps codes such as
-    ``01234`` as text.  Without one, types are chosen to fit every value.  ``multiline``
+    ``01234`` as text.  Its columns are looked up by their names in the header.  Without one, types are chosen to fit every value.  ``multiline``
     allows line breaks inside quotes at the price of one task per file.
     """
     reader = (
@@ -69,12 +71,10 @@ def read_delimited(
     )
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    # with a schema, columns are matched by position and the header is skipped
-    if schema is not None:
-        texts = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
-        raw = reader.schema(texts).csv(path)
-    else:
-        raw = reader.csv(path)
+    raw = reader.csv(path)
+    if schema is not None:  # by name: the file may hold the columns in another order, and more of them
+        check_columns(raw.columns, schema.fieldNames(), "schema")
+        raw = raw.select(*[F.col(f"`{name}`") for name in schema.fieldNames()])
     raw = raw.select(*[_known(c).alias(c) for c in raw.columns])
     target = schema if schema is not None else _infer(raw)
     return raw.select(
