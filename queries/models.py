@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from queries.base import (
     BALANCE_QIS,
+    CATALOG,
     CUSTOMER_KEY,
     CUSTOMER_QIS,
     CUSTOMER_RULES,
@@ -451,3 +452,34 @@ def k_strict_types(spark, sf_dir):
 def l_report(spark, sf_dir):
     _, measures = models.l_diversity_report(customers(spark, sf_dir), BALANCE_QIS, "c_mktsegment", 2, CUSTOMER_RULES)
     return rounded(measures, "entropy_l")
+
+
+def through_request(spark, df, model: str, rules, **form):
+    """A model as a form asks for it."""
+    request = PrivacyRequest.from_form({"privacy_model": model, "suppression_threshold": str(THRESHOLD), **form})
+    return anonymize(df, replace(request, rules=rules))
+
+
+@query(CATALOG["l_partial"].sql)
+def request_l(spark, sf_dir):
+    """The l-diversity of ``l_partial`` by a form, its phases parted by a checkpoint."""
+    return through_request(
+        spark, customers(spark, sf_dir), "l-diversity", CUSTOMER_RULES, k="12", l=str(L), key="c_custkey",
+        quasi_identifiers=",".join(BALANCE_QIS), sensitive_column="c_mktsegment", checkpoint="true",
+    )
+
+
+@query(CATALOG["t_partial"].sql)
+def request_t(spark, sf_dir):
+    return through_request(
+        spark, orders(spark, sf_dir), "t-closeness", ORDER_RULES, k="60", t="0.035", key="o_orderkey",
+        quasi_identifiers=",".join(ORDER_QIS), sensitive_column="o_orderstatus", checkpoint="true",
+    )
+
+
+@query(CATALOG["km_partial"].sql)
+def request_km(spark, sf_dir):
+    return through_request(
+        spark, customers(spark, sf_dir), "km-anonymity", CUSTOMER_RULES, k="12", m="2.5", key="c_custkey",
+        quasi_identifiers=",".join(BALANCE_QIS), sensitive_column="c_mktsegment",
+    )

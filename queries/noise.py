@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 from itertools import combinations
@@ -10,6 +11,7 @@ from operator import and_
 from pyspark.sql import functions as F
 
 from queries.base import (
+    CATALOG,
     DATE_LAYERS,
     PRICE_LAYERS,
     customers,
@@ -32,7 +34,8 @@ from veilwright.plans.noisy import (
     randomized_response,
     response_probability,
 )
-from veilwright.spec import parse_rules
+from veilwright.plans.dispatch import anonymize
+from veilwright.spec import PrivacyRequest, parse_rules
 
 SEED = 11
 ORDER_CHANCE = Chance("hash", SEED, ("o_orderkey",))
@@ -344,3 +347,15 @@ def dp_layered_response(spark, sf_dir):
         df, LAYER_QIS, EPSILON, rules, budget=1.0, threshold=0.05, variant="layered_response", chance=ORDER_CHANCE,
         order_col="o_orderkey",
     )
+
+
+@query(CATALOG["dp_layered"].sql)
+def request_noise(spark, sf_dir):
+    """The noise of ``dp_layered`` by a form, drawn from hashes."""
+    df = without(orders(spark, sf_dir), o_orderpriority="5-LOW", o_orderstatus="P")
+    form = {
+        "privacy_model": "differential_privacy", "e": str(EPSILON), "budget": "1", "suppression_threshold": "0.1",
+        "quasi_identifiers": ",".join(LAYERED_QIS), "hierarchy_rules": json.dumps(LAYERED_RULES), "noise": "hash",
+        "seed": str(SEED), "key": "o_orderkey",
+    }
+    return anonymize(df, PrivacyRequest.from_form(form))

@@ -61,3 +61,22 @@ def test_every_model_runs_from_a_form(spark, model):
     out = anonymize(df, PrivacyRequest.from_form(form))
     assert out.columns == df.columns
     assert 0 < out.count() <= 30
+
+
+def test_flat_rules_and_all_fields_by_a_form(spark):
+    from veilwright.plans.dispatch import anonymize
+
+    df = spark.createDataFrame([(i, i % 40, "x") for i in range(40)], "ID int, Age int, Gender string")
+    form = {
+        "k": "5", "quasi_identifiers": "Age,Gender", "hierarchy_rules": '{"Age": "ordering"}', "style": "equal",
+        "key": "ID", "seed": "7", "strict": "true", "order_column": "ID", "checkpoint": "no",
+    }
+    request = PrivacyRequest.from_form(form)
+    assert (request.key, request.seed, request.strict, request.order_col) == (("ID",), 7, True, "ID")
+    done = anonymize(df, request).toPandas()
+    assert 0 < done.Age.nunique() <= 3 and done.groupby(["Age", "Gender"]).size().min() >= 5
+
+
+def test_a_flag_must_be_true_or_false():
+    with pytest.raises(ValueError, match="strict"):
+        PrivacyRequest.from_form({"strict": "maybe"})

@@ -55,6 +55,15 @@ def generalized(
     return generalize(df, rules)
 
 
+def _general_known(
+    df: DataFrame, qis: Sequence[str], rules: Rules, style: str | None, order_col: str | None
+) -> DataFrame:
+    """Generalised rows whose quasi-identifiers are known."""
+    if style is None and not any(rule.flat for rule in rules.values()):
+        return generalize_known(df, qis, rules)
+    return with_known_qis(generalized(df, qis, rules, order_col, style), qis)
+
+
 # --- partial deletion -------------------------------------------------------------------
 
 
@@ -67,15 +76,17 @@ def k_anonymity(
     key: Sequence[str] | None = None,
     seed: int = SAMPLE_SEED,
     strict: bool = False,
+    style: str | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
     """Delete ``threshold`` of the rows in classes smaller than ``k``."""
-    rows = generalize_known(df, qis, rules or {})
+    rows = _general_known(df, qis, rules or {}, style, order_col)
     small = class_sizes(rows, qis).filter(F.col("class_size") < k)
     return drop_share(rows, small, qis, 1.0 if strict else threshold, key, seed)
 
 
-def _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint) -> DataFrame:
-    rows = k_anonymity(df, qis, k, rules, threshold, key, seed, strict)
+def _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col) -> DataFrame:
+    rows = k_anonymity(df, qis, k, rules, threshold, key, seed, strict, style, order_col)
     return cut_lineage(rows) if checkpoint else rows
 
 
@@ -91,9 +102,11 @@ def l_diversity(
     seed: int = SAMPLE_SEED,
     strict: bool = False,
     checkpoint: bool = False,
+    style: str | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
     """k-anonymity, then delete ``threshold`` of the rows in classes with fewer than ``l`` values."""
-    rows = _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint)
+    rows = _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col)
     poor = class_stats(rows, qis, [sensitive]).filter(F.col("distinct_values") < l)
     return drop_share(rows, poor, qis, 1.0 if strict else threshold, key, _second_salt(seed))
 
@@ -110,6 +123,8 @@ def km_anonymity(
     seed: int = SAMPLE_SEED,
     strict: bool = False,
     checkpoint: bool = False,
+    style: str | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
     """k-anonymity, then the same for classes where one sensitive value exceeds the share 1/m.
 
@@ -118,7 +133,7 @@ def km_anonymity(
     """
     if not m:
         raise ValueError("m must not be 0")
-    rows = _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint)
+    rows = _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col)
     uneven = class_stats(rows, qis, sensitive).filter(F.col("top_share") > F.lit(1 / m))
     return drop_share(rows, uneven, qis, 1.0 if strict else threshold, key, _second_salt(seed))
 
@@ -148,9 +163,11 @@ def t_closeness(
     strict: bool = False,
     distance: str = "shares",
     checkpoint: bool = False,
+    style: str | None = None,
+    order_col: str | None = None,
 ) -> DataFrame:
     """k-anonymity, drop masked rows, then delete from classes far from the original table."""
-    rows = without_masked(_after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint), qis)
+    rows = without_masked(_after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col), qis)
     far = distant_classes(rows, df, qis, sensitive, t, distance)
     return drop_share(rows, far, qis, 1.0 if strict else threshold, key, _second_salt(seed))
 

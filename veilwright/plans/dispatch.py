@@ -14,12 +14,23 @@ def anonymize(df: DataFrame, request: PrivacyRequest) -> DataFrame:
     """The plan a request describes.  Raises ``ValueError`` for a request that cannot be served."""
     request.validate(df.columns)
     r = request
-    common = {"rules": r.rules, "threshold": r.threshold, "key": r.key, "seed": r.seed, "strict": r.strict}
+    common = {
+        "rules": r.rules,
+        "threshold": r.threshold,
+        "key": r.key,
+        "seed": r.seed,
+        "strict": r.strict,
+        "style": r.style,
+        "order_col": r.order_col,
+    }
+    two_phase = common | {"checkpoint": r.checkpoint}
     models = {
         "k-anonymity": lambda: k_anonymity(df, r.qis, r.k, **common),
-        "l-diversity": lambda: l_diversity(df, r.qis, r.sensitive[0], r.k, r.l, **common),
-        "t-closeness": lambda: t_closeness(df, r.qis, r.sensitive[0], r.k, r.t, **common),
-        "km-anonymity": lambda: km_anonymity(df, r.qis, r.sensitive, r.k, r.m, **common),
+        "l-diversity": lambda: l_diversity(df, r.qis, r.sensitive[0], r.k, r.l, **two_phase),
+        "t-closeness": lambda: t_closeness(
+            df, r.qis, r.sensitive[0], r.k, r.t, distance=r.distance, **two_phase
+        ),
+        "km-anonymity": lambda: km_anonymity(df, r.qis, r.sensitive, r.k, r.m, **two_phase),
         "differential_privacy": lambda: differential_privacy(
             df,
             r.qis,
@@ -29,6 +40,8 @@ def anonymize(df: DataFrame, request: PrivacyRequest) -> DataFrame:
             threshold=r.threshold,
             delta=r.delta,
             sensitive=r.sensitive,
+            variant=r.variant,
+            order_col=r.order_col,
             chance=Chance(r.noise, r.seed, r.key),
         ),
     }

@@ -153,6 +153,14 @@ class PrivacyRequest:
     seed: int = SAMPLE_SEED
     strict: bool = False
     noise: str = "random"
+    #: Bins for flat rules ("equal", "ranges", ...) or "types"; None takes layers as given.
+    style: str | None = None
+    #: Which generation of the noise model; how classes are compared; what numbered types are counted by.
+    variant: str = "layered"
+    distance: str = "shares"
+    order_col: str | None = None
+    #: Write the rows between the phases of a two-phase model to the checkpoint folder.
+    checkpoint: bool = False
 
     @classmethod
     def from_form(cls, form: Mapping[str, object]) -> PrivacyRequest:
@@ -162,6 +170,15 @@ class PrivacyRequest:
             raw = form.get(name)
             return kind(raw) if raw not in (None, "") else None
 
+        def text(name: str, default: str | None) -> str | None:
+            return str(form[name]) if form.get(name) not in (None, "") else default
+
+        def flag(name: str) -> bool:
+            value = str(form.get(name, "")).strip().lower()
+            if value not in ("", "0", "1", "true", "false", "yes", "no"):
+                raise ValueError(f"{name} must be true or false, got {form[name]!r}")
+            return value in ("1", "true", "yes")
+
         return cls(
             model=str(form.get("privacy_model", DEFAULT_MODEL)),
             k=number("k", int),  # type: ignore[arg-type]
@@ -175,6 +192,15 @@ class PrivacyRequest:
             sensitive=_split(form.get("sensitive_column"), DEFAULT_SENSITIVE),
             rules=parse_rules(form.get("hierarchy_rules")),  # type: ignore[arg-type]
             threshold=float(form.get("suppression_threshold", DEFAULT_THRESHOLD)),  # type: ignore[arg-type]
+            key=_split(form.get("key") or None, ()) or None,
+            seed=int(text("seed", str(SAMPLE_SEED))),  # type: ignore[arg-type]
+            strict=flag("strict"),
+            noise=text("noise", "random"),  # type: ignore[arg-type]
+            style=text("style", None),
+            variant=text("variant", "layered"),  # type: ignore[arg-type]
+            distance=text("distance", "shares"),  # type: ignore[arg-type]
+            order_col=text("order_column", None),
+            checkpoint=flag("checkpoint"),
         )
 
     def validate(self, columns: Sequence[str]) -> None:
@@ -183,6 +209,8 @@ class PrivacyRequest:
             raise ValueError(f"unknown privacy model {self.model!r}; choose one of {', '.join(MODELS)}")
         check_columns(columns, self.qis, "quasi-identifier")
         check_fraction(self.threshold)
+        check_columns(columns, self.key or (), "key")
+        check_columns(columns, [self.order_col] if self.order_col else [], "order")
         needs = {
             "k-anonymity": ("k",),
             "l-diversity": ("k", "l"),
