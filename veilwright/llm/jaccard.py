@@ -311,7 +311,8 @@ def join(
         "label", "blocks", "rep", "copies", F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")
     )
     same_row = (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
-    texts = rows.join(wanted, same_row).select("label", "blocks", "rep", "copies", "text")
+    # the texts are shuffled once at every size; without the hint a small table would be broadcast
+    texts = rows.join(wanted.hint("merge"), same_row).select("label", "blocks", "rep", "copies", "text")
     sets = texts.mapInArrow(_with_sets(words), "label bigint, blocks bigint, rep bigint, copies bigint, shingles array<bigint>")
     pairs = _block_pairs(sets, "label", "blocks", "rep", "copies", "shingles")
     exact = _exact(Fraction(similarity).limit_denominator(1000))
