@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from math import prod
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.operators.hierarchy import levels_of
+from veilwright.operators.lineage import cut_lineage
 from veilwright.operators.matching import cols
 from veilwright.operators.suppression import drop_classes
 from veilwright.spec import check_columns, check_fraction
 from veilwright.streaming import require_batch
 
 
+#: Level vectors that are tried in one pass over the classes.
+TRIED = 64
+
+
+def _of_height(depth: Sequence[int], height: int) -> Iterator[tuple[int, ...]]:
+    """Level vectors with the given sum, in the order of their digits."""
+    if not depth:
+        if height == 0:
+            yield ()
+        return
+    for level in range(min(depth[0] - 1, height) + 1):
+        for rest in _of_height(depth[1:], height - level):
+            yield (level, *rest)
+
+
 def full_domain(
     df: DataFrame,
     qis: Sequence[str],
@@ -29,9 +45,10 @@ def full_domain(
     first in column order among equals.  ``hierarchies`` may give a column its own array of
     labels and the length of that array.
 
-    The table is reduced to its distinct classes once, with the labels of all levels; every
-    vector is then counted over those in one pass.  A vector is a plain number whose mixed
-    digits are the levels, so nothing is enumerated on the driver.
+    The table is reduced to its distinct classes once, with the labels of all levels, and these are
+    written to the checkpoint folder.  Vectors are then tried height by height, ``TRIED`` at a time,
+    while the plan is built: the first that qualifies ends the search, and no pass writes a class out
+    more than ``TRIED`` times.
     """
     require_batch(df, "full-domain generalisation")
     check_columns(df.columns, list(qis), "quasi-identifier")
@@ -40,31 +57,35 @@ def full_domain(
     levels = {q: given[q] if q in given else levels_of(df, q, widening=True) for q in qis}
     depth = [levels[q][1] for q in qis]
 
-    def digit(node: Column, i: int) -> Column:
-        return (F.floor(node / prod(depth[i + 1 :])) % depth[i]).cast("int")
-
     classes = df.groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("__n"))
-    labelled = classes.select("__n", *[levels[q][0].alias(f"__labels_{i}") for i, q in enumerate(qis)])
-    tried = labelled.withColumn("__node", F.explode(F.sequence(F.lit(0), F.lit(prod(depth) - 1))))
-    names = [f"__label_{i}" for i in range(len(qis))]
-    chosen_labels = [F.get(f"__labels_{i}", digit(F.col("__node"), i)).alias(n) for i, n in enumerate(names)]
-    sizes = tried.select("__node", "__n", *chosen_labels).groupBy("__node", *names).agg(F.sum("__n").alias("__rows"))
-    judged = sizes.groupBy("__node").agg(
-        F.sum("__rows").alias("__all"),
-        F.sum(F.when(F.col("__rows") < k, F.col("__rows")).otherwise(0)).alias("__small"),
-    )
-    height = sum((digit(F.col("__node"), i) for i in range(1, len(qis))), digit(F.col("__node"), 0))
-    best = judged.filter(F.col("__small") <= F.col("__all") * F.lit(float(budget))).agg(
-        F.min(F.struct(height.alias("height"), F.col("__node").alias("node"))).alias("best")
+    labelled = cut_lineage(
+        classes.select("__n", *[levels[q][0].alias(f"__labels_{i}") for i, q in enumerate(qis)])
     )
-    # a table of fewer than k rows has no qualifying vector: fall back to the top of all columns
-    node = best.select(F.coalesce(F.col("best.node"), F.lit(prod(depth) - 1))).scalar()
-    place = {q: i for i, q in enumerate(qis)}
+    names = [f"__label_{i}" for i in range(len(qis))]
+
+    def qualifying(vectors: Sequence[tuple[int, ...]]) -> int | None:
+        """Place of the first vector that qualifies."""
+        tried = labelled.select("*", F.posexplode(F.array(*[F.array(*map(F.lit, v)) for v in vectors])).alias("__at", "__vector"))
+        own = [F.get(f"__labels_{i}", F.col("__vector")[i]).alias(n) for i, n in enumerate(names)]
+        sizes = tried.select("__at", "__n", *own).groupBy("__at", *names).agg(F.sum("__n").alias("__rows"))
+        judged = sizes.groupBy("__at").agg(
+            F.sum("__rows").alias("__all"),
+            F.sum(F.when(F.col("__rows") < k, F.col("__rows")).otherwise(0)).alias("__small"),
+        )
+        return judged.filter(F.col("__small") <= F.col("__all") * F.lit(float(budget))).agg(F.min("__at")).first()[0]
+
+    # where the top of all columns does not qualify, as with fewer than k rows, nothing below it does
+    chosen = tuple(d - 1 for d in depth)
+    heights = range(sum(chosen) + 1) if qualifying([chosen]) is not None else ()
+    every = chain.from_iterable(_of_height(depth, height) for height in heights)
+    while vectors := list(islice(every, TRIED)):
+        at = qualifying(vectors)
+        if at is not None:
+            chosen = vectors[at]
+            break
+    level = dict(zip(qis, chosen, strict=True))
     rows = df.select(
-        *[
-            F.get(levels[c][0], digit(node, place[c])).alias(c) if c in place else F.col(f"`{c}`")
-            for c in df.columns
-        ]
+        *[F.get(levels[c][0], F.lit(level[c])).alias(c) if c in level else F.col(f"`{c}`") for c in df.columns]
     )
     small = rows.groupBy(*cols(qis)).agg(F.count(F.lit(1)).alias("class_size")).filter(F.col("class_size") < k)
     return drop_classes(rows, small, qis, null_safe=True)
