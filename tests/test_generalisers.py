@@ -173,3 +173,14 @@ def test_sentinel(spark):
 def test_coercion(spark):
     df = spark.createDataFrame([("1.5",), ("x",), ("NaN",), (None,)], "x string")
     assert one(df, as_number(df, "x")) == [1.5, None, None, None]
+
+
+def test_look_up_tables_never_multiply_rows(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "v string")
+    twice = spark.createDataFrame([("a", "x"), ("a", "x")], "value string, label string")
+    assert rows(map_values(df, "v", twice, keep_unmapped=True)) == sorted([("x",), ("b",), (None,)], key=str)
+    unlike = spark.createDataFrame([("a", "x"), ("a", "y")], "value string, label string")
+    with pytest.raises(Exception, match="different labels"):
+        map_values(df, "v", unlike, keep_unmapped=True).collect()
+    with pytest.raises(ValueError, match="more than one label"):
+        map_values(df, "v", {1: "a", "1": "b"}, keep_unmapped=True)

@@ -111,3 +111,13 @@ def test_class_models_refuse_streams(spark, tmp_path):
         l_diversity(stream, ["id"], "id", 2, 2)
     with pytest.raises(ValueError, match="streaming table"):
         generalize_stream(spark.range(3), {})
+
+
+def test_schema_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_text("Disease,ID,Age\nFlu, 1,30\n NA ,2,NA\n")
+    table = read_delimited(spark, str(path), schema="ID int, Age int, Disease string")
+    assert table.columns == ["ID", "Age", "Disease"]
+    assert sorted(map(tuple, table.collect())) == [(1, 30, "Flu"), (2, None, " NA ")]
+    with pytest.raises(ValueError, match="Weight"):
+        read_delimited(spark, str(path), schema="ID int, Weight int")
