@@ -104,3 +104,31 @@ def op10_projection_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame
     """The 20 nearest of every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return forest.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+# Each row's hash decides, as in the query: rows of a source in hash order up to its budget, then one more.
+SQL["op6_hash_threshold_mix"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+        CAST('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), text)), 1, 12) AS BIGINT) AS hash FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE
+        ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS most FROM s),
+    r AS (SELECT *, most / weight < ((SELECT sum(source_size) FROM w)::DOUBLE - coalesce(sum(most) OVER o, 0))
+        / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0)) AS "full" FROM w
+        WINDOW o AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT source, source_size, CASE WHEN "full" THEN most ELSE least(weight * ((SELECT sum(source_size) FROM r)::DOUBLE
+        - (SELECT coalesce(sum(most), 0) FROM r WHERE "full")) / (SELECT sum(weight) FROM r WHERE NOT "full"), most) END AS target FROM r),
+    p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+    b AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS budget, coalesce(sum(size) OVER (
+        PARTITION BY d.source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
+        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+    c AS (SELECT source, hash AS cut, least(floor((budget - spent) / size), 1) AS fits,
+        budget - spent - least(floor((budget - spent) / size), 1) * size AS rest
+        FROM b WHERE spent < budget AND budget <= spent + size),
+    f AS (SELECT b.source, arg_min(hash, (abs(size - rest), hash)) AS filler FROM b JOIN c ON b.source IS NOT DISTINCT FROM c.source
+        WHERE (hash > cut OR hash = cut AND fits < 1) AND abs(size - rest) < rest GROUP BY b.source),
+    m AS (SELECT b.*, CASE WHEN hash < cut THEN 1 WHEN hash = cut THEN fits ELSE 0 END
+        + CASE WHEN hash = filler THEN 1 ELSE 0 END AS more FROM b LEFT JOIN c ON b.source IS NOT DISTINCT FROM c.source
+        LEFT JOIN f ON b.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, source, size, source_size, target, CAST(whole + least(more, 1) AS BIGINT) AS times,
+    CAST(size * (whole + least(more, 1)) AS BIGINT) AS taken FROM m"""
