@@ -48,3 +48,12 @@ def test_fingerprints_alone(spark):
     assert got.columns.tolist() == ["doc_id", "fingerprint"] and len(got) == 13
     level, samples = fp.parsed(got.fingerprint.tolist())
     assert fp.written(level, samples) == got.fingerprint.tolist()
+
+
+def test_groups_of_alike_texts(spark):
+    base = ["".join(chr(97 + (i * i * k + i // 3) % 23) + " " * (i % 5 == 0) for i in range(1500)) for k in (1, 5, 7)]
+    texts = [b[:cut] + "zq" + b[cut + 2 :] for b in base for cut in (300, 700, 1400)] + ["", "", "short"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.group_id for r in fp.near_groups(rows, 0.5).collect()}
+    assert got == {i: i // 3 * 3 for i in range(9)} | {9: 9, 10: 9, 11: 11}
+    assert fp.near_groups(edge(spark)).count() == 13 and fp.near_groups(empty(spark)).count() == 0

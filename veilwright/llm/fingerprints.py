@@ -8,7 +8,7 @@ texts rarely agree.
 
 A fingerprint samples the walk at shared steps, ``SAMPLES`` for the text's length class and as many
 for the next longer one, so texts of similar length have a class in common.  ``likeness`` is the share
-of equal samples there, of those where not both walks have ended.  ``near_pairs`` finds alike
+of equal samples there, of those where not both walks have ended.  ``near_groups`` finds alike
 fingerprints by bands of samples and verifies them.
 
 Rows: NULL and empty texts have a fingerprint of ended samples; two of them are alike (1), one and any
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwright.llm.common import ship, stored
+from veilwright.llm.components import components
+from veilwright.llm.jaccard import BLOCK_SETS, Forest, block_pairs, groups
 
 #: Samples of a walk in each of the two length classes of a fingerprint.
 SAMPLES = 96
@@ -43,6 +45,8 @@ CELL_BITS = 11
 FIRSTS = 1_000_000
 #: Steps between looks at which walks have ended.
 LOOK = 64
+#: Samples in a band: two walks that agree in 0.8 of their samples share one of the 24 bands almost surely.
+BAND = 4
 ENDED = 0
 SEED = 20_251
 
@@ -269,3 +273,55 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """Fingerprints of every text and of its edited form, and how alike they and the next text's are."""
     ship(df.sparkSession)
     return with_next(df, key, text).mapInArrow(_compare, COMPARED)
+
+
+def _verify(threshold: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (group, side, rep, fingerprint): links of each to the smallest of its tree in the group."""
+        for group in groups(batches):
+            side, rep = np.asarray(group.column(1)), np.asarray(group.column(2))
+            level, samples = parsed(group.column(3).to_pylist())
+            forest, second = Forest(len(rep)), np.flatnonzero(side == 1)
+            for place in np.flatnonzero(side == 0).tolist():
+                others = second if len(second) else np.arange(place + 1, len(rep))
+                others = others[forest.label[others] != forest.label[place]]
+                if len(others):
+                    own = np.full(len(others), place)
+                    alike = likeness(level[own], samples[own], level[others], samples[others]) >= threshold
+                    forest.link(place, others[alike])
+            moved = forest.label != np.arange(len(rep))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rep[moved]), pa.array(rep[forest.label[moved]])], names=["rep", "root"]
+            )
+
+    return verify
+
+
+def near_groups(df: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``fingerprint`` and ``group_id`` of every row: the smallest key of all rows linked to it.
+
+    Equal fingerprints are one.  Fingerprints that share a band of samples which have not ended are
+    compared, a large bucket in blocks, and those of at least the ``threshold`` are linked.
+    """
+    prints = stored(fingerprints(df, key, text).toDF("key", "print"))
+    distinct = prints.groupBy("print").agg(F.min("key").alias("first"))
+    distinct = stored(distinct.withColumn("rep", F.monotonically_increasing_id()))
+    level = F.conv(F.substring("print", 1, 2), 16, 10).cast("int")
+    bands = []
+    for slot in (0, 1):
+        for band in range(SAMPLES // BAND):
+            part = F.substring("print", 3 + 2 * (slot * SAMPLES + band * BAND), 2 * BAND)
+            bands.append(F.when(part != "00" * BAND, F.xxhash64(level + slot, F.lit(band), part)))
+    rows = distinct.select("rep", "print", F.explode(F.array_compact(F.array(*bands))).alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    blocks = sizes.select(F.col("bucket").alias("of"), F.ceil(F.col("n") / BLOCK_SETS).alias("blocks"))
+    met = rows.join(blocks, F.col("bucket") == F.col("of"))
+    pairs = block_pairs(met, "bucket", "blocks", "rep", "print")
+    links = stored(pairs.mapInArrow(_verify(threshold), "rep bigint, root bigint").distinct())
+    trees = components(links, "rep", "root").withColumnRenamed("node", "rep")
+    labelled = distinct.join(trees, "rep", "left").withColumn("tree", F.coalesce("label", "rep"))
+    names = labelled.groupBy("tree").agg(F.min("first").alias("group_id"))
+    of_print = labelled.join(names, "tree").select(F.col("print").alias("of_print"), "group_id")
+    return prints.join(of_print, F.col("print") == F.col("of_print")).select(
+        F.col("key").alias(key), F.col("print").alias("fingerprint"), "group_id"
+    )

@@ -110,7 +110,7 @@ def _describe(words: int):
     return describe
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of rows with equal first column, which may reach over batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -151,7 +151,7 @@ class Forest:
 def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, side, rep, tokens): links of each set to the smallest of its tree in the group."""
     need = LOOSE * RUNS * LEVELS
-    for group in _groups(batches):
+    for group in groups(batches):
         side, rep = np.asarray(group.column(1)), np.asarray(group.column(2))
         tokens = np.asarray(_lists(group.column(3))[0]).reshape(len(rep), -1)
         forest = Forest(len(rep))
@@ -206,7 +206,7 @@ def _exact(similarity: Fraction):
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (group, side, rep, copies, shingles): links of each set in the group, and its tree's smallest."""
-        for group in _groups(batches):
+        for group in groups(batches):
             rep = np.asarray(group.column(2))
             group = group.take(pa.array(np.unique(rep, return_index=True)[1]))  # equal rows are one
             side, rep, copies = (np.asarray(group.column(i)) for i in (1, 2, 3))
@@ -234,7 +234,7 @@ def _exact(similarity: Fraction):
     return exact
 
 
-def _block_pairs(rows: DataFrame, group: str, blocks: str, *columns: str) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, blocks: str, *columns: str) -> DataFrame:
     """Each row once for every pair of blocks that its own is in: ``group``, ``side`` and ``columns``.
 
     Every two rows of a group meet exactly once; a group of one block stays one group.
@@ -302,7 +302,7 @@ def join(
     )
     own = base.select(F.col("node").alias("rep"), "doc_id", "text_hash", "size", "tokens")
     reps = stored(classes.select("rep", "copies").join(own, "rep").filter("size > 0"))
-    loose = _block_pairs(_bucketed(reps.select("rep", "tokens")), "bucket", "blocks", "rep", "tokens")
+    loose = block_pairs(_bucketed(reps.select("rep", "tokens")), "bucket", "blocks", "rep", "tokens")
     near = components(stored(loose.mapInArrow(_loose, "rep bigint, root bigint").distinct()), "rep", "root")
     # exact comparison of all pairs within a component of loose links
     members = stored(near.withColumnRenamed("node", "rep").join(reps.drop("tokens"), "rep"))
@@ -314,7 +314,7 @@ def join(
     # the texts are shuffled once at every size; without the hint a small table would be broadcast
     texts = rows.join(wanted.hint("merge"), same_row).select("label", "blocks", "rep", "copies", "text")
     sets = texts.mapInArrow(_with_sets(words), "label bigint, blocks bigint, rep bigint, copies bigint, shingles array<bigint>")
-    pairs = _block_pairs(sets, "label", "blocks", "rep", "copies", "shingles")
+    pairs = block_pairs(sets, "label", "blocks", "rep", "copies", "shingles")
     exact = _exact(Fraction(similarity).limit_denominator(1000))
     compared = stored(pairs.mapInArrow(exact, "rep bigint, root bigint, texts bigint, documents bigint"))
     counts = compared.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
