@@ -35,6 +35,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE, SAMPLE_WINDOWS = 600, 4
 PASSES, BATCH, RATE = 3, 64, 0.004
+#: Hashes of ids are ranked by their remainder by this.
+HASHES = 1 << 32
 #: Windows that go through the network at a time.
 BLOCK = 1024
 OVERLAP = max(WIDTHS) - 1
@@ -148,20 +150,32 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Network | Non
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Network | None:
-    """Train on ``SAMPLE`` rows of each language: those whose id has the smallest hash."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    """Train on ``SAMPLE`` rows of each language: those whose id has the smallest hash.
+
+    The languages are counted first, so that each keeps about twice ``SAMPLE`` rows before they are
+    ranked: what is shuffled depends on the number of languages, not on that of rows or tasks.
+    """
     rows = df.select(
         F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{order}`")).alias("hash")
     )
-    kept = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    kept = kept.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE)
-    # of a sampled text only the windows it is learned from travel to the driver
+    known = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    room = {name: int(min(1.0, 2 * SAMPLE / n) * HASHES) for name, n in counts.items()}
+    limits = F.create_map(*[F.lit(x) for pair in room.items() for x in pair])
+    # the first ranks of the hash in unsigned order, whole where there are few rows
+    near = known.filter(F.pmod("hash", F.lit(HASHES)) < F.element_at(limits, F.col("lang")))
+    # of a sampled text only the windows it is learned from travel
     last = F.greatest(F.length("text") - WINDOW, F.lit(0))
     shares = [i / (SAMPLE_WINDOWS - 1) for i in range(SAMPLE_WINDOWS)]
     spots = [F.substring("text", (last * F.lit(share)).cast("int") + 1, F.lit(WINDOW)) for share in shares]
-    parts = kept.select("lang", "hash", F.explode(F.array_distinct(F.array(*spots))).alias("part"))
-    found = sorted((r.lang, r.hash, r.part) for r in parts.collect())
-    return train([part.encode() for _, _, part in found], [label for label, _, _ in found])
+    parts = near.select("lang", F.pmod("hash", F.lit(HASHES)).alias("hash"), F.array_distinct(F.array(*spots)).alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "parts"))
+    kept = parts.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE)
+    found = sorted((r.lang, r.hash, r.parts) for r in kept.collect())
+    texts = [(label, part) for label, _, windows in found for part in windows]
+    return train([part.encode() for _, part in texts], [label for label, _ in texts])
 
 
 def _predictor(net: Network | None):
