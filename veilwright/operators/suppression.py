@@ -3,10 +3,9 @@
 The central operator, ``drop_share``, deletes exactly ``floor(count * fraction)`` of the rows
 of some classes.  Ranking those rows would sort them in one task.  Instead every row gets a
 hash, and only the hash *at* the cut is looked for: a histogram over the first five hex
-digits (at most 2^20 rows whatever the table holds) names the bucket of the cut, another over the
-next five digits the bucket inside that, and a last look into it the hash.  That bucket holds a
-2^40th of the different hashes: one out of a trillion rows.  Rows are then kept or dropped by
-comparing with one constant inside the anti-join that finds the classes, so row payloads are never
+digits (at most 2^20 rows whatever the table holds) names the bucket of the cut, and a look into it
+the hash.  That bucket holds a 2^20th of the different hashes: a million out of a trillion rows.
+Rows are then kept or dropped by comparing with one constant inside the anti-join that finds the classes, so row payloads are never
 sorted.
 """
 
@@ -24,7 +23,8 @@ from veilwright.streaming import require_batch
 
 HASH = "__hash"
 BLOCK_ROWS = 65_536
-BUCKET_DIGITS, LEVELS = 5, 2
+# each further level plans the rows anew, which the two-phase models cannot afford
+BUCKET_DIGITS, LEVELS = 5, 1
 
 
 def drop_classes(
