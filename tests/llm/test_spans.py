@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from tests.llm.edge import edge, empty
 
 from veilwright.llm import queries, spans
@@ -47,3 +50,42 @@ def test_difficult_rows(spark):
 def test_sentences_make_up_the_text():
     for text in ("", "...", "A 3.14 b. C\n\nd", "x.\n y.  z", "no end"):
         assert "".join(spans.sentences(text)) == text
+
+
+def words_of(draw, n):
+    return ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("words", [50, 25, 13, 2, 1])
+def test_fifty_words_survive_once_however_they_are_punctuated(spark, words):
+    draw = random.Random(words)
+    rows, passages = [], []
+    for i in range(40):
+        passage = [w + "." * (k % words == words - 1) for k, w in enumerate(words_of(draw, 50))]
+        passages.append(passage)
+        # in mid-sentence at both ends, too
+        rows += [(2 * i + k, " ".join(words_of(draw, draw.randint(0, 30)) + passage + words_of(draw, draw.randint(0, 30)))) for k in (0, 1)]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i, passage in enumerate(passages):
+        assert got[2 * i].text == rows[2 * i][1]
+        left, own = got[2 * i + 1].text.split(), rows[2 * i + 1][1].split()
+        assert len(set(passage) & set(left)) <= 2 * (spans.WINDOW - 1)
+        assert [w for w in own if w not in passage] == [w for w in left if w not in passage]
+
+
+def test_fifty_words_in_one_long_text_without_full_stops():
+    draw = random.Random(5)
+    passage = words_of(draw, 50)
+    found = [set(spans.spans(" ".join(words_of(draw, n) + passage + words_of(draw, n)))[1]) for n in range(0, 200, 3)]
+    assert all(a & b for a in found for b in found)
+    assert not set(spans.spans(" ".join(words_of(draw, 5000)))[1]) & found[0]
+
+
+def test_whole_sentences_are_cut_out_to_the_last_word():
+    draw = random.Random(6)
+    for each in (50, 25, 2, 1):
+        passage = " ".join(w + "." * (k % each == each - 1) for k, w in enumerate(words_of(draw, 50))) + " "
+        known = set(spans.spans(passage)[1])
+        text = "Before it. " + passage + "And after.\n"
+        gone = [place for place, span in zip(*spans.spans(text), strict=True) if span in known]
+        assert spans.cut_out(text, gone) == ("Before it. And after.\n", 50 // each, 50 // each + 2)

@@ -1,14 +1,20 @@
 """Removal of repeated passages by sliding sentence spans.
 
-A text is cut into sentences, at line ends and after full stops, question and exclamation marks.  Every
-run of ``SPAN`` consecutive sentences is hashed and all runs of all documents are joined by hash.  The
-first occurrence, by document id and place, stays; the sentences of every other occurrence are removed.
-So a passage of at least ``SPAN`` whole sentences that stands in several places survives in one only.
-
-A run counts if it has at least ``LEAST_WORDS`` words: three short sentences in a row repeat by chance.
-
-Rows: NULL stays NULL, texts of fewer sentences than a span are left alone.  Rows with equal id and text
-are one document, and keep or lose the same sentences.  NULL ids come last.  An empty table stays
+A text is cut into sentences, at line ends and after full stops, question and exclamation marks.  Three
+sorts of runs are hashed, and all runs of all documents are joined by hash: every ``SPAN`` consecutive
+sentences of at least ``LEAST_WORDS`` words together (three short sentences in a row repeat by chance); from
+every sentence on, the shortest run of whole sentences that has ``ENOUGH`` words, if it is shorter than
+``SPAN`` sentences or these have too few words; and ``ENOUGH`` words from the word on that has the smallest
+hash of any ``WINDOW`` words.  The first occurrence, by document id and place, stays; the words of every other
+occurrence are removed.
+
+So a passage of ``SPAN`` whole sentences that stands in several places survives in one only.  So does one of
+``WINDOW + ENOUGH - 1 = 39`` words or more, however it is cut or punctuated, but for up to ``WINDOW - 1`` words
+at each end: where a run of the third sort begins depends on the words near by only, and a passage holds the same
+ones everywhere.
+
+Rows: NULL stays NULL, texts of fewer words and sentences than a run are left alone.  Rows with equal id and
+text are one document, and keep or lose the same words.  NULL ids come last.  An empty table stays
 empty.  Columns other than the text are left alone, but for those of the results' names.
 """
 
@@ -27,9 +33,12 @@ from pyspark.sql.types import LongType, StringType, StructType
 from veilwright.llm.common import ship, stored
 
 SPAN, LEAST_WORDS = 3, 8
+#: Words of a run that is not counted in sentences, and words of which one begins such a run.
+ENOUGH, WINDOW = 20, 20
 #: A sentence with the white space after it.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|\n\s*|[.!?]+|$)")
-#: An occurrence: the run's hash, the document, and the run's place above 32 bits of the text's hash.
+WORD = re.compile(r"\s*\S+\s*")
+#: An occurrence: the run's hash, the document, and the run's number above 32 bits of the text's hash.
 FOUND = "span bigint, doc_id bigint, spot bigint"
 PLACE_UNIT = 1 << 32
 
@@ -46,21 +55,47 @@ def sentences(text: str) -> list[str]:
     return joined
 
 
+def _begins(words: list[str]) -> np.ndarray:
+    """Places of the last smallest hash of any ``WINDOW`` words."""
+    if len(words) < WINDOW:
+        return np.zeros(0, dtype=np.int64)
+    # a hash above, a place counted backwards below; the least of so many from each on, doubled step by step
+    least = np.fromiter(map(xxhash.xxh32_intdigest, words), dtype=np.uint64, count=len(words)) << np.uint64(32)
+    least |= np.arange(PLACE_UNIT - 1, PLACE_UNIT - 1 - len(words), -1).astype(np.uint64)
+    width = 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    least = PLACE_UNIT - 1 - (least & np.uint64(PLACE_UNIT - 1)).astype(np.int64)
+    return least[np.append(True, np.diff(least) > 0)]
+
+
+def runs(parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sentences ``parts``: their words in small letters, the words before each sentence and before
+    the end, and first word and word after the last of all runs, in order."""
+    split = [s.lower().split() for s in parts]
+    words = [w for own in split for w in own]
+    bounds = np.concatenate(([0], np.cumsum([len(own) for own in split], dtype=np.int64)))
+    places = np.arange(len(parts))
+    spanned = np.minimum(places + SPAN, len(parts))
+    wordy = (places + SPAN <= len(parts)) & (bounds[spanned] - bounds[places] >= LEAST_WORDS)
+    ends = np.searchsorted(bounds, bounds[:-1] + ENOUGH)
+    enough = (ends < len(bounds)) & ((ends < places + SPAN) | ~wordy)
+    begins = _begins(words)
+    begins = begins[begins + ENOUGH <= len(words)]
+    first = np.concatenate((bounds[places[wordy]], bounds[places[enough]], begins))
+    last = np.concatenate((bounds[spanned[wordy]], bounds[ends[enough]], begins + ENOUGH))
+    found = np.unique(first * (len(words) + 1) + last)
+    return words, bounds, found // (len(words) + 1), found % (len(words) + 1)
+
+
 def spans(text: str | None) -> tuple[list[int], list[int]]:
-    """Places and hashes of all runs of ``SPAN`` sentences that have enough words."""
-    words = [s.split() for s in sentences(text or "")]
-    if len(words) < SPAN:
-        return [], []
-    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w).lower()) for w in words], dtype=np.uint64)
-    counts = np.array([len(w) for w in words])
-    n = len(words) - SPAN + 1
-    total, size = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-    for i in range(SPAN):
-        total = (total ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(31)
-        size += counts[i : i + n]
-    places = np.flatnonzero(size >= LEAST_WORDS)
-    return places.tolist(), total[places].view(np.int64).tolist()
+    """Numbers and hashes of all runs."""
+    words, _, first, last = runs(sentences(text or ""))
+    digests = [
+        xxhash.xxh3_64_intdigest(" ".join(words[a:b])) for a, b in zip(first.tolist(), last.tolist(), strict=True)
+    ]
+    return list(range(len(digests))), np.array(digests, dtype=np.uint64).view(np.int64).tolist()
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +115,24 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_out(text: str, places: list[int]) -> tuple[str, int, int]:
-    """``text`` without the sentences of the spans at ``places``, their number, and that of all sentences."""
+    """``text`` without the runs numbered ``places``, the number of sentences that lost words, and that of all."""
     parts = sentences(text)
-    gone = {i for place in places for i in range(place, place + SPAN)}
-    return "".join(s for i, s in enumerate(parts) if i not in gone), len(gone), len(parts)
+    if not places:
+        return text, 0, len(parts)
+    words, bounds, first, last = runs(parts)
+    change = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(change, first[places], 1)
+    np.add.at(change, last[places], -1)
+    gone = np.cumsum(change)[:-1] > 0
+    kept, removed = [], 0
+    for part, a, b in zip(parts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        lost = int(gone[a:b].sum())
+        removed += lost > 0
+        if not lost:
+            kept.append(part)
+        elif lost < b - a:
+            kept += [w for w, g in zip(WORD.findall(part), gone[a:b].tolist(), strict=True) if not g]
+    return "".join(kept), removed, len(parts)
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +175,13 @@ def repeats(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with repeated passages removed from ``text``; adds ``removed`` and ``sentences`` (counts)."""
+    """``df`` with repeated passages removed from ``text``; adds ``removed`` and ``sentences``.
+
+    These are the numbers of sentences that lost words, all or some, and of all sentences.
+    """
     columns = [c for c in df.columns if c.lower() not in ("removed", "sentences")]
     places = repeats(df, key, text).groupBy("doc_id", "digest").agg(F.collect_set("place").alias("places"))
-    # a row has at most as many places as sentences
+    # a row has at most as many places as words and sentences
     rows = df.select(
         F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in columns if c != text]).alias("row"),
         F.col(f"`{text}`").alias("text"),
