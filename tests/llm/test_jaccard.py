@@ -60,6 +60,15 @@ def test_large_groups_in_blocks(spark, monkeypatch, limits):
     assert {r.doc_id: (r.class_id, r.links) for r in got} == brute(docs)
 
 
+def test_blocks_without_sets_count_no_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 20)
+    docs = near_copies(12, 2)
+    got = jaccard.join(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    want = brute(docs)
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == want and any(links for _, links in want.values())
+    assert all(r.linked_texts <= 1 for r in got)
+
+
 def test_difficult_rows(spark):
     table = jaccard.join(edge(spark)).toPandas()
     assert len(table) == 13 and table["first"].sum() == 8

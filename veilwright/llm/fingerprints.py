@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from veilwright.llm.common import ship, stored
 from veilwright.llm.components import components
-from veilwright.llm.jaccard import BLOCK_SETS, Forest, block_pairs, groups
+from veilwright.llm.jaccard import ALONE, BLOCK_SETS, Forest, block_pairs, groups
 
 #: Samples of a walk in each of the two length classes of a fingerprint.
 SAMPLES = 96
@@ -282,8 +282,8 @@ def _verify(threshold: float):
             side, rep = np.asarray(group.column(1)), np.asarray(group.column(2))
             level, samples = parsed(group.column(3).to_pylist())
             forest, second = Forest(len(rep)), np.flatnonzero(side == 1)
-            for place in np.flatnonzero(side == 0).tolist():
-                others = second if len(second) else np.arange(place + 1, len(rep))
+            for place in np.flatnonzero(side < 1).tolist():
+                others = np.arange(place + 1, len(rep)) if side[0] == ALONE else second
                 others = others[forest.label[others] != forest.label[place]]
                 if len(others):
                     own = np.full(len(others), place)

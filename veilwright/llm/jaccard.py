@@ -45,6 +45,8 @@ LOOSE = 0.5
 #: Sets that meet in one block of a bucket that stays large, and shingles that meet in one block of the exact comparison.
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 20
+#: The side of the rows of a block that meets itself; of two blocks they are 0 and 1.
+ALONE = -1
 WORD = re.compile(r"\w+")
 
 
@@ -155,10 +157,10 @@ def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, rep = np.asarray(group.column(1)), np.asarray(group.column(2))
         tokens = np.asarray(_lists(group.column(3))[0]).reshape(len(rep), -1)
         forest = Forest(len(rep))
-        first = np.flatnonzero(side == 0)
+        first = np.flatnonzero(side < 1)
         second = np.flatnonzero(side == 1)
         for place in first.tolist():
-            others = second if len(second) else np.arange(place + 1, len(rep))
+            others = np.arange(place + 1, len(rep)) if side[0] == ALONE else second
             if len(others):
                 others = others[forest.label[others] != forest.label[place]]
                 same = (tokens[others] == tokens[place]).sum(axis=1)
@@ -212,11 +214,11 @@ def _exact(similarity: Fraction):
             side, rep, copies = (np.asarray(group.column(i)) for i in (1, 2, 3))
             flat, offsets = _lists(group.column(4))
             size = np.diff(offsets)
-            first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            first, second = np.flatnonzero(side < 1), np.flatnonzero(side == 1)
             texts, documents = np.zeros(len(rep), dtype=np.int64), np.zeros(len(rep), dtype=np.int64)
             forest = Forest(len(rep))
             against = np.zeros(len(rep), dtype=bool)
-            against[second if len(second) else first] = True
+            against[first if side[0] == ALONE else second] = True
             for place, shared in zip(first.tolist(), intersections(flat, offsets, first), strict=True):
                 linked = (q * shared >= p * (size + size[place])) & against
                 linked[place] = False
@@ -237,14 +239,15 @@ def _exact(similarity: Fraction):
 def block_pairs(rows: DataFrame, group: str, blocks: str, *columns: str) -> DataFrame:
     """Each row once for every pair of blocks that its own is in: ``group``, ``side`` and ``columns``.
 
-    Every two rows of a group meet exactly once; a group of one block stays one group.
+    Every two rows of a group meet exactly once; a group of one block stays one group.  The side is ``ALONE``
+    where a block meets itself; a block that meets an empty one has side 0 only, and nothing to be compared with.
     """
     own = F.pmod(F.xxhash64("rep"), F.col(blocks))
     pairs = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1),
         lambda other: F.struct(
             F.xxhash64(F.col(group), F.least(own, other), F.greatest(own, other)).alias("group"),
-            (own > other).cast("int").alias("side"),
+            F.when(own == other, ALONE).otherwise((own > other).cast("int")).alias("side"),
         ),
     )
     each = rows.withColumn("pair", F.explode(pairs)).select("pair.group", "pair.side", *columns)
