@@ -62,3 +62,29 @@ def test_difficult_rows(spark):
     assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, before.select("doc_id", "text").collect()))
     assert {r.found for r in got.collect()} == {0}
     assert P.pseudonymise(empty(spark), "k").count() == 0
+
+
+def test_no_telephone_number_survives(spark):
+    numbers = [
+        "+1 (069) 555-3296", "+1 (169) 555-3296", "+1 (269) 055-3296", "+1 (069) 155-3296", "+10695553296", "069-555-3296",
+        "269 555 3296", "(269) 555 3296", "(269)555 3296", "269.155.3296",
+    ]
+    df = spark.createDataFrame([(i, f"Call {n} now.") for i, n in enumerate(numbers)], "i int, text string")
+    got = P.pseudonymise(df, "k").orderBy("i").collect()
+    for number, row in zip(numbers, got, strict=True):
+        assert number not in row.text and row.found == 1
+        assert re.sub(r"\d", "0", row.text) == re.sub(r"\d", "0", f"Call {number} now.")
+
+
+def test_numbers_outside_the_plan_keep_apart(spark):
+    text = F.format_string("%03d-%03d-0000", (F.col("id") % 40 * 25).cast("int"), F.floor(F.col("id") / 40).cast("int") * 25)
+    got = P.pseudonymise(spark.range(1600).select(text.alias("text")), "k")
+    assert got.select("text").distinct().count() == 1600 and got.agg(F.sum("found")).first()[0] == 1600
+
+
+def test_no_number_of_the_table_survives(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    number = F.regexp_extract_all("text", F.lit(r"\+1 \(\d{3}\) \d{3}-\d{4}"), F.lit(0))
+    before, after = docs.select("doc_id", number.alias("a")), P.pseudonymise(docs, "k").select("doc_id", number.alias("b"))
+    pairs = before.join(after, "doc_id").filter("size(a) > 0").collect()
+    assert pairs and all(len(r.a) == len(r.b) and all(x != y for x, y in zip(r.a, r.b, strict=True)) for r in pairs)

@@ -37,7 +37,7 @@ CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d
 PHONE = (
     r"(?<![\d+(])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
     r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}"
-    r"|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\d-])"
+    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![\d-])"
 )
 SECRET = (
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
@@ -208,24 +208,31 @@ def _country(text: Column) -> Column:
     return F.regexp_extract(text, r"^\+(\d{1,3}?)(?=[ .(-]|\d{8})", 1)
 
 
+def _least(text: Column) -> list[Column]:
+    """The least area and exchange code of the sort ``text`` has: 200 for those of the plan, 0 for those below."""
+    return [F.when(F.element_at(_ten(text), place) >= 2, 200).otherwise(0) for place in (1, 4)]
+
+
 def phone_check(text: Column) -> Column:
-    planned = (F.element_at(_ten(text), 1) >= 2) & (F.element_at(_ten(text), 4) >= 2)
     abroad = text.startswith("+") & F.size(_digits(text)).between(9, 15) & ~text.startswith("+0")
-    return F.when(_national(text), planned).otherwise(abroad)
+    return _national(text) | abroad
 
 
 def phone_digits(text: Column) -> Column:
-    """Area and exchange stay in the range the plan allows; abroad the country's digits stay."""
-    ten, country = _ten(text), _country(text)
-    values = F.array(_whole(ten, 1, 3) - 200, _whole(ten, 4, 3) - 200, _whole(ten, 7, 4))
+    """Area and exchange stay in the range the plan allows, or below it if they are there; abroad the country's digits stay."""
+    ten, country, least = _ten(text), _country(text), _least(text)
+    values = F.array(_whole(ten, 1, 3) - least[0], _whole(ten, 4, 3) - least[1], _whole(ten, 7, 4))
     digits = _digits(text)
     rest = F.slice(digits, F.length(country) + 1, F.greatest(F.size(digits) - F.length(country), F.lit(0)))
-    planned = _plan(values, F.array(F.lit(800), F.lit(800), F.lit(10_000)))
+    sizes = [F.when(x > 0, 800).otherwise(200) for x in least]
+    outside = F.concat(*[F.when(x > 0, F.lit("")).otherwise(F.lit(n)) for x, n in zip(least, ("area", "exchange"), strict=True)])
+    planned = _plan(values, F.array(*sizes, F.lit(10_000)), outside)
     return F.when(_national(text), planned).otherwise(_plan(rest, _radices(rest, 10), F.lit("+"), country))
 
 
 def phone_text(old: Column, new: Column) -> Column:
-    ten = F.concat(_pad(new[0] + 200, 3), _pad(new[1] + 200, 3), _pad(new[2], 4))
+    least = _least(old)
+    ten = F.concat(_pad(new[0] + least[0], 3), _pad(new[1] + least[1], 3), _pad(new[2], 4))
     planned = F.concat(F.when(old.startswith("+"), F.lit("1")).otherwise(F.lit("")), ten)
     abroad = F.concat(_country(old), F.array_join(new.cast("array<string>"), ""))
     return refill(old, _digits(F.when(_national(old), planned).otherwise(abroad)))
