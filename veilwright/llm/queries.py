@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.llm import fingerprints, forest, jaccard, langid, mixing, packing, pseudonyms, repair, sharding, spans
+from veilwright.llm import (
+    fingerprints,
+    forest,
+    jaccard,
+    langid,
+    mixing,
+    negatives,
+    packing,
+    pieces,
+    pseudonyms,
+    repair,
+    sharding,
+    spans,
+    walsh,
+)
 from veilwright.llm.common import shared_folder, table
 from veilwright.llm.tokens import vocabulary_path
 
@@ -106,6 +120,35 @@ def op10_projection_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame
     return forest.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+@register
+def op11_angular_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+@register
+def op12_walsh_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 16 clusters after three rounds."""
+    return walsh.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_offset_preserving_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces, and the texts these give back."""
+    model = pieces.model_path()
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model)
+    rows = encoded.select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint").alias("n_bytes"),
+    )
+    decoded = pieces.decode(rows, model)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
+
+
 # Each row's hash decides, as in the query: rows of a source in hash order up to its budget, then one more.
 SQL["op6_hash_threshold_mix"] = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -132,3 +175,42 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
         LEFT JOIN f ON b.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, source, size, source_size, target, CAST(whole + least(more, 1) AS BIGINT) AS times,
     CAST(size * (whole + least(more, 1)) AS BIGINT) AS taken FROM m"""
+
+FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+# Every pair of an anchor and another row is scored.
+SQL["op11_angular_hard_negatives"] = f"""
+WITH r AS (SELECT vec_id, row_number() OVER () AS n, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {FINITE}),
+    s AS (SELECT a.n AS anchor, a.vec_id AS anchor_id, b.vec_id, b.label = a.label AS alike,
+        CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.n <> b.n WHERE a.vec_id % 50 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE alike QUALIFY place <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3"""
+
+
+def _round_sql(number: int) -> str:
+    """Assignment to the centroids before the round, and the centroids after it."""
+    return f"""
+    a{number} AS (SELECT v.n, v.vec_id, c.cluster, list_dot_product(v.v, v.v) - 2 * list_dot_product(v.v, c.v) + list_dot_product(c.v, c.v) AS d
+        FROM v, c{number} c QUALIFY row_number() OVER (PARTITION BY v.n ORDER BY d, c.cluster) = 1),
+    m{number} AS (SELECT cluster, i, floor(sum(v.v[i]) / count(*)) AS x FROM a{number} JOIN v USING (n),
+        (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+    c{number + 1} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{number} c
+        LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS v FROM m{number} GROUP BY cluster) m USING (cluster))"""
+
+
+# Distances of every vector to every centroid, three rounds and a last assignment.
+SQL["op12_walsh_hadamard_clusters"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE len(embedding) = 64 AND {FINITE}),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v FROM v
+        WHERE vec_id IS NOT NULL QUALIFY cluster < 16),{",".join(_round_sql(i) for i in range(4))},
+    t AS (SELECT cluster, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT a3.vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(a3.d AS BIGINT) AS distance, cluster_inertia,
+    CAST((SELECT sum(d) FROM a3) AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c3.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (cluster) JOIN t USING (cluster)"""
