@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -20,11 +21,11 @@ def spans(text):
     return [(p.id, p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
 
 
-@pytest.mark.parametrize("how", ["by word", "whole"])
-def test_pieces_are_those_of_the_library(how):
+@pytest.mark.parametrize("together", [True, False])
+def test_pieces_are_those_of_the_library(together):
     own = pieces.Pieces(pieces.model_path())
-    assert own.by_word
-    own.by_word = how == "by word"
+    assert own.plain
+    own.plain = together
     ids, starts, ends, counts = own.encode(pa.array(TEXTS))
     got, at = list(zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True)), 0
     for text, count in zip(TEXTS, counts.tolist(), strict=True):
@@ -32,6 +33,19 @@ def test_pieces_are_those_of_the_library(how):
         at += count
 
 
+def test_texts_that_meet_the_map_beside_others():
+    """The map of another normaliser: all texts give the records that they give one by one."""
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=False)
+    own = pieces.Pieces(pieces.model_path())
+    own.normalizer = pieces.Normalizer(dict(pieces.fields(library.serialized_model_proto()))[pieces.NORMALIZER])
+    texts = ["- --", "ﬁne ①", "日本", "a  b ", "plain text", "12"]
+    own.mapped[sorted(own.normalizer.map.first)] = True
+    assert not own.mapped[ord("-")] and own.mapped["①".encode()[0]]
+    origin, base = own._normalised(pa.array(texts))
+    want = [own.normalizer.apply(t)[1] for t in texts]
+    assert origin.tolist() == [x for w in want for x in w] and np.diff(base).tolist() == [len(w) for w in want]
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "identity"])
 @pytest.mark.parametrize("flags", [{}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False, "escape_whitespaces": False}])
 def test_normalised_text_and_its_sources(rule, flags):

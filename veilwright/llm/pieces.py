@@ -8,10 +8,9 @@ that record, give each piece's bytes in the source: what ``starts`` and ``ends``
 byte piece of an unknown character stand for no bytes.  If the pieces did not cover the normalised text exactly, the
 task would stop with an error.
 
-No piece of a model of the usual kind has a mark after another character, so no merge crosses the front of a
-word, and the words of a batch are encoded once each and remembered (``REMEMBERED`` at most, twice that for a moment).  Where
-a vocabulary has such a piece, or a text meets the character map, texts are encoded whole.  Only the merges
-themselves, and the way back from ids to text, are the library's.
+A text that does not meet the map, of a model that leaves runs of spaces alone, changes in its spaces only; the
+records of such texts are made for a whole batch at once, those of others one by one.  Only the merges of pieces, and
+the way back from ids to text, are the library's.
 
 The model is a file that every worker can read; its path is a parameter.  Rows: NULL is an empty text, an empty text has
 no ids.  Repeated rows and NULL keys are rows like any other, an empty table gives no rows, and texts of any length are
@@ -21,7 +20,6 @@ put the mark after a word are refused.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,18 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.llm.common import ship
-from veilwright.llm.tokens import gather
 
-#: Text bytes handled at a time, and words remembered by a worker.
-CHUNK_BYTES = 4 << 20
-REMEMBERED = 300_000
-#: The space mark, and what stands for a byte that is no text.
-SPACE_MARK, BROKEN = "▁", "�"
+#: Text bytes handled at a time.
+CHUNK_BYTES = 1 << 20
+#: Fixed value: the space mark.
+SPACE_MARK = "▁"
 #: Field numbers of the model file.
 PIECE, TRAINER, NORMALIZER = 1, 2, 3
 PIECE_KIND, BYTE_PIECE = 3, 6
 CHARACTER_MAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE, SUFFIX = 2, 3, 4, 5, 24
-CUT = "\0"
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -170,141 +165,76 @@ class Pieces:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         parts = list(fields(self.library.serialized_model_proto()))
-        trainer = dict(fields(dict(parts).get(TRAINER, b"")))
-        if trainer.get(SUFFIX, 0):
+        if dict(fields(dict(parts).get(TRAINER, b""))).get(SUFFIX, 0):
             raise ValueError("models that put the space mark after a word are not supported")
         self.normalizer = Normalizer(dict(parts).get(NORMALIZER, b""))
-        pieces = [dict(fields(p)) for n, p in parts if n == PIECE]
-        names = [p.get(PIECE, b"").decode() for p in pieces]
-        self.bytes_of = np.array(
-            [1 if p.get(PIECE_KIND) == BYTE_PIECE else len(name.encode()) for p, name in zip(pieces, names, strict=True)],
-            dtype=np.int32,
-        )
+        named = [dict(fields(p)) for n, p in parts if n == PIECE]
+        self.bytes_of = np.array([1 if p.get(PIECE_KIND) == BYTE_PIECE else len(p.get(PIECE, b"")) for p in named], dtype=np.int32)
         self.unknown = self.library.unk_id()
-        self.mark = self.library.piece_to_id(SPACE_MARK)
-        across = re.compile(f"[^{SPACE_MARK}]{SPACE_MARK}")
-        plain = self.normalizer.prefix and self.normalizer.escape and not self.normalizer.squeeze
-        #: whether words can be encoded on their own
-        self.by_word = plain and self.mark != self.unknown and not any(across.search(name) for name in names)
-        #: texts that the word path must leave alone: those with the character used as a cut, or in the map
-        starts = sorted(self.normalizer.map.first) if self.normalizer.map else []
-        self.touched = np.zeros(256, dtype=bool)
-        self.touched[[0, *starts]] = True
-        self.young: dict[str, tuple[bytes, bytes]] = {}  # ids and normalised lengths, as bytes
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-
-    def _lengths(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Bytes of each piece in the normalised text."""
-        if self.unknown in ids:
-            return np.array([len(s.encode()) for s in self.library.encode(text, out_type=str)])
-        return self.bytes_of[ids]
-
-    def _remember(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids and lengths of words by word, for the given ones at least."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        missing = []
-        for word in words:
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    missing.append(word)
-        # the library puts a mark before each word itself, in place of the space it begins with
-        found = self.library.encode([w[1:] for w in missing], num_threads=1)
-        found = [ids if len(word) > 1 else [self.mark] for word, ids in zip(missing, found, strict=True)]
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32)
-        ids_of, sizes_of, at = flat.tobytes(), self.bytes_of[flat].tobytes(), 0
-        for word, ids in zip(missing, found, strict=True):
-            start, at = 4 * at, at + len(ids)
-            young[word] = ids_of[start : 4 * at], sizes_of[start : 4 * at]
-        if (flat == self.unknown).any():
-            for word, ids in zip(missing, found, strict=True):
-                if self.unknown in ids:
-                    young[word] = young[word][0], self._lengths(word[1:], np.array(ids)).astype(np.int32).tobytes()
-        return young
-
-    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, starts and ends of the pieces of texts without a NUL or a mapped character, and ids a text."""
-        spaced = pc.binary_join_element_wise(" ", pc.replace_substring(texts, SPACE_MARK, " "), "")
-        lists = pc.split_pattern(pc.replace_substring_regex(spaced, " +[^ ]*", f"{CUT}\\0"), CUT)
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        encoded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        words = encoded.dictionary.to_pylist()
-        known = self._remember([w for w in words if w])
-        found = [known[w] if w else (b"", b"") for w in words]
-        counts = np.fromiter((len(f[0]) for f in found), dtype=np.int64, count=len(found)) // 4
-        which, starts = np.asarray(encoded.indices), np.cumsum(counts) - counts
-        taken = counts[which]
-        ids = gather(np.frombuffer(b"".join(f[0] for f in found), dtype=np.int32), starts[which], taken)
-        sizes = gather(np.frombuffer(b"".join(f[1] for f in found), dtype=np.int32), starts[which], taken)
-        ends = np.concatenate(([0], np.cumsum(taken)))
-        offsets -= offsets[0]
-        counts = ends[offsets[1:]] - ends[offsets[:-1]]
-        return (ids, *self._spans(texts, sizes, counts), counts)
-
-    def _spans(self, texts: pa.Array, sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where pieces start and end in their texts, from their lengths in the normalised texts."""
-        # with the mark before a text and one byte after its end, each byte is 1 or 3 normalised bytes
-        framed = pc.binary_join_element_wise(" ", texts, CUT, "")
-        framed = framed.cast(pa.large_binary())
-        edges = np.frombuffer(framed.buffers()[1], dtype=np.int64)[framed.offset : framed.offset + len(framed) + 1]
-        source = np.frombuffer(framed.buffers()[2], dtype=np.uint8)[edges[0] : edges[-1]]
-        edges = edges - edges[0]
-        at = np.arange(len(source))
-        whole = np.maximum.accumulate(np.where(source & 0xC0 != 0x80, at, 0))
-        own = np.maximum(whole - np.repeat(edges[:-1], np.diff(edges)) - 1, 0)
-        shown = np.where(source == 32, len(SPACE_MARK.encode()), 1)
-        origin = np.repeat(own, shown)
-        reached = np.concatenate(([0], np.cumsum(shown)))[edges]
-        base = reached[:-1]
-        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        first = np.cumsum(counts) - counts
-        if (upto[first + counts] - upto[first] + 1 != np.diff(reached)).any():
-            raise ValueError("pieces do not cover the normalised text")
-        shift = np.repeat(base - upto[first], counts)
-        return origin[upto[:-1] + shift], origin[upto[1:] + shift]
-
-    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, starts and ends of one text, encoded in one piece."""
-        ids = np.array(self.library.encode(text), dtype=np.int32)
-        normal, origin = self.normalizer.apply(text)
-        upto = np.concatenate(([0], np.cumsum(self._lengths(text, ids)))).astype(np.int64)
-        if upto[-1] != len(normal):
-            raise ValueError("pieces do not cover the normalised text")
-        return ids, origin[upto[:-1]], origin[upto[1:]]
+        #: whether a text that does not meet the map changes in its spaces only
+        self.plain = self.normalizer.prefix and self.normalizer.escape and not self.normalizer.squeeze
+        self.mapped = np.zeros(256, dtype=bool)
+        self.mapped[sorted(self.normalizer.map.first) if self.normalizer.map else []] = True
+
+    def _lengths(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Bytes of each piece in the normalised texts."""
+        sizes = self.bytes_of[ids]
+        if (ids == self.unknown).any():  # such a piece stands for whatever it met
+            ends = np.cumsum(counts)
+            for i in np.unique(np.searchsorted(ends, np.flatnonzero(ids == self.unknown), side="right")).tolist():
+                surfaces = self.library.encode(texts[i], out_type=str)
+                sizes[ends[i] - counts[i] : ends[i]] = [len(s.encode()) for s in surfaces]
+        return sizes
 
-    def _odd(self, texts: pa.Array) -> np.ndarray:
-        """Which texts must be encoded whole."""
-        if not self.by_word:
-            return np.ones(len(texts), dtype=bool)
+    @staticmethod
+    def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of the texts in a row, and where each text starts; the last number is the end."""
         data = texts.cast(pa.large_binary())
         edges = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + len(data) + 1]
-        source = np.frombuffer(data.buffers()[2], dtype=np.uint8)[edges[0] : edges[-1]]
-        hits = np.concatenate(([0], np.cumsum(self.touched[source])))
-        return hits[edges[1:] - edges[0]] > hits[edges[:-1] - edges[0]]
+        return np.frombuffer(data.buffers()[2], dtype=np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+    def _origins(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Source offsets of all normalised bytes and ends of texts that change in spaces only, and where each text starts."""
+        # with the mark before a text and one byte after its end, each byte is one or as many as the mark has
+        source, edges = self._bytes(pc.binary_join_element_wise(" ", texts, "\0", ""))
+        at = np.arange(len(source), dtype=np.int32)
+        whole = np.maximum.accumulate(np.where(source & 0xC0 != 0x80, at, 0))
+        own = np.maximum(whole - np.repeat(edges[:-1].astype(np.int32), np.diff(edges)) - 1, 0)
+        shown = np.where(source == 32, np.int8(len(SPACE_MARK.encode())), np.int8(1))
+        return np.repeat(own, shown), np.concatenate(([0], np.cumsum(shown, dtype=np.int64)))[edges]
+
+    def _normalised(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_origins``, for all texts."""
+        source, edges = self._bytes(texts)
+        hits = np.concatenate(([0], np.cumsum(self.mapped[source])))[edges]
+        odd = np.diff(hits) > 0 if self.plain else np.ones(len(texts), dtype=bool)
+        if not odd.any():
+            return self._origins(texts)
+        parts = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = self.normalizer.apply(texts[i].as_py())[1]
+        if not odd.all():
+            origin, starts = self._origins(texts.filter(pa.array(~odd)))
+            for i, start, end in zip(np.flatnonzero(~odd).tolist(), starts, starts[1:], strict=False):
+                parts[i] = origin[start:end]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends of all pieces of non-empty texts, and ids a text."""
-        odd = self._odd(texts)
-        plain = texts.filter(pa.array(~odd))
-        none = np.zeros(0, dtype=np.int64)
-        ids, starts, ends, counts = self._by_word(plain) if len(plain) else (none, none, none, none)
-        if not odd.any():
-            return ids, starts, ends, counts
-        every = np.zeros(len(texts), dtype=np.int64)
-        every[~odd] = counts
-        parts, at, turn = [], 0, iter([self.whole(t) for t in texts.filter(pa.array(odd)).to_pylist()])
-        for i in range(len(texts)):
-            if odd[i]:
-                parts.append(next(turn))
-                every[i] = len(parts[-1][0])
-            else:
-                upto = at + every[i]
-                parts.append((ids[at:upto], starts[at:upto], ends[at:upto]))
-                at = upto
-        return (*(np.concatenate([p[k] for p in parts]) for k in range(3)), every)
+        if not len(texts):
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        strings = texts.to_pylist()
+        found = self.library.encode(strings, num_threads=1)
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=counts.sum())
+        upto = np.concatenate(([0], np.cumsum(self._lengths(strings, ids, counts), dtype=np.int64)))
+        origin, base = self._normalised(texts)
+        first = np.cumsum(counts) - counts
+        # each text's pieces must end where its normalised text does
+        if (upto[first + counts] - upto[first] + 1 != np.diff(base)).any():
+            raise ValueError("pieces do not cover the normalised text")
+        shift = np.repeat(base[:-1] - upto[first], counts)
+        return ids, origin[upto[:-1] + shift], origin[upto[1:] + shift], counts
 
 
 @lru_cache(maxsize=2)
@@ -353,7 +283,9 @@ def _decode(model: str, at: int, name: str):
         for batch in batches:
             lengths = np.asarray(pc.fill_null(pc.list_value_length(batch.column(at)), 0))
             for part in _parts(batch, 4 * lengths):
-                found = pieces(model).library.decode([ids or [] for ids in part.column(at).to_pylist()])
+                flat = np.asarray(part.column(at).flatten()).tolist()
+                ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part.column(at)), 0))).tolist()
+                found = pieces(model).library.decode([flat[a:b] for a, b in zip([0, *ends], ends, strict=False)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, name])
 
     return run
