@@ -7,7 +7,8 @@ shuffle.  Therefore every such join compares a fingerprint of the key columns as
 aggregate is not partitioned by it, the (far smaller) class side is shuffled once more, and a
 hot class is split over many tasks.  For the same reason each join has a fingerprint of its
 own: rows that come out of one such join are shuffled afresh for the next, or neither could be
-split.  When the class side is small AQE broadcasts it as usual and no row is shuffled.
+split.  Where AQE finds the class side small only at run time, it broadcasts it, but the rows have been
+written to the shuffle by then; ``lists`` counts first.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def cols(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
-def _fingerprint(columns: Sequence[Column], join: object) -> Column:
+def fingerprint(columns: Sequence[Column], join: object) -> Column:
     return F.xxhash64(F.lit(str(join)), *columns)
 
 
@@ -37,7 +38,7 @@ def key_side(rows: DataFrame, keyed: DataFrame, names: Sequence[str], *carried:
     """The key columns of ``keyed`` under names of their own, with their fingerprint and more columns."""
     keys = [F.col(f"`{n}`").cast(rows.schema[n].dataType) for n in names]
     return keyed.select(
-        _fingerprint(keys, join).alias("__print"), *[k.alias(f"__key_{i}") for i, k in enumerate(keys)], *carried
+        fingerprint(keys, join).alias("__print"), *[k.alias(f"__key_{i}") for i, k in enumerate(keys)], *carried
     )
 
 
@@ -46,7 +47,7 @@ def same_key(names: Sequence[str], join: object, null_safe: bool = False) -> Col
     columns = cols(names)
     pairs = [(column, F.col(f"__key_{i}")) for i, column in enumerate(columns)]
     equal = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
-    return all_of([_fingerprint(columns, join) == F.col("__print"), *equal])
+    return all_of([fingerprint(columns, join) == F.col("__print"), *equal])
 
 
 def attach(rows: DataFrame, keyed: DataFrame, names: Sequence[str], carried: Sequence[str], how: str = "inner") -> DataFrame:

@@ -10,7 +10,7 @@ Statistics of a second phase are taken after the deletions of the first.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,9 @@ from veilwright.operators.suppression import (
     drop_share,
     newly_null_removed,
     rows_of,
+    share_of_classes,
     suppress_values,
+    without_deleted,
     without_flagged,
 )
 from veilwright.operators.wildcard import local_suppression, only_qis, sentinel_to_null
@@ -67,6 +69,10 @@ def _general_known(
 # --- partial deletion -------------------------------------------------------------------
 
 
+def _small(rows: DataFrame, qis: Sequence[str], k: int) -> DataFrame:
+    return class_sizes(rows, qis).filter(F.col("class_size") < k)
+
+
 def k_anonymity(
     df: DataFrame,
     qis: Sequence[str],
@@ -81,13 +87,37 @@ def k_anonymity(
 ) -> DataFrame:
     """Delete ``threshold`` of the rows in classes smaller than ``k``."""
     rows = _general_known(df, qis, rules or {}, style, order_col)
-    small = class_sizes(rows, qis).filter(F.col("class_size") < k)
-    return drop_share(rows, small, qis, 1.0 if strict else threshold, key, seed)
+    return drop_share(rows, _small(rows, qis, k), qis, 1.0 if strict else threshold, key, seed)
+
 
+def _two_phases(
+    rows: DataFrame,
+    qis: Sequence[str],
+    k: int,
+    threshold: float,
+    key: Sequence[str] | None,
+    seed: int,
+    checkpoint: bool,
+    violating: Callable[[DataFrame], DataFrame],
+    fit: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """Delete a share of the small classes' rows, then of the rows in the ``violating`` classes of what is left.
 
-def _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col) -> DataFrame:
-    rows = k_anonymity(df, qis, k, rules, threshold, key, seed, strict, style, order_col)
-    return cut_lineage(rows) if checkpoint else rows
+    ``fit`` removes rows for good between the phases; it looks at one row at a time.  The first
+    deletion is a list of classes and a hash.  The statistics of the second phase read the
+    quasi-identifiers, the key and the sensitive columns only, without the rows that the first one takes, and then both
+    deletions take effect on the whole rows together.  Rows without a key, of which copies may be spared,
+    and rows that are to be written between the phases go through them one after the other.
+    """
+    first = share_of_classes(rows, _small(rows, qis, k), qis, threshold, key, seed)
+    left = fit(without_deleted(rows, first))
+    if checkpoint or first.spare:
+        left = cut_lineage(left) if checkpoint else left
+        return drop_share(left, violating(left), qis, threshold, key, _second_salt(seed))
+    second = share_of_classes(left, violating(left), qis, threshold, key, _second_salt(seed))
+    if second.spare:
+        return without_deleted(left, second)
+    return without_deleted(fit(rows), first, second)
 
 
 def l_diversity(
@@ -106,9 +136,12 @@ def l_diversity(
     order_col: str | None = None,
 ) -> DataFrame:
     """k-anonymity, then delete ``threshold`` of the rows in classes with fewer than ``l`` values."""
-    rows = _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col)
-    poor = class_stats(rows, qis, [sensitive]).filter(F.col("distinct_values") < l)
-    return drop_share(rows, poor, qis, 1.0 if strict else threshold, key, _second_salt(seed))
+
+    def poor(rows: DataFrame) -> DataFrame:
+        return class_stats(rows, qis, [sensitive]).filter(F.col("distinct_values") < l)
+
+    rows = _general_known(df, qis, rules or {}, style, order_col)
+    return _two_phases(rows, qis, k, 1.0 if strict else threshold, key, seed, checkpoint, poor)
 
 
 def km_anonymity(
@@ -133,9 +166,12 @@ def km_anonymity(
     """
     if not m:
         raise ValueError("m must not be 0")
-    rows = _after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col)
-    uneven = class_stats(rows, qis, sensitive).filter(F.col("top_share") > F.lit(1 / m))
-    return drop_share(rows, uneven, qis, 1.0 if strict else threshold, key, _second_salt(seed))
+
+    def uneven(rows: DataFrame) -> DataFrame:
+        return class_stats(rows, qis, sensitive).filter(F.col("top_share") > F.lit(1 / m))
+
+    rows = _general_known(df, qis, rules or {}, style, order_col)
+    return _two_phases(rows, qis, k, 1.0 if strict else threshold, key, seed, checkpoint, uneven)
 
 
 def distant_classes(
@@ -167,9 +203,13 @@ def t_closeness(
     order_col: str | None = None,
 ) -> DataFrame:
     """k-anonymity, drop masked rows, then delete from classes far from the original table."""
-    rows = without_masked(_after_k(df, qis, k, rules, threshold, key, seed, strict, checkpoint, style, order_col), qis)
-    far = distant_classes(rows, df, qis, sensitive, t, distance)
-    return drop_share(rows, far, qis, 1.0 if strict else threshold, key, _second_salt(seed))
+
+    def far(rows: DataFrame) -> DataFrame:
+        return distant_classes(rows, df, qis, sensitive, t, distance)
+
+    rows = _general_known(df, qis, rules or {}, style, order_col)
+    share = 1.0 if strict else threshold
+    return _two_phases(rows, qis, k, share, key, seed, checkpoint, far, lambda left: without_masked(left, qis))
 
 
 def t_closeness_l1(
@@ -182,14 +222,22 @@ def t_closeness_l1(
     threshold: float = 1.0,
     key: Sequence[str] | None = None,
     seed: int = SAMPLE_SEED,
+    strict: bool = False,
+    checkpoint: bool = False,
 ) -> DataFrame:
-    """Strict class size, then delete ``threshold`` of the classes' rows by L1 distance.
+    """Strict class size, then delete ``threshold`` of the classes' rows by L1 distance, all of them if ``strict``.
 
     The global shares are those of the rows left after the size filter, and no class is exempt.
     """
-    rows = k_anonymity(df, qis, k, rules, strict=True)
-    far = class_distance(rows, rows, qis, sensitive, "l1").filter(F.col("distance") > t)
-    return drop_share(rows, far, qis, threshold, key, seed)
+    rows = _general_known(df, qis, rules or {}, None, None)
+    first = share_of_classes(rows, _small(rows, qis, k), qis, 1.0, key, seed)
+    left = without_deleted(rows, first)
+    left = cut_lineage(left) if checkpoint else left
+    far = class_distance(left, left, qis, sensitive, "l1").filter(F.col("distance") > t)
+    second = share_of_classes(left, far, qis, 1.0 if strict else threshold, key, seed)
+    if checkpoint or second.spare:
+        return without_deleted(left, second)
+    return without_deleted(rows, first, second)
 
 
 # --- blanking and removal of whole classes ----------------------------------------------
@@ -352,4 +400,4 @@ def km_anonymity_strict(
     """
     rows = with_known_qis(generalized(df, qis, rules or {}, order_col, style), qis)
     stats = class_stats(rows, qis, [sensitive])
-    return rows_of(rows, stats.filter((F.col("class_size") >= k) & (F.col("distinct_with_null") >= m)), qis)
+    return drop_classes(rows, stats.filter((F.col("class_size") < k) | (F.col("distinct_with_null") < m)), qis)
