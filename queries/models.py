@@ -159,6 +159,41 @@ def k_local_nine(spark, sf_dir):
     return models.k_anonymity_local(df, NINE_QIS, 20)
 
 
+MANY = {
+    f"n_{name}": expression
+    for name, expression in {
+        "all": "c_nationkey", "2": "c_nationkey % 2", "3": "c_nationkey % 3", "4": "c_nationkey % 4", "5": "c_nationkey % 5",
+        "half": "CAST(floor(c_nationkey / 2) AS BIGINT)", "third": "CAST(floor(c_nationkey / 3) AS BIGINT)",
+        "fifth": "CAST(floor(c_nationkey / 5) AS BIGINT)", "eighth": "CAST(floor(c_nationkey / 8) AS BIGINT)", "low": "c_nationkey < 10",
+    }.items()
+} | {
+    f"s_{name}": expression
+    for name, expression in {
+        "all": "c_mktsegment", "first": "substring(c_mktsegment, 1, 1)", "last": "right(c_mktsegment, 1)",
+        "length": "CAST(length(c_mktsegment) AS BIGINT)", "early": "c_mktsegment < 'H'", "known": "nullif(c_mktsegment, 'BUILDING')",
+    }.items()
+} | {
+    f"b_{name}": f"CAST(floor(c_acctbal / {width}) AS BIGINT)" for name, width in (("1", 300), ("2", 600), ("4", 1200), ("8", 2400), ("16", 4800))
+} | {"b_debt": "c_acctbal < 0", "b_rich": "c_acctbal > 5000", "k_half": "c_custkey % 2"}
+MANY_SAME = " || ".join(f"CASE WHEN a.{c} IS NOT DISTINCT FROM b.{c} THEN '1' ELSE '0' END" for c in MANY)
+MANY_KEPT = ", ".join(f"CASE WHEN substr(coalesce(p.mask, repeat('1', {len(MANY)})), {i + 1}, 1) = '1' THEN m.{c} END AS {c}" for i, c in enumerate(MANY))
+
+
+# every pair of classes: with k = 2 what a class keeps is what it shares with one other class
+@query(
+    f"""WITH g AS (SELECT c_custkey, {", ".join(f"{e} AS {c}" for c, e in MANY.items())} FROM customer),
+    m AS (SELECT *, dense_rank() OVER (ORDER BY {", ".join(MANY)}) AS class FROM g),
+    c AS (SELECT class, {", ".join(MANY)}, count(*) AS n FROM m GROUP BY ALL),
+    s AS (SELECT a.class, {MANY_SAME} AS mask FROM c a JOIN c b ON a.class <> b.class AND a.n < 2),
+    p AS (SELECT class, arg_max(mask, (length(replace(mask, '0', '')), mask)) AS mask FROM s GROUP BY class)
+    SELECT c_custkey, {MANY_KEPT} FROM m LEFT JOIN p USING (class)"""
+)
+def k_local_many(spark, sf_dir):
+    """Cells blanked among two dozen quasi-identifiers, many of which follow from others."""
+    df = customers(spark, sf_dir).selectExpr("c_custkey", *[f"{e} AS {c}" for c, e in MANY.items()])
+    return models.k_anonymity_local(df, list(MANY), 2)
+
+
 STRICT_K = f"{CUSTOMERS}, {wildcard_ctes('g', CUSTOMER_QIS, K)}"
 UNMASKED = " AND ".join(f"{q} IS NOT NULL AND NOT contains(CAST({q} AS VARCHAR), 'Masked')" for q in CUSTOMER_QIS)
 
@@ -221,6 +256,48 @@ def k_full_domain(spark, sf_dir):
     return full_domain(df, ["p_size", "p_type", "p_brand"], 30, budget=0.05)
 
 
+SIX = {"p_type": 2, "p_brand": 2, "part_fifth": 5, "type_start": 2, "size_band": 5, "price_band": 2}
+SIX_TABLE = """p AS (SELECT p_partkey, p_type, p_brand, p_partkey % 5 AS part_fifth, substr(p_type, 1, 2) AS type_start,
+    CAST(floor(p_size / 10) AS BIGINT) AS size_band, CASE WHEN p_retailprice > 950 THEN 'high' ELSE 'low' END AS price_band FROM part)"""
+SIX_LIMITS = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c, depth in SIX.items() if depth > 2)
+
+
+def six_label_sql(column: str, depth: int) -> str:
+    """The label of a column at the level of the same name with an l before it."""
+    if depth == 2:
+        return f"CASE l_{column} WHEN 0 THEN {column} ELSE '*' END"
+    lo, span = f"lo_{column}", f"(hi_{column} - lo_{column})"
+
+    def interval(parts: int) -> str:
+        step = f"({span} / {parts}.0::DOUBLE)"
+        at = " + ".join(f"CAST({column} >= {lo} + {step} * {i} AS INT)" for i in range(1, parts)) or "0"
+        start = f"({lo} + {step} * ({at}))"
+        return f"CAST(CAST(trunc({start}) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(trunc({start} + {step} - 1) AS BIGINT) AS VARCHAR)"
+
+    middle = " ".join(f"WHEN {i + 1} THEN {interval(3 - i)}" for i in range(3))
+    return f"CASE l_{column} WHEN 0 THEN CAST({column} AS VARCHAR) {middle} ELSE '*' END"
+
+
+@query(
+    f"""WITH {SIX_TABLE}, lim AS (SELECT {SIX_LIMITS} FROM p),
+    nodes AS (SELECT *, row_number() OVER (ORDER BY {" + ".join(f"l_{c}" for c in SIX)}, {", ".join(f"l_{c}" for c in SIX)}) AS node
+              FROM {", ".join(f"range({d}) r_{c}(l_{c})" for c, d in SIX.items())}),
+    cl AS (SELECT {", ".join(SIX)}, count(*) AS n FROM p GROUP BY ALL),
+    sz AS (SELECT node, {", ".join(f"{six_label_sql(c, d)} AS g_{c}" for c, d in SIX.items())}, sum(n) AS n FROM cl, lim, nodes GROUP BY ALL),
+    ok AS (SELECT min(node) AS node FROM (SELECT node FROM sz GROUP BY node
+           HAVING coalesce(sum(n) FILTER (n < 12), 0) <= sum(n) * 0.02::DOUBLE)),
+    gx AS (SELECT p_partkey, {", ".join(f"{six_label_sql(c, d)} AS {c}" for c, d in SIX.items())} FROM p, lim, nodes JOIN ok USING (node))
+    SELECT * FROM gx QUALIFY count(*) OVER (PARTITION BY {", ".join(SIX)}) >= 12"""
+)
+def k_full_domain_six(spark, sf_dir):
+    """Six columns, two of them with five levels."""
+    df = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_type", "p_brand", "p_partkey % 5 AS part_fifth", "substr(p_type, 1, 2) AS type_start",
+        "CAST(floor(p_size / 10) AS BIGINT) AS size_band", "CASE WHEN p_retailprice > 950 THEN 'high' ELSE 'low' END AS price_band",
+    )
+    return full_domain(df, list(SIX), 12, budget=0.02)
+
+
 def two_phase(source: str, qis, key: str, condition: str, flagged_from: str = "ka", extra: str = "", k: int = K) -> str:
     """k-phase on ``source``, then a second deletion among the classes that meet ``condition``."""
     second = cut_sql(flagged_from, in_classes_sql(flagged_from, qis, condition), key, "42/2", THRESHOLD, "kb")

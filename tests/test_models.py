@@ -1,3 +1,4 @@
+import itertools
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ from veilwright.operators.distance import class_distance
 from veilwright.operators.diversity import diversity_measures
 from veilwright.operators.lineage import cut_lineage
 from veilwright.plans import classbased as models
+from veilwright.plans import fulldomain
 from veilwright.plans.fulldomain import full_domain
 from veilwright.plans.report import privacy_report
 from veilwright.spec import parse_rules
@@ -193,6 +195,37 @@ def test_full_domain_finds_the_lowest_level(spark):
     assert full_domain(tiny, ["n", "c"], 3).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0.0, 0.1])
+def test_full_domain_by_brute_force(spark, monkeypatch, budget):
+    """Pruned by columns and pairs of columns, the search finds the vector that trying all finds."""
+    tried = []
+    monkeypatch.setattr(fulldomain, "TRIED", 4)
+    ask = fulldomain._Counts.qualifying
+    monkeypatch.setattr(fulldomain._Counts, "qualifying", lambda own, v: (tried.extend(v if len(own.columns) == 4 else []), ask(own, v))[1])
+    data = [(i % 7, i % 4, (i * i) % 5, i % 3) for i in range(60)]
+    df = spark.createDataFrame(data, "a int, n int, c int, d int")
+    ladders = [lambda v: [str(v), str(v // 2), "*"], lambda v: [str(v), str(v % 2), "*"], lambda v: [str(v), "*"], lambda v: [str(v), str(v > 0), "*"]]
+
+    def small(vector):
+        sizes = Counter(tuple(f(v)[at] for f, v, at in zip(ladders, r, vector, strict=True)) for r in data)
+        return sum(n for n in sizes.values() if n < 6)
+
+    every = sorted(itertools.product(range(3), range(3), range(2), range(3)), key=lambda v: (sum(v), v))
+    best = next(v for v in every if small(v) <= len(data) * budget)
+    text = lambda e: F.expr(e).cast("string")
+    given = {
+        "a": (F.array(text("a"), text("a div 2"), F.lit("*")), 3),
+        "n": (F.array(text("n"), text("n % 2"), F.lit("*")), 3),
+        "c": (F.array(text("c"), F.lit("*")), 2),
+        "d": (F.array(text("d"), F.initcap(text("d > 0")), F.lit("*")), 3),
+    }
+    out = rows(full_domain(df, ["a", "n", "c", "d"], 6, budget, given))
+    general = [tuple(f(v)[at] for f, v, at in zip(ladders, r, best, strict=True)) for r in data]
+    sizes = Counter(general)
+    assert out == sorted((r for r in general if sizes[r] >= 6), key=str)
+    assert len(tried) < every.index(best)
+
+
 def test_one_hot_class(spark):
     """A third of all rows in one class, and one sensitive value in two thirds of them."""
     df = spark.range(3000).select(

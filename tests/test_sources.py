@@ -121,3 +121,9 @@ def test_schema_columns_are_found_by_name(spark, tmp_path):
     assert sorted(map(tuple, table.collect())) == [(1, 30, "Flu"), (2, None, " NA ")]
     with pytest.raises(ValueError, match="Weight"):
         read_delimited(spark, str(path), schema="ID int, Weight int")
+
+
+def test_line_breaks_inside_quotes_belong_to_the_value(spark, tmp_path):
+    (tmp_path / "notes.csv").write_text('ID,Note\n1,"two\nlines"\n2,plain\n')
+    path = str(tmp_path / "notes.csv")
+    assert rows(read_delimited(spark, path)) == rows(read_delimited(spark, path, "ID bigint, Note string")) == [(1, "two\nlines"), (2, "plain")]

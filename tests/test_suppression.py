@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -133,6 +135,47 @@ def test_local_suppression_is_k_anonymous_under_wildcards(spark, data, k):
     assert not Counter({r: n for r, n in sizes.items() if n >= k}) - Counter(out)
 
 
+def blanked(data, k, importance=None):
+    """Rows after blanking, by trying every subset of the columns of every small class."""
+    width = len(data[0])
+    order = importance or list(range(width))
+    masks = sorted((m for m in itertools.product((True, False), repeat=width)), key=lambda m: (sum(m), [m[i] for i in order]), reverse=True)
+    shared = {m: Counter(tuple(v for v, kept in zip(r, m, strict=True) if kept) for r in data) for m in masks}
+    sizes, out = Counter(data), []
+    for r in data:
+        mask = masks[0]
+        if sizes[r] < k:
+            fits = (m for m in masks if any(m) and shared[m][tuple(v for v, kept in zip(r, m, strict=True) if kept)] >= k)
+            mask = next(fits, (False,) * width)
+        out.append(tuple(v if kept else None for v, kept in zip(r, mask, strict=True)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("width, values, k", [(4, 3, 3), (10, 2, 5)])
+def test_local_suppression_by_brute_force(spark, width, values, k):
+    draw = random.Random(width * 100 + values * 10 + k)
+    data = [tuple(draw.choice([*range(values), None]) if i % 3 == 0 else draw.randrange(values) for i in range(width)) for _ in range(40)]
+    data += data[:5]
+    schema = ", ".join(f"c{i} int" for i in range(width))
+    df = spark.createDataFrame(data, schema)
+    assert rows(local_suppression(df, df.columns, k)) == blanked(data, k)
+    if width < 5:
+        back = list(reversed(range(width)))
+        assert rows(local_suppression(df, df.columns, k, importance=[f"c{i}" for i in back])) == blanked(data, k, back)
+
+
+def test_local_suppression_of_many_columns(spark):
+    """What a row shares with its most similar other row, over columns that follow from one another."""
+    width = 64
+    data = [tuple(i % (2 + j % 7) if j % 2 else (i * i + j) % 5 for j in range(width)) for i in range(20)]
+    df = spark.createDataFrame(data, [f"c{j}" for j in range(width)])
+    best = []
+    for i, r in enumerate(data):
+        masks = [tuple(a == b for a, b in zip(r, other, strict=True)) for j, other in enumerate(data) if j != i]
+        best.append(tuple(v if kept else None for v, kept in zip(r, max(masks, key=lambda m: (sum(m), m)), strict=True)))
+    assert rows(local_suppression(df, df.columns, 2)) == sorted(best, key=str)
+
+
 def test_local_suppression_keeps_important_columns(spark):
     data = [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
     df = spark.createDataFrame(data, "x int, y string")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwright.functions.chance import lossless, marked
 from veilwright.operators.lineage import stored
 from veilwright.operators.matching import all_of, cols, fingerprint
 
@@ -31,6 +32,9 @@ from veilwright.operators.matching import all_of, cols, fingerprint
 SMALL_BYTES = 16 << 20
 #: Bits of a filter for each key of the list, the most a filter has, and the fewest for a key that are of use.
 KEY_BITS, MOST_BITS, LEAST_KEY_BITS = 16, 1 << 26, 4
+#: A list with more key columns is joined on one text that holds all of them: the optimizer's inference of
+#: further conditions from many equal columns grows out of bounds.
+MOST_KEYS = 8
 #: Bytes of a row beside its texts.
 ROW_BYTES = 32
 PROBES = ("first", "second", "third")
@@ -54,14 +58,26 @@ def prefix_free_in(names: Sequence[str]) -> str:
 
 @dataclass(frozen=True)
 class Listed:
-    """A stored list: keys ``key_0``, ``key_1``, ... for the columns ``names``, and carried columns."""
+    """A stored list: keys ``key_0``, ``key_1``, ... for the columns ``names``, and carried columns.
+
+    With many columns there is one key, their text; ``kinds`` are their types.
+    """
 
     table: DataFrame
     names: tuple[str, ...]
+    kinds: tuple[T.DataType, ...]
     carried: tuple[str, ...]
     rows: int
     bytes: int
 
+    @property
+    def keys(self) -> list[str]:
+        return [f"key_{i}" for i in range(1 if len(self.names) > MOST_KEYS else len(self.names))]
+
+    def _own(self) -> list[Column]:
+        """The keys of a row that is to be looked up."""
+        return _keys(cols(self.names), self.kinds)
+
     @property
     def small(self) -> bool:
         return self.bytes <= SMALL_BYTES
@@ -78,8 +94,7 @@ class Listed:
     @cached_property
     def _filter(self) -> DataFrame:
         """The words of the filter in one row."""
-        keys = cols([f"key_{i}" for i in range(len(self.names))])
-        places = self.table.select(F.explode(F.array(*self._places(keys))).alias("place"))
+        places = self.table.select(F.explode(F.array(*self._places(cols(self.keys)))).alias("place"))
         one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("place", F.lit(64)).cast("int"))
         marks = places.select(F.floor(F.col("place") / 64).alias("word"), one.alias("bits"))
         none = self.table.sparkSession.range(self._bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
@@ -92,23 +107,28 @@ class Listed:
         words = self._filter.scalar()
         tests = [
             F.getbit(F.get(words, F.floor(place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
-            for place in self._places(cols(self.names))
+            for place in self._places(self._own())
         ]
         return all_of(tests)
 
     def beside(self, rows: DataFrame, join: object, null_safe: bool = False) -> tuple[DataFrame, Column, str]:
         """The list under names that are free in ``rows``, what a row of it agrees in, and the prefix of the names."""
         prefix = prefix_free_in(rows.columns)
-        keys = [f"key_{i}" for i in range(len(self.names))]
         side = self.table.select(
-            fingerprint(cols(keys), join).alias(f"{prefix}print"),
-            *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in (*keys, *self.carried)],
+            fingerprint(cols(self.keys), join).alias(f"{prefix}print"),
+            *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in (*self.keys, *self.carried)],
         )
-        own = cols(self.names)
-        pairs = [(a, F.col(f"{prefix}{k}")) for a, k in zip(own, keys, strict=True)]
+        own = self._own()
+        pairs = [(a, F.col(f"{prefix}{k}")) for a, k in zip(own, self.keys, strict=True)]
         equal = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
+        if len(own) < len(self.names) and not null_safe:  # the text is never NULL
+            equal += [c.isNotNull() for c in cols(self.names)]
         return side, all_of([fingerprint(own, join) == F.col(f"{prefix}print"), *equal]), prefix
 
+    def renewed(self, table: DataFrame, carried: Sequence[str]) -> Listed:
+        """Another list of the same keys, written and measured."""
+        return _measured(table, self.names, self.kinds, carried)
+
     def only(self, rows: DataFrame, join: object, null_safe: bool = False) -> DataFrame:
         """The rows of the listed classes."""
         side, same, _ = self.beside(rows, join, null_safe)
@@ -150,12 +170,25 @@ class Listed:
         return apart.union(joined(rows.filter(self.maybe()))), prefix
 
 
+def _keys(columns: Sequence[Column], kinds: Sequence[T.DataType]) -> list[Column]:
+    """The columns themselves, or if they are many one text that holds them all."""
+    if len(columns) <= MOST_KEYS:
+        return list(columns)
+    return [F.concat(F.lit(""), *[marked(lossless(c, kind)) for c, kind in zip(columns, kinds, strict=True)])]
+
+
 def listed(rows: DataFrame, classes: DataFrame, names: Sequence[str], **carried: Column) -> Listed:
     """Write the classes down as a list for ``rows``, and measure it."""
-    keys = [F.col(f"`{n}`").cast(rows.schema[n].dataType).alias(f"key_{i}") for i, n in enumerate(names)]
-    table = stored(classes.select(*keys, *[c.alias(name) for name, c in carried.items()]))
+    kinds = [rows.schema[n].dataType for n in names]
+    keys = _keys([F.col(f"`{n}`").cast(kind) for n, kind in zip(names, kinds, strict=True)], kinds)
+    own = classes.select(*[k.alias(f"key_{i}") for i, k in enumerate(keys)], *[c.alias(name) for name, c in carried.items()])
+    return _measured(own, names, kinds, list(carried))
+
+
+def _measured(table: DataFrame, names: Sequence[str], kinds: Sequence[T.DataType], carried: Sequence[str]) -> Listed:
+    table = stored(table)
     size = F.lit(ROW_BYTES)
     for field in table.schema:
         size = size + _bytes(F.col(field.name), field.dataType)
     found = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).collect()[0]
-    return Listed(table, tuple(names), tuple(carried), found["rows"], found["bytes"])
+    return Listed(table, tuple(names), tuple(kinds), tuple(carried), found["rows"], found["bytes"])

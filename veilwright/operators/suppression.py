@@ -151,9 +151,7 @@ def without_deleted(rows: DataFrame, *deletions: Deletion) -> DataFrame:
         return rows
     if len(due) == 1 and due[0].limit == ALL:
         return due[0].classes.without(rows, due[0].salt)
-    names = due[0].classes.names
-    keys = [f"key_{i}" for i in range(len(names))]
-    every = None
+    keys, every = due[0].classes.keys, None
     for at, deletion in enumerate(due):
         limits = [F.lit(deletion.limit if i == at else None).cast("string").alias(f"limit_{i}") for i in range(len(due))]
         part = deletion.classes.table.select(*keys, *limits)
@@ -161,10 +159,7 @@ def without_deleted(rows: DataFrame, *deletions: Deletion) -> DataFrame:
     limits = [f"limit_{i}" for i in range(len(due))]
     if len(due) > 1:  # a class may be in several lists
         every = every.groupBy(*keys).agg(*[F.max(limit).alias(limit) for limit in limits])
-        both = every.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *limits)
-        found = listed(rows, both, names, **{limit: F.col(limit) for limit in limits})
-    else:
-        found = Listed(every, names, tuple(limits), due[0].classes.rows, due[0].classes.bytes)
+    found = due[0].classes.renewed(every, limits)
     gone = {f"limit_{i}": F.lit("") if d.limit == ALL else d.digest for i, d in enumerate(due)}
     kept = found.without(rows, "|".join(str(d.salt) for d in due), gone=gone)
     return kept.unionByName(_copies(rows, due[0])) if len(due) == 1 and due[0].spare else kept

@@ -55,13 +55,14 @@ def _infer(raw: DataFrame) -> T.StructType:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
 ) -> DataFrame:
     """A table from a ``.csv`` or ``.tsv`` file with a header row.
 
     Give a schema wherever possible: it saves one pass over the data and keeps codes such as
-    ``01234`` as text.  Its columns are looked up by their names in the header.  Without one, types are chosen to fit every value.  ``multiline``
-    allows line breaks inside quotes at the price of one task per file.
+    ``01234`` as text.  Its columns are looked up by their names in the header.  Without one, types are chosen to fit every value.
+    Line breaks inside quotes belong to the value.  A file with such breaks cannot be cut, so each file is one
+    task; where it is known that there are none, ``multiline=False`` reads large files in pieces.
     """
     reader = (
         spark.read.option("header", True)
