@@ -8,7 +8,8 @@ every sentence on, the shortest run of whole sentences that has ``ENOUGH`` words
 hash of any ``WINDOW`` words.  The first occurrence, by document id and place, stays; the words of every other
 occurrence are removed.
 
-So a passage of ``SPAN`` whole sentences that stands in several places survives in one only.  So does one of
+So a passage of ``SPAN`` whole sentences that stands in several places survives in one only, unless its places overlap: of
+six equal sentences in a row the runs after the first take all but the first sentence.  So does a passage of
 ``WINDOW + ENOUGH - 1 = 39`` words or more, however it is cut or punctuated, but for up to ``WINDOW - 1`` words
 at each end: where a run of the third sort begins depends on the words near by only, and a passage holds the same
 ones everywhere.
@@ -41,6 +42,8 @@ WORD = re.compile(r"\s*\S+\s*")
 #: An occurrence: the run's hash, the document, and the run's number above 32 bits of the text's hash.
 FOUND = "span bigint, doc_id bigint, spot bigint"
 PLACE_UNIT = 1 << 32
+#: Bits that tell spans which occur again from others: 16 MB, whatever the table holds.
+MARKS = 1 << 27
 
 
 def sentences(text: str) -> list[str]:
@@ -98,6 +101,14 @@ def spans(text: str | None) -> tuple[list[int], list[int]]:
     return list(range(len(digests))), np.array(digests, dtype=np.uint64).view(np.int64).tolist()
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every hash of a batch once, and whether it stands there more than once."""
+    for batch in batches:
+        found = [spans(text)[1] for text in batch.column(0).to_pylist()]
+        span, counts = np.unique(np.concatenate([np.array(f, dtype=np.int64) for f in found] or [[]]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(span.astype(np.int64)), pa.array(counts > 1)], names=["span", "again"])
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, places, hashes = [], [], []
@@ -153,20 +164,39 @@ def _digest(text: str) -> Column:
     return F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(PLACE_UNIT))
 
 
+def _marks(spans_again: DataFrame) -> DataFrame:
+    """One row: a bitmap of ``MARKS`` bits in which every span of the table has its bit."""
+    place = F.pmod("span", F.lit(MARKS))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("span", F.lit(64)).cast("int"))
+    marks = spans_again.select(F.floor(place / 64).alias("word"), one.alias("bits"))
+    none = spans_again.sparkSession.range(MARKS // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = marks.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("words"))
+
+
 def repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     """Occurrences (doc_id, digest, place) of every span but its first.
 
-    Spans are counted before they are shuffled, so a passage that stands in a third of all documents
-    is a row per task; only those that occur again are joined with their occurrences.
+    In a first pass only the hashes are counted, each once a batch.  Those that occur again set bits in a bitmap of
+    fixed size, and in a second pass, which finds the runs anew, only runs with their bit set are written down; the
+    few that have it by chance go when the occurrences are counted.  With many more repeated spans than bits
+    more runs pass, and the result stays the same.  A passage that stands in a third of all documents is a row
+    a batch where it is counted, and its occurrences are split over tasks where they meet their first.
     """
     ship(df.sparkSession)
+    hashes = df.select(F.col(f"`{text}`")).mapInArrow(_hashes, "span bigint, again boolean")
+    counted = hashes.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
+    marks = stored(_marks(counted.filter((F.col("n") > 1) | F.col("again")).select("span")))
     rows = df.select(F.col(f"`{key}`").cast("bigint"), _digest(text), F.col(f"`{text}`"))
-    found = stored(rows.mapInArrow(_find, FOUND))
-    again = found.groupBy("span").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("span").alias("of"))
-    seen = stored(found.join(again, F.col("span") == F.col("of")).drop("of"))
+    word = F.get(marks.scalar(), F.floor(F.pmod("span", F.lit(MARKS)) / 64).cast("int"))
+    marked = F.getbit(word, F.pmod("span", F.lit(64)).cast("int")) == 1
+    seen = stored(rows.mapInArrow(_find, FOUND).filter(marked))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "spot")
-    firsts = seen.groupBy("span").agg(F.min(order).alias("first")).select(F.col("span").alias("of"), "first")
-    later = seen.join(firsts, F.col("span") == F.col("of")).filter(order != F.col("first"))
+    firsts = seen.groupBy("span").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # the fingerprint keeps the join from reusing the partitions of the aggregate: so a hot span can be split
+    firsts = firsts.select(F.col("span").alias("of"), "first", F.xxhash64(F.lit("meet"), "span").alias("print"))
+    same = (F.col("span") == F.col("of")) & (F.xxhash64(F.lit("meet"), "span") == F.col("print"))
+    later = seen.join(firsts, same).filter(order != F.col("first"))
     return later.select(
         "doc_id",
         F.pmod("spot", F.lit(PLACE_UNIT)).alias("digest"),
