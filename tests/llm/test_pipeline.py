@@ -1,4 +1,5 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.edge import SCHEMA, edge, empty
 from tests.llm.test_jaccard import brute
 
@@ -35,6 +36,13 @@ def test_difficult_rows(spark):
         packed.count()
 
 
+def test_no_labels_at_all(spark):
+    docs = edge(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(spark, docs, "unused")
+    lettered = sum(any(c.isalpha() for c in r.text or "") for r in docs.collect())
+    assert kept.count() == lettered > 5 and kept.filter("lang is not null").count() == 0
+
+
 def test_run(spark, tmp_path):
     edge(spark).select(*COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

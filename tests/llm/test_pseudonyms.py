@@ -88,3 +88,21 @@ def test_no_number_of_the_table_survives(spark):
     before, after = docs.select("doc_id", number.alias("a")), P.pseudonymise(docs, "k").select("doc_id", number.alias("b"))
     pairs = before.join(after, "doc_id").filter("size(a) > 0").collect()
     assert pairs and all(len(r.a) == len(r.b) and all(x != y for x, y in zip(r.a, r.b, strict=True)) for r in pairs)
+
+
+def test_account_numbers_end_where_their_country_has_it(spark):
+    accounts = ["ES9121000418450200051332", "AT611904300234573201", "SE4550000000058398257466", "BE71 0961 2345 6769"]
+    texts = [f"{a}{after}" for a in accounts for after in (" I", " 2024", " NOW", ".", " ABCD 12")]
+    done = P.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()
+    assert [r.found for r in done] == [1] * len(texts)
+    for old, row in zip(texts, done, strict=True):
+        account = next(a for a in accounts if old.startswith(a))
+        assert row.text[len(account) :] == old[len(account) :] and row.text[:2] == old[:2] and account not in row.text
+
+
+def test_mail_names_of_any_letters(spark):
+    mails = ["jörg.müller@example.com", "Żaneta@example.com", "иван.петров@example.com", "Ελένη7@example.com"]
+    for old, new in zip(mails, one(spark, *[f"to {m}" for m in mails]), strict=True):
+        name, moved = old.split("@")[0], new.removeprefix("to ").split("@")[0]
+        assert new.endswith("@example.com") and len(moved) == len(name)
+        assert [c.isalpha() for c in moved] == [c.isalpha() for c in name] and sum(a == b for a, b in zip(name, moved, strict=True)) <= 3

@@ -28,11 +28,31 @@ BLOCK_DIGITS = (21, 487)
 DATE_FIRST, DATE_DAYS = "1901-01-01", 10_227
 
 # The formats; nothing of the same sort may touch them on either side.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+MAIL = r"(?<![\p{L}\p{M}0-9._%+-])[\p{L}0-9][\p{L}\p{M}0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Characters of an account number by country; countries that are not named take any length.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account_pattern() -> str:
+    """Account numbers in one piece or in groups of four, as long as their country has them."""
+    known, forms = " ".join(ACCOUNT_LENGTHS.values()).replace(" ", "|"), []
+    for length, countries in ACCOUNT_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(f"(?:{countries.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    forms.append(f"(?!{known})[A-Z]{{2}}\\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?")
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\\d{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
+ACCOUNT = _account_pattern()
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 PHONE = (
     r"(?<![\d+(])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
@@ -281,15 +301,26 @@ def date_text(old: Column, new: Column) -> Column:
     return F.transform(F.array(F.date_add(F.lit(DATE_FIRST).cast("date"), place)), write)[0]
 
 
+#: Alphabets (first character, size) that a character is moved in; other characters stay.
+ALPHABETS = tuple(
+    (ord(first), ord(last) - ord(first) + 1)
+    for first, last in ("09", "az", "AZ", "àö", "øÿ", "ÀÖ", "ØÞ", "Āſ", "αω", "ΑΡ", "ΣΩ", "ая", "АЯ", "ѐџ", "ЀЏ")
+)
+
+
+def _in_alphabet(point: Column, pick: int) -> Column:
+    """First character or size of the alphabet of a code point; NULL where it has none."""
+    return F.coalesce(*[F.when(point.between(a[0], a[0] + a[1] - 1), F.lit(a[pick])) for a in ALPHABETS])
+
+
 def _letters(text: Column, *tweak: Column) -> Column:
     """Digits, small and capital letters, each within its alphabet; other characters have one value only."""
 
     def place(char: Column) -> Column:
-        base = F.when(char.rlike("[0-9]"), 48).when(char.rlike("[a-z]"), 97).when(char.rlike("[A-Z]"), 65)
-        return F.coalesce(F.ascii(char) - base, F.lit(0))
+        return F.coalesce(F.ascii(char) - _in_alphabet(F.ascii(char), 0), F.lit(0))
 
     def size(char: Column) -> Column:
-        return F.when(char.rlike("[0-9]"), 10).when(char.rlike("[A-Za-z]"), 26).otherwise(1)
+        return F.coalesce(_in_alphabet(F.ascii(char), 1), F.lit(1))
 
     return _plan(F.transform(_chars(text), place), F.transform(_chars(text), size), *tweak)
 
@@ -298,8 +329,8 @@ def _spelled(text: Column, new: Column) -> Column:
     """``text`` with its digits and letters replaced by the places ``new`` in their alphabets."""
 
     def write(char: Column, value: Column) -> Column:
-        base = F.when(char.rlike("[0-9]"), 48).when(char.rlike("[a-z]"), 97).otherwise(65)
-        return F.when(char.rlike("[A-Za-z0-9]"), F.char(base + value)).otherwise(char)
+        point = F.lpad(F.hex(_in_alphabet(F.ascii(char), 0) + value), 4, "0")
+        return F.coalesce(F.decode(F.unhex(point), "UTF-16BE"), char)
 
     return F.array_join(F.zip_with(_chars(text), new, write), "")
 
