@@ -16,11 +16,16 @@ from veilwright.llm.tokens import vocabulary_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, whose language is unknown; a missing label is filled in."""
+    """Drop documents without a letter, whose language is unknown; a missing label is filled in.
+
+    Where no labelled text is left to learn from, labels stay missing and all documents with a letter stay.
+    """
     net = langid.fit(docs.filter(~held_out("doc_id")))
-    known = langid.identify(docs, net).filter(F.col("lang_pred") != langid.UNKNOWN)
-    label = F.coalesce("lang", "lang_pred")
-    return known.select(*[label.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    found = langid.identify(docs, net)
+    known = F.nullif("lang_pred", F.lit(langid.UNKNOWN))
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    label = F.coalesce("lang", known)
+    return found.filter(known.isNotNull() | lettered).select(*[label.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
