@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tests.conftest import rows
 
+from veilwright.operators import classes
 from veilwright.operators.classes import class_stats
 from veilwright.operators.distance import class_distance
 from veilwright.operators.diversity import diversity_measures
@@ -226,6 +227,27 @@ def test_full_domain_by_brute_force(spark, monkeypatch, budget):
     assert len(tried) < every.index(best)
 
 
+def test_sketches_of_distinct_values(spark):
+    """Within 5 %, exact for few values, and the same from one table as from stored parts of it."""
+    df = spark.range(60000).select(
+        (F.col("id") % 3).alias("q"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.col("id") % 70).alias("s"),
+    )
+    exact = {r.q: r for r in class_stats(df, ["q"], ["s"]).collect()}
+    whole = classes.sketched_stats(classes.class_sketches(df, ["q"], ["s"]), ["q"])
+    halves = [classes.class_sketches(df.filter(f"s % 2 = {i}" if i else "s % 2 = 0 or s is null"), ["q"], ["s"]) for i in (0, 1)]
+    merged = classes.sketched_stats(classes.merge_sketches(["q"], *halves), ["q"])
+    for found in (whole, merged):
+        for r in found.collect():
+            assert (r.class_size, r.nulls) == (exact[r.q].class_size, exact[r.q].nulls)
+            assert abs(r.distinct_values - exact[r.q].distinct_values) <= 0.05 * exact[r.q].distinct_values
+            assert r.distinct_with_null == r.distinct_values + (r.nulls > 0)
+    few = people(spark)
+    for k, l in ((1, 2), (3, 2)):
+        same = [rows(models.l_diversity(few, QIS, "ill", k, l, threshold=0.5, key=["id"], approximate=a)) for a in (False, True)]
+        assert same[0] == same[1]
+
+
 def test_one_hot_class(spark):
     """A third of all rows in one class, and one sensitive value in two thirds of them."""
     df = spark.range(3000).select(

@@ -16,7 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.operators.categories import map_values
-from veilwright.operators.classes import class_sizes, class_stats, with_known_qis, without_masked
+from veilwright.operators.classes import (
+    class_sizes,
+    class_sketches,
+    class_stats,
+    sketched_stats,
+    with_known_qis,
+    without_masked,
+)
 from veilwright.operators.distance import class_distance
 from veilwright.operators.diversity import diversity_measures
 from veilwright.operators.generalize import generalize, generalize_auto, generalize_known, generalize_typed
@@ -134,11 +141,20 @@ def l_diversity(
     checkpoint: bool = False,
     style: str | None = None,
     order_col: str | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
-    """k-anonymity, then delete ``threshold`` of the rows in classes with fewer than ``l`` values."""
+    """k-anonymity, then delete ``threshold`` of the rows in classes with fewer than ``l`` values.
+
+    ``approximate`` estimates the numbers of values by sketches, in one aggregate whose size does not depend
+    on them; a class whose number is within a few percent of ``l`` may then be judged either way.
+    """
 
     def poor(rows: DataFrame) -> DataFrame:
-        return class_stats(rows, qis, [sensitive]).filter(F.col("distinct_values") < l)
+        if approximate:
+            stats = sketched_stats(class_sketches(rows, qis, [sensitive]), qis)
+        else:
+            stats = class_stats(rows, qis, [sensitive])
+        return stats.filter(F.col("distinct_values") < l)
 
     rows = _general_known(df, qis, rules or {}, style, order_col)
     return _two_phases(rows, qis, k, 1.0 if strict else threshold, key, seed, checkpoint, poor)
