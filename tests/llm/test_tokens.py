@@ -114,3 +114,26 @@ def test_squares_decide_the_place():
     assert offset.tolist() == [0, 0, 0, 0, 6] and len(set(sequence)) == 4
     # with 3 and 4 open once and twice both places are as good: the smaller gap is taken
     assert packing.place(np.array([7, 6, 6, 5, 1]), 10)[1][4] == 7
+
+
+@pytest.mark.parametrize("ids", [[5] * 9999, [1, 2, 3] * 4000, [7, 7, 8] * 3000 + [0] + [7] * 501, list(range(1, 300)) * 40])
+def test_no_frequent_pair_is_left(ids):
+    ids = np.array(ids, dtype=np.uint32)
+    rules, symbols = repair.compress(ids, 50_257)
+    assert (repair.expand(symbols, rules, 50_257) == ids).all()
+    assert (repair.lengths_of(rules, 50_257)[symbols]).sum() == len(ids)
+    pairs, counts = np.unique(symbols[:-1].astype(np.int64) * 65_536 + symbols[1:], return_counts=True)
+    inner = (pairs // 65_536 != repair.END_ID) & (pairs % 65_536 != repair.END_ID)
+    assert not len(counts[inner]) or counts[inner].max() < repair.FREQUENT
+
+
+def test_winners_never_overlap():
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        at = np.flatnonzero(draw.random(60) < 0.7)
+        rank = draw.integers(0, 4, len(at))
+        won = repair._winners(at, rank)
+        assert (np.diff(at[won]) > 1).all()
+        if len(at):
+            top = np.flatnonzero(rank == rank.max())
+            assert len(np.intersect1d(won, top)) * 2 >= len(top)

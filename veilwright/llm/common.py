@@ -50,9 +50,14 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_with_session(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def gone_with_session(spark: SparkSession, path: str) -> None:
+    """Remove the folder when the session ends."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

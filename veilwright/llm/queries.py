@@ -23,7 +23,7 @@ from veilwright.llm import (
     spans,
     walsh,
 )
-from veilwright.llm.common import shared_folder, table
+from veilwright.llm.common import gone_with_session, shared_folder, table
 from veilwright.llm.tokens import vocabulary_path
 
 #: Key of the pseudonyms in the registered queries; in production a secret.
@@ -98,6 +98,7 @@ def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids in grammar-compressed files, and what these files give back."""
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     repair.write(table(spark, sf_dir, "documents"), path, vocabulary_path(), VOCABULARY_IDS)
+    gone_with_session(spark, path)
     return repair.catalogue(spark, path)
 
 

@@ -2,7 +2,7 @@
 
 Documents are written in ascending order of their id, in shards of about a million ids.  Within a
 shard the most frequent pairs of neighbouring ids are replaced by new symbols, again and again,
-until no pair is frequent.  A shard keeps its rules, the expansion length of every rule, and per
+until no pair is frequent or all symbols are taken.  A shard keeps its rules, the expansion length of every rule, and per
 document the number of ids and of symbols, so that any document is decoded by expanding its own
 symbols alone.  Symbols fit in 16 bits.  The end id never enters a rule: no symbol spans two
 documents.
@@ -30,10 +30,11 @@ from veilwright.llm.common import before, ship
 from veilwright.llm.tokens import documents, gather
 
 SHARD_IDS = 1 << 20
-#: Symbols fit in 16 bits; a pair is frequent from so many occurrences on; most passes over a shard.
+#: Symbols fit in 16 bits; a pair is frequent from so many occurrences in a shard on.
 SYMBOLS = 1 << 16
 FREQUENT = 8
-PASSES = 8
+#: Eight times the frequency that the first pass asks for.
+FIRST_OFTEN = 1 << 12
 END_ID = 0
 SCHEMA = (
     "part int, shard int, doc_ids array<bigint>, n_ids array<bigint>, n_symbols array<bigint>, "
@@ -41,81 +42,81 @@ SCHEMA = (
 )
 
 
-def _choose(left: np.ndarray, right: np.ndarray, room: int) -> list[int]:
-    """Of pairs sorted by falling count, those that cannot overlap: no id is used on both sides."""
-    chosen, lefts, rights = [], set(), set()
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        if len(chosen) == room:
-            break
-        if a == b:
-            if not chosen:
-                return [i]
-        elif a not in rights and b not in lefts:
-            chosen.append(i)
-            lefts.add(a)
-            rights.add(b)
-    return chosen
-
-
-def _matches(x: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the chosen pairs (sorted keys) in ``x``, and which pair stands there."""
-    key = (x[:-1].astype(np.uint32) << 16) | x[1:]
-    if len(pairs) == 1:
-        at = np.flatnonzero(key == pairs[0])
-        if pairs[0] >> 16 == pairs[0] & 0xFFFF and len(at):  # of a run of one id, every second place
-            first = np.concatenate(([True], np.diff(at) > 1))
-            start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - start) % 2 == 0]
-        return at, np.zeros(len(at), dtype=np.int64)
-    is_left, is_right = np.zeros(SYMBOLS, dtype=bool), np.zeros(SYMBOLS, dtype=bool)
-    is_left[pairs >> 16], is_right[pairs & 0xFFFF] = True, True
-    at = np.flatnonzero(is_left[x[:-1]] & is_right[x[1:]])
-    which = np.searchsorted(pairs, key[at])
-    hit = pairs[np.minimum(which, len(pairs) - 1)] == key[at]
-    return at[hit], which[hit]
+def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at the places ``at`` (rising) are replaced: no two of them overlap.
+
+    Of pairs that overlap the one of higher rank, where it is higher than both its neighbours; of a pair that
+    overlaps itself, as in a run of one id, every second.  The highest rank of all wins wherever it does not overlap itself.
+    """
+    touches = np.diff(at) == 1
+    higher, equal = rank[1:] > rank[:-1], rank[1:] == rank[:-1]
+    beats_next, beats_last = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)
+    beats_next[:-1] = ~touches | ~higher
+    beats_last[1:] = ~touches | higher | equal
+    repeated = np.append(False, touches & equal)
+    start = np.maximum.accumulate(np.where(repeated, 0, np.arange(len(at))))
+    won = np.flatnonzero(beats_next & beats_last & ((np.arange(len(at)) - start) % 2 == 0))
+    # the end of a run may still touch what stands before it
+    return won[np.append(True, np.diff(at[won]) > 1)] if len(won) else won
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """``rules`` (pairs of symbols; rule i makes symbol ``base + i``) and the ``symbols`` that are left.
 
-    Each pass replaces pairs of at least a certain frequency, a quarter of the one before.
+    Each pass counts all pairs and replaces those of at least a certain frequency, an eighth of the one before,
+    down to ``FREQUENT``; a rule is made of a pair that is replaced twice or more.
     """
     x = ids.astype(np.uint16)
     rules: list[np.ndarray] = []
     n_rules = 0
-    often = len(x) // 16
-    for _ in range(PASSES):
-        room = SYMBOLS - base - n_rules
-        if room <= 0 or len(x) < 2:
-            break
-        often = max(often // 4, FREQUENT)
+    often = FIRST_OFTEN
+    while len(x) > 1 and base + n_rules < SYMBOLS:
+        often = max(often // 8, FREQUENT)
         # a pair is no more frequent than its rarer half
         common = np.bincount(x, minlength=SYMBOLS) >= often
         common[END_ID] = False
         inside = common[x]
         at = np.flatnonzero(inside[:-1] & inside[1:])
-        key = np.sort((x[at].astype(np.uint32) << 16) | x[at + 1])
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else at
+        key = (x[at].astype(np.uint32) << 16) | x[at + 1]
+        in_order = np.sort(key)
+        edge = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1]))) if len(key) else at
         count = np.diff(np.append(edge, len(key)))
         frequent = np.flatnonzero(count >= often)
         if not len(frequent):
             if often == FREQUENT:
                 break
             continue
-        frequent = frequent[np.argsort(-count[frequent], kind="stable")]
-        pair = key[edge[frequent]]
-        taken = _choose(pair >> 16, pair & 0xFFFF, room)
-        pairs = np.sort(pair[taken])
-        at, which = _matches(x, pairs)
-        x[at] = base + n_rules + which
+        most = np.argsort(-count[frequent], kind="stable")[: SYMBOLS - base - n_rules]
+        frequent = np.sort(frequent[most])
+        pairs, weight = in_order[edge[frequent]], count[frequent]
+        is_left, is_right = np.zeros(SYMBOLS, dtype=bool), np.zeros(SYMBOLS, dtype=bool)
+        is_left[pairs >> 16], is_right[pairs & 0xFFFF] = True, True
+        near = is_left[x[at]] & is_right[x[at + 1]]
+        at, key = at[near], key[near]
+        which = np.searchsorted(pairs, key)
+        hit = pairs[np.minimum(which, len(pairs) - 1)] == key
+        at, which = at[hit], which[hit]
+        won = _winners(at, weight[which] * len(pairs) + which)
+        at, which = at[won], which[won]
+        used = np.bincount(which, minlength=len(pairs)) > 1
+        at, which = at[used[which]], which[used[which]]
+        x[at] = base + n_rules + (np.cumsum(used) - 1)[which]
         keep = np.ones(len(x), dtype=bool)
         keep[at + 1] = False
         x = x[keep]
-        rules.append(np.stack([pairs >> 16, pairs & 0xFFFF], axis=1).astype("<u2"))
-        n_rules += len(pairs)
+        rules.append(np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], axis=1).astype("<u2"))
+        n_rules += int(used.sum())
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u2")), x.astype("<u2")
 
 
+def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    found = [1] * base
+    for a, b in rules.tolist():
+        found.append(found[a] + found[b])
+    return np.array(found, dtype=np.int64)
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """All symbols expanded, one after another, and the length of each expansion."""
     own = np.arange(base, dtype="<u2").tobytes()
@@ -136,7 +137,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 def _shard(part: int, number: int, doc_ids: list, docs: list[np.ndarray], base: int) -> dict:
     counts = np.array([len(d) for d in docs])
     rules, symbols = compress(np.concatenate(docs), base)
-    _, lengths = expansions(rules, base)
+    lengths = lengths_of(rules, base)
     ends = np.searchsorted(np.cumsum(lengths[symbols]), np.cumsum(counts)) + 1
     return {
         "part": part,
@@ -184,24 +185,26 @@ def write(df: DataFrame, path: str, vocabulary: str, base: int, key: str = "doc_
     ship(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", tie)
+    # with the tie in the range, texts of one id, or of none, are spread over tasks
+    ordered = rows.repartitionByRange("key", tie).sortWithinPartitions("key", tie)
     arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
     ordered.mapInArrow(_writer(vocabulary, base, arrow), SCHEMA).write.parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            rules = np.frombuffer(row["rules"], dtype="<u2").reshape(-1, 2)
-            ids = expand(np.frombuffer(row["symbols"], dtype="<u2"), rules, row["base"]).astype("<u4")
-            ends = np.cumsum(row["n_ids"])
-            starts = ends - row["n_ids"]
-            n = len(starts)
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            rules = np.frombuffer(row["rules"].as_buffer(), dtype="<u2").reshape(-1, 2)
+            ids = expand(np.frombuffer(row["symbols"].as_buffer(), dtype="<u2"), rules, row["base"].as_py()).astype("<u4")
+            counts = np.asarray(row["n_ids"].values)
+            ends = np.cumsum(counts)
+            starts, n = ends - counts, len(counts)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "part": pa.array([row["part"]] * n, pa.int32()),
-                    "shard": pa.array([row["shard"]] * n, pa.int32()),
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                    "part": pa.repeat(row["part"], n),
+                    "shard": pa.repeat(row["shard"], n),
+                    "doc_id": row["doc_ids"].values,
                     "at": pa.array(starts, pa.int64()),
                     "ids": pa.ListArray.from_arrays(
                         pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids.view("<i4"), pa.int32())
