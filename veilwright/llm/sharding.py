@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilwright.llm.common import before, spread_copies
 
@@ -40,9 +41,10 @@ def rendezvous(key: Sequence[Column], weights: Sequence[float]) -> Column:
 def shard(df: DataFrame, key: Sequence[str], weights: Sequence[float], added: float = 1.0) -> DataFrame:
     """Add ``shard`` and ``grown_shard``, where a record goes once a shard of weight ``added`` joins.
 
-    Reads the key only and shuffles nothing.
+    Reads the key only and shuffles nothing.  A whole number is the same key whatever its type.
     """
-    columns = [F.col(f"`{k}`") for k in key]
+    whole = T.ByteType | T.ShortType | T.IntegerType
+    columns = [F.col(f"`{k}`").cast("bigint") if isinstance(df.schema[k].dataType, whole) else F.col(f"`{k}`") for k in key]
     return df.withColumns(
         {"shard": rendezvous(columns, weights), "grown_shard": rendezvous(columns, [*weights, added])}
     )
@@ -55,18 +57,15 @@ def number_within(df: DataFrame, group: str, name: str) -> DataFrame:
     sees a whole group.  Equal rows are counted before they are shuffled and written out again
     afterwards: each copy gets a number of its own.  Carry only short columns through this.
     """
-    columns = [f"`{c}`" for c in df.columns]
-    counted = (
-        df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("__copies"))
-        .withColumn("__cell", F.pmod(F.xxhash64(F.lit("cell"), *columns), F.lit(CELLS)))
-    )
-    cells = counted.groupBy(F.col(f"`{group}`").alias("__group"), F.col("__cell").alias("__of")).agg(
-        F.sum("__copies").alias("__rows")
-    )
-    offsets = cells.withColumn("__offset", before(F.col("__rows"), Window.partitionBy("__group").orderBy("__of")))
-    inside = Window.partitionBy(f"`{group}`", "__cell").orderBy(*columns)
-    ranked = counted.withColumn("__before", before(F.col("__copies"), inside))
-    same = F.col(f"`{group}`").eqNullSafe(F.col("__group")) & (F.col("__cell") == F.col("__of"))
-    placed = spread_copies(ranked.join(offsets, same), F.col("__copies"), "__copy")
-    return placed.withColumn(name, F.col("__offset") + F.col("__before") + F.col("__copy") - 1).select(*columns, name)
+    own = [f"own_{i}" for i in range(len(df.columns))]
+    rows = df.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(df.columns, own, strict=True)])
+    at = own[df.columns.index(group)]
+    cell = F.pmod(F.xxhash64(F.lit("cell"), *own), F.lit(CELLS))
+    counted = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("copies")).withColumn("cell", cell)
+    cells = counted.groupBy(F.col(at).alias("group"), F.col("cell").alias("of")).agg(F.sum("copies").alias("rows"))
+    offsets = cells.withColumn("offset", before(F.col("rows"), Window.partitionBy("group").orderBy("of")))
+    ranked = counted.withColumn("before", before(F.col("copies"), Window.partitionBy(at, "cell").orderBy(*own)))
+    same = F.col(at).eqNullSafe(F.col("group")) & (F.col("cell") == F.col("of"))
+    placed = spread_copies(ranked.join(offsets, same), F.col("copies"), "copy")
+    number = (F.col("offset") + F.col("before") + F.col("copy") - 1).alias(name)
+    return placed.select(*[F.col(o).alias(c) for c, o in zip(df.columns, own, strict=True) if c != name], number)
