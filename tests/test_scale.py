@@ -12,6 +12,7 @@ from veilwright.operators import lists, suppression
 from veilwright.operators.categories import typed
 from veilwright.operators.classes import attach_class_size, class_sizes, class_stats
 from veilwright.operators.distance import class_distance
+from veilwright.operators.generalize import generalize_auto
 from veilwright.operators.suppression import drop_share, suppress_values
 from veilwright.operators.wildcard import local_suppression
 from veilwright.plans.classbased import k_anonymity, km_anonymity, l_diversity, t_closeness
@@ -256,3 +257,20 @@ def test_the_last_step_is_bounded(spark, monkeypatch, most):
             assert cut is None
         else:
             assert cut == (every[due - 1], sum(h <= every[due - 1] for h in every) - due)
+
+
+def test_bins_of_many_columns_take_as_many_scans_as_one(spark):
+    """Counted in tasks: the scans of the limits, of what lies between, and of the rows."""
+    df = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_linenumber"]
+
+    def tasks():
+        every = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(every.apply(i).totalTasks() for i in range(every.size()))
+
+    taken = []
+    for qis in (names[:1], names):
+        start = tasks()
+        generalize_auto(df, qis, style="ranges").write.format("noop").mode("overwrite").save()
+        taken.append(tasks() - start)
+    assert taken[0] == taken[1] <= 5

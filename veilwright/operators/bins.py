@@ -6,6 +6,8 @@ scalar subqueries: one small aggregate over a pruned scan, evaluated with the qu
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,46 +43,64 @@ def place(value: Column, ladder: Column) -> Column:
     return F.get(ladder["labels"], unreached)
 
 
-def equal_width(df: DataFrame, name: str, null_bin: str = "null") -> Column:
-    """At most three equal bins, left-closed, the maximum in the last; label ``lo-hi``.
+def equal_widths(df: DataFrame, names: Sequence[str], null_bin: str = "null") -> dict[str, Column]:
+    """At most three equal bins for each column, left-closed, the maximum in the last; label ``lo-hi``.
 
     ``null_bin`` says where NULL goes: ``'last'``, ``'first'`` or ``'null'``.  In the first
     two modes NULL also counts as a value when the number of edges is fixed.
 
     How many edges there are depends on the distinct values, but only up to four of them.
     Two min/max passes answer that without a distinct count, which would shuffle every value:
-    strictly between the extremes lie none, one or more.
+    strictly between the extremes lie none, one or more.  Each pass looks at all columns at once, and all
+    ladders come out of one small table, so the number of scans does not grow with the columns.
     """
     require_batch(df, "data-driven bins")
     if null_bin not in ("last", "first", "null"):
         raise ValueError(f"null_bin must be 'last', 'first' or 'null', got {null_bin!r}")
-    value = as_number(df, name).cast("double")
-    values = df.select(value.alias("v"))
-    outer = values.agg(
-        F.struct(F.min("v").alias("low"), F.max("v").alias("high"), (F.count("v") < F.count(F.lit(1))).alias("gaps"))
-    ).scalar()
-    between = values.filter((F.col("v") > outer["low"]) & (F.col("v") < outer["high"]))
-    found = between.agg(F.min("v").alias("a"), F.max("v").alias("b")).withColumn("outer", outer)
-    found = found.select("a", "b", "outer.low", "outer.high", "outer.gaps")
-    inner = F.when(F.col("a").isNull(), 0).when(F.col("a") == F.col("b"), 1).otherwise(2)
-    distinct = F.when(F.col("low") == F.col("high"), 1).otherwise(2 + inner)
-    if null_bin != "null":
-        distinct = distinct + F.col("gaps").cast("int")
-    found = found.withColumn("bins", F.greatest(F.lit(1), F.least(distinct, F.lit(MAX_EDGES)) - 1))
-    step = (F.col("high") - F.col("low")) / F.col("bins")
+    if not names:
+        return {}
+    numbers = {name: as_number(df, name).cast("double") for name in names}
+    own = [f"v_{i}" for i in range(len(names))]
+    values = df.select(*[number.alias(v) for number, v in zip(numbers.values(), own, strict=True)])
+
+    def limits(v: str) -> Column:
+        gaps = F.count(v) < F.count(F.lit(1))
+        return F.struct(F.min(v).alias("low"), F.max(v).alias("high"), gaps.alias("gaps")).alias(v)
+
+    outer = values.agg(F.struct(*[limits(v) for v in own])).scalar()
+    between = values.select(*[F.when((F.col(v) > outer[v]["low"]) & (F.col(v) < outer[v]["high"]), F.col(v)).alias(v) for v in own])
+    found = between.agg(*[F.struct(F.min(v).alias("a"), F.max(v).alias("b")).alias(v) for v in own])
+    found = found.select(*own, F.lit(outer).alias("outer"))
+
+    def ladder(v: str) -> Column:
+        a, b, low, high, gaps = (F.col(f"{v}.a"), F.col(f"{v}.b"), *(F.col(f"outer.{v}.{x}") for x in ("low", "high", "gaps")))
+        inner = F.when(a.isNull(), 0).when(a == b, 1).otherwise(2)
+        distinct = F.when(low == high, 1).otherwise(2 + inner)
+        if null_bin != "null":
+            distinct = distinct + gaps.cast("int")
+        bins = F.greatest(F.lit(1), F.least(distinct, F.lit(MAX_EDGES)) - 1)
+        step = (high - low) / bins
+
+        def edge(i: Column) -> Column:
+            return F.when(i == bins, high).otherwise(low + step * i)
+
+        order = F.sequence(F.lit(1), bins)
+        labels = F.transform(order, lambda i: F.concat(whole_text(edge(i - 1)), F.lit("-"), whole_text(edge(i))))
+        bounds = F.slice(F.transform(order, edge), F.lit(1), bins - 1)
+        missing = {"last": F.element_at(labels, -1), "first": F.element_at(labels, 1), "null": F.lit(None).cast("string")}
+        return F.struct(ladder_of(bounds, labels).alias("ladder"), missing[null_bin].alias("missing")).alias(v)
+
+    ladders = found.select(F.struct(*[ladder(v) for v in own])).scalar()
+    placed = {}
+    for (name, number), v in zip(numbers.items(), own, strict=True):
+        label = place(number, ladders[v]["ladder"])
+        placed[name] = label if null_bin == "null" else F.coalesce(label, ladders[v]["missing"])
+    return placed
 
-    def edge(i: Column) -> Column:
-        return F.when(i == F.col("bins"), F.col("high")).otherwise(F.col("low") + step * i)
 
-    order = F.sequence(F.lit(1), F.col("bins"))
-    labels = F.transform(order, lambda i: F.concat(whole_text(edge(i - 1)), F.lit("-"), whole_text(edge(i))))
-    bounds = F.slice(F.transform(order, edge), F.lit(1), F.col("bins") - 1)
-    missing = {"last": F.element_at(labels, -1), "first": F.element_at(labels, 1), "null": F.lit(None).cast("string")}
-    ladder = found.select(
-        F.struct(ladder_of(bounds, labels).alias("ladder"), missing[null_bin].alias("missing"))
-    ).scalar()
-    placed = place(value, ladder["ladder"])
-    return placed if null_bin == "null" else F.coalesce(placed, ladder["missing"])
+def equal_width(df: DataFrame, name: str, null_bin: str = "null") -> Column:
+    """The bins of one column; see ``equal_widths``."""
+    return equal_widths(df, [name], null_bin)[name]
 
 
 def _limits(df: DataFrame, value: Column) -> Column:

@@ -12,7 +12,7 @@ from veilwright.functions.ladders import date_ladder, number_ladder
 from veilwright.functions.masks import mask_constant, mask_prefix, mask_tail
 from veilwright.functions.text import timestamp_text
 from veilwright.functions.values import as_moment, is_number, number_as_read, number_known, number_or_nan
-from veilwright.operators.bins import dates_adaptive, dates_equal, equal_width, general, year
+from veilwright.operators.bins import dates_adaptive, dates_equal, equal_widths, general, year
 from veilwright.operators.categories import category, typed, value_text
 from veilwright.operators.matching import all_of
 from veilwright.spec import DEFAULT_MASK, GENERAL, GENERAL_FIRST, UNKNOWN, Rule, check_columns
@@ -121,14 +121,15 @@ def generalize_auto(
         raise ValueError(f"unknown style {style!r}; choose one of {', '.join(STYLES)}")
     check_columns(df.columns, list(qis), "quasi-identifier")
     chosen = STYLES[style]
-    rewritten: dict[str, Column] = {}
+    methods = {name: rules[name].method if name in rules else None for name in qis}
+    binned = [name for name, m in methods.items() if m == "ordering" or (m is None and is_number(df, name))]
+    rewritten: dict[str, Column] = equal_widths(df, binned, chosen.null_bin)
     numbered: list[str] = []
-    for name in qis:
-        method = rules[name].method if name in rules else None
+    for name, method in methods.items():
+        if name in rewritten:
+            continue
         number = is_number(df, name)
-        if method == "ordering" or (method is None and number):
-            rewritten[name] = equal_width(df, name, chosen.null_bin)
-        elif method is None:
+        if method is None:
             rewritten[name] = general(chosen.rest)
         elif method == "masking" and (chosen.mask == "constant" or (chosen.mask and chosen.text_only and number)):
             rewritten[name] = mask_constant()
