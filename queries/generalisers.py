@@ -185,6 +185,17 @@ def gen_category_typed_many(spark, sf_dir):
     return typed(customers(spark, sf_dir).select("c_custkey", "c_name"), "c_name", "c_custkey")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS name, o_custkey % 3 AS turn FROM orders),
+    v AS (SELECT name, row_number() OVER (ORDER BY min(turn), name) AS r FROM o GROUP BY name)
+    SELECT o_orderkey, turn, 'type' || CAST(r AS VARCHAR) AS name FROM o JOIN v USING (name)"""
+)
+def gen_category_typed_ties(spark, sf_dir):
+    """As many values as rows, in an order that knows three places only."""
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_orderkey AS STRING) AS name", "o_custkey % 3 AS turn")
+    return typed(df, "name", "turn")
+
+
 @query("SELECT p_partkey, 'General Category' AS p_type FROM part")
 def gen_general(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", "p_type")

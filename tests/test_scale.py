@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from queries.base import CUSTOMER_KEY, CUSTOMER_QIS, CUSTOMER_RULES, THRESHOLD, K
 from queries.models import LINE_KEY
 from tests.conftest import rows
-from veilwright.operators import lists, suppression
+from veilwright.operators import lists, numbering, suppression
 from veilwright.operators.categories import typed
 from veilwright.operators.classes import attach_class_size, class_sizes, class_stats
 from veilwright.operators.distance import class_distance
@@ -274,3 +274,23 @@ def test_bins_of_many_columns_take_as_many_scans_as_one(spark):
         generalize_auto(df, qis, style="ranges").write.format("noop").mode("overwrite").save()
         taken.append(tasks() - start)
     assert taken[0] == taken[1] <= 5
+
+
+def test_values_tied_in_one_place_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "ORDERED", 100)
+    sizes = []
+    write = numbering.stored
+
+    def watched(df):
+        out = write(df)
+        if "part" in out.columns:
+            sizes.extend(r["count"] for r in out.groupBy("part").count().collect())
+        return out
+
+    monkeypatch.setattr(numbering, "stored", watched)
+    df = spark.range(3000).select("id", F.concat(F.lit("v"), F.col("id") % 2000).alias("v"), (F.col("id") % 2).alias("turn"))
+    got = {r.v: r["turn"] for r in typed(df, "v", "turn").select(F.col("v"), "turn").distinct().collect()}
+    first = {f"v{i}": i % 2 for i in range(2000)}
+    order = sorted(first, key=lambda v: (first[v], v))
+    assert got == {f"type{i}": first[v] for i, v in enumerate(order, 1)}
+    assert len(sizes) > 10 and max(sizes) <= 400

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from veilwright.functions.text import number_text
 from veilwright.functions.values import FRACTIONAL
-from veilwright.operators.numbering import number_rows
+from veilwright.operators.numbering import number_ties
 from veilwright.spec import MASKED, UNKNOWN, check_columns
 from veilwright.streaming import require_batch
 
@@ -50,7 +50,7 @@ def typed(
         raise ValueError(f"order column {order_col!r} must hold whole numbers")
     column = F.col(f"`{name}`")
     firsts = df.groupBy(column.alias("__value")).agg(F.min(F.col(f"`{order_col}`")).alias("__first"))
-    numbered = number_rows(firsts, F.col("__first"), "__number", tie="__value")
+    numbered = number_ties(firsts, "__first", "__number", tie="__value")
     labels = numbered.select("__value", F.concat(F.lit(prefix), F.col("__number").cast("string")).alias("__label"))
     joined = df.join(labels, column.eqNullSafe(F.col("__value")), "left")
     text = F.when(column.cast("string") == MASKED, UNKNOWN).otherwise(F.col("__label"))
