@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from tests.llm.edge import edge, empty
@@ -46,3 +49,46 @@ def test_every_byte_counts(net):
         covered += n
     assert covered - langid.OVERLAP * ((text == 0).sum() - 1) == 1000
     assert langid.classify(net, pa.array(["the and of"]))[1][0] > 0
+
+
+def naive(net, text):
+    """The likeliest language and its probability, filter by filter and place by place."""
+    raw, logs, weight = text.encode(), np.zeros(len(net.languages)), 0
+    stride = langid.WINDOW - (max(langid.WIDTHS) - 1)
+    start = 0
+    while True:
+        part = raw[start : start + langid.WINDOW]
+        window = part.ljust(langid.WINDOW, b"\0")
+        pooled = []
+        for table, bias in zip(net.tables, net.biases, strict=True):
+            width = len(table)
+            seen = [sum(table[i, window[at + i]].astype(float) for i in range(width)) for at in range(len(window) - width + 1)]
+            pooled += [max(0.0, max(s[f] for s in seen) + float(bias[f])) for f in range(table.shape[2])]
+        scores = [sum(p * float(w) for p, w in zip(pooled, column, strict=True)) + float(o) for column, o in zip(net.weights.T, net.offset, strict=True)]
+        shift = max(scores)
+        total = shift + math.log(sum(math.exp(s - shift) for s in scores))
+        logs += (np.array(scores) - total) * len(part)
+        weight += len(part)
+        start += stride
+        if start + max(langid.WIDTHS) - 1 >= len(raw):
+            break
+    mean = logs / weight
+    share = np.exp(mean - mean.max())
+    share /= share.sum()
+    return int(share.argmax()), float(share.max())
+
+
+def test_network_by_brute_force():
+    draw = np.random.default_rng(11)
+    net = langid.Network(
+        ["a", "b", "c"],
+        [draw.normal(0, 1, (w, 256, 3)).astype(np.float32) for w in langid.WIDTHS],
+        [draw.normal(0, 1, 3).astype(np.float32) for _ in langid.WIDTHS],
+        draw.normal(0, 0.2, (3 * len(langid.WIDTHS), 3)).astype(np.float32),
+        draw.normal(0, 0.2, 3).astype(np.float32),
+    )
+    texts = ["x", "naïve café 日本", "".join(draw.choice(list("abc dé"), 700)), "".join(draw.choice(list("xyz w"), langid.WINDOW))]
+    best, score = langid.classify(net, pa.array(texts))
+    for i, text in enumerate(texts):
+        want, probability = naive(net, text)
+        assert best[i] == want and score[i] == pytest.approx(probability, rel=1e-3)
