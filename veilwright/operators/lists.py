@@ -29,7 +29,7 @@ from veilwright.operators.lineage import stored
 from veilwright.operators.matching import all_of, cols, fingerprint
 
 #: A list of at most so many bytes is broadcast.
-SMALL_BYTES = 16 << 20
+SMALL_BYTES = 64 << 20
 #: Bits of a filter for each key of the list, the most a filter has, and the fewest for a key that are of use.
 KEY_BITS, MOST_BITS, LEAST_KEY_BITS = 16, 1 << 26, 4
 #: A list with more key columns is joined on one text that holds all of them: the optimizer's inference of
