@@ -59,7 +59,7 @@ def test_share_distance_by_brute_force(spark, data, extra):
 
 
 def test_share_distance_with_many_levels(spark):
-    """Global counts 1, 2, ..., 60: the binary search has something to search."""
+    """Global counts 1, 2, ..., 60: many steps in many ranges."""
     data = [(i % 7, f"v{i}") for i in range(60) for _ in range(i + 1)]
     df = spark.createDataFrame(data, "q int, s string")
     world = shares([s for _, s in data])
@@ -67,6 +67,15 @@ def test_share_distance_with_many_levels(spark):
         assert r.distance == pytest.approx(wasserstein(world, shares(by_class(data)[r.q])), abs=1e-12)
 
 
+def test_share_distance_without_known_values(spark):
+    """No global steps, or no class with a known value."""
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, None)], "q int, s string")
+    unknown = spark.createDataFrame([(1, None), (2, None)], "q int, s string")
+    assert class_distance(unknown, df, ["q"], "s").count() == 0
+    assert class_distance(df.limit(0), df, ["q"], "s").count() == 0
+    assert [r.q for r in class_distance(df, unknown, ["q"], "s").collect()] == [1]
+
+
 def test_l1_counts_values_missing_from_the_class(spark):
     data = [(1, "a")] * 2 + [(2, "a"), (2, "b")] + [(3, "c")] * 4
     df = spark.createDataFrame(data, "q int, s string")

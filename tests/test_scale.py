@@ -12,6 +12,7 @@ from veilwright.operators import lists, numbering, suppression
 from veilwright.operators.categories import typed
 from veilwright.operators.classes import attach_class_size, class_sizes, class_stats
 from veilwright.operators.distance import class_distance
+from veilwright.plans.report import privacy_report
 from veilwright.operators.generalize import generalize_auto
 from veilwright.operators.suppression import drop_share, suppress_values
 from veilwright.operators.wildcard import local_suppression
@@ -111,10 +112,20 @@ def test_no_pairing_and_no_python(spark):
             assert word not in text
 
 
-def test_rows_do_not_carry_the_global_steps(spark):
+def test_the_global_steps_are_a_table(spark):
+    """They are merged with the class steps in ranges: no array of them, neither gathered nor as a constant."""
     df = spark.read.parquet(f"{SF_DIR}/customer.parquet")
     text = plan(class_distance(df, df, ["c_nationkey"], "c_mktsegment"))
-    assert "AS steps#" not in text and "transform(array(Subquery" in text
+    for word in ("collect_list", "Subquery", "transform("):
+        assert word not in text
+    assert "customer.parquet" not in text  # both tables have been counted, once each
+
+
+def test_the_report_counts_its_rows_once(spark):
+    df = spark.read.parquet(f"{SF_DIR}/customer.parquet").withColumn("counted", F.lit(True))
+    text = plan(privacy_report(df, df.limit(1000), ["c_nationkey"], "c_mktsegment", k=5))
+    scans = [line for line in text.splitlines() if "FileScan" in line and "customer.parquet" in line]
+    assert scans and all("c_nationkey" not in line for line in scans)
 
 
 def test_only_measured_lists_are_broadcast(spark, no_broadcast, monkeypatch):

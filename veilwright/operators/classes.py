@@ -62,16 +62,20 @@ def _known(sensitive: Sequence[str]) -> Column:
     return all_of([F.col(f"`{s}`").isNotNull() for s in sensitive])
 
 
-def class_stats(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
+def class_stats(
+    df: DataFrame, qis: Sequence[str], sensitive: Sequence[str], counted: DataFrame | None = None
+) -> DataFrame:
     """One row per class.
 
+    ``counted`` is the table of ``value_counts``, if there is one already.
+
     ``class_size``, ``nulls`` (rows with an unknown sensitive value), ``distinct_values``
     (known values), ``distinct_with_null``, ``top_count`` and ``top_share`` (the most
     frequent known value among the known rows).
     """
     check_free(qis, STATISTICS)
     known = _known(sensitive)
-    counted = value_counts(df, qis, sensitive)
+    counted = value_counts(df, qis, sensitive) if counted is None else counted
     stats = counted.groupBy(*cols(qis)).agg(
         F.sum("__n").alias("class_size"),
         F.coalesce(F.sum(F.when(~known, F.col("__n"))), F.lit(0)).alias("nulls"),
@@ -124,9 +128,12 @@ def sketched_stats(sketches: DataFrame, qis: Sequence[str]) -> DataFrame:
     )
 
 
-def own_shares(df: DataFrame, qis: Sequence[str], sensitive: Sequence[str]) -> DataFrame:
+def own_shares(
+    df: DataFrame, qis: Sequence[str], sensitive: Sequence[str], counted: DataFrame | None = None
+) -> DataFrame:
     """``class_shares`` under working names: ``__n`` and ``__share``."""
-    counted = value_counts(df, qis, sensitive).filter(_known(sensitive))
+    counted = value_counts(df, qis, sensitive) if counted is None else counted
+    counted = counted.filter(_known(sensitive))
     totals = counted.groupBy(*cols(qis)).agg(F.sum("__n").alias("__known"))
     both = attach(counted, totals, qis, ["__known"])
     return both.withColumn("__share", F.col("__n") / F.col("__known")).drop("__known")
@@ -148,14 +155,15 @@ def global_shares(df: DataFrame, sensitive: str) -> DataFrame:
     return counted.withColumn("share", F.col("n") / total)
 
 
-def count_profile(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
+def count_profile(df: DataFrame, qis: Sequence[str], sensitive: str, counted: DataFrame | None = None) -> DataFrame:
     """(class, ``__n``, ``__values``, ``__unknown``): how many known values occur ``__n`` times.
 
     The rows with an unknown value are counted in ``__unknown``, on a row of their own with
     NULL for ``__n`` and no values.
     """
     known = F.col(f"`{sensitive}`").isNotNull()
-    counted = value_counts(df, qis, [sensitive]).select(
+    counted = value_counts(df, qis, [sensitive]) if counted is None else counted
+    counted = counted.select(
         *cols(qis),
         F.when(known, F.col("__n")).alias("__n"),
         F.when(known, 1).otherwise(0).alias("__one"),

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.operators.classes import class_stats
+from veilwright.operators.classes import class_stats, value_counts
 from veilwright.operators.distance import kl_divergence, share_distance
+from veilwright.operators.lineage import stored
 from veilwright.operators.matching import attach
 
 
@@ -24,13 +25,18 @@ def privacy_report(
 ) -> DataFrame:
     """Size, variety, top share and distances of every class, with a flag per given limit.
 
-    ``df`` is the generalised table and ``base`` the original one the distances refer to.
+    ``df`` is the generalised table and ``base`` the original one the distances refer to.  The rows
+    of ``df`` are counted once: the table of classes and values is written down as the plan is built,
+    and all measures come from it.
     """
-    stats = class_stats(df, qis, [sensitive])
+    counts = value_counts(df, qis, [sensitive])
+    plain = [f"column_{i}" for i in range(len(counts.columns))]  # a file takes no names that differ in case only
+    counted = stored(counts.toDF(*plain)).toDF(*counts.columns)
+    stats = class_stats(df, qis, [sensitive], counted)
     apart = {"share_distance": share_distance, "kl_divergence": kl_divergence}
     report = stats
     for name, measure in apart.items():
-        measured = measure(df, base, qis, sensitive).withColumnRenamed("distance", name)
+        measured = measure(df, base, qis, sensitive, counted).withColumnRenamed("distance", name)
         report = attach(report, measured, qis, [name], how="left")
     flags = {}
     if k is not None:
