@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ from queries.classes import (
 from queries.generalisers import width_sql
 from veilwright.operators.generalize import generalize
 from veilwright.plans import classbased as models
-from veilwright.plans.dispatch import anonymize
+from veilwright.plans.dispatch import anonymize, report_classes
 from veilwright.plans.fulldomain import full_domain
 from veilwright.plans.report import privacy_report
 from veilwright.spec import PrivacyRequest
@@ -560,3 +561,49 @@ def request_km(spark, sf_dir):
         spark, customers(spark, sf_dir), "km-anonymity", CUSTOMER_RULES, k="12", m="2.5", key="c_custkey",
         quasi_identifiers=",".join(BALANCE_QIS), sensitive_column="c_mktsegment",
     )
+
+
+@query(CATALOG["l_strict"].sql)
+def request_l_classes(spark, sf_dir):
+    """The strict l-diversity by a form."""
+    df = without(customers(spark, sf_dir), c_mktsegment="FURNITURE")
+    return through_request(
+        spark, df, "l-diversity", CUSTOMER_RULES, treatment="classes", k="12", l="5",
+        quasi_identifiers=",".join(BALANCE_QIS), sensitive_column="c_mktsegment",
+    )
+
+
+@query(CATALOG["t_l1"].sql)
+def request_t_sized(spark, sf_dir):
+    """Sizes first, then a share of the classes far by aligned shares, by a form and with a checkpoint."""
+    return through_request(
+        spark, customers(spark, sf_dir), "t-closeness", CUSTOMER_RULES, treatment="sized", k="12", t="0.45",
+        quasi_identifiers=",".join(BALANCE_QIS), sensitive_column="c_mktsegment", key="c_custkey", checkpoint="true",
+    )
+
+
+@query(CATALOG["k_group_filter"].sql)
+def request_groups(spark, sf_dir):
+    """Values looked up in a dictionary that the form holds as text."""
+    df = customers(spark, sf_dir).withColumn("c_nationkey", F.col("c_nationkey").cast("string"))
+    return through_request(
+        spark, df, "k-anonymity", {}, treatment="groups", k=str(MIN_GROUP), quasi_identifiers=",".join(GROUP_QIS),
+        mappings=json.dumps({"c_mktsegment": SEGMENTS}),
+    )
+
+
+@query(CATALOG["k_full_domain"].sql)
+def request_levels(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_brand")
+    return through_request(
+        spark, df, "k-anonymity", {}, treatment="levels", k="30", quasi_identifiers="p_size,p_type,p_brand",
+        suppression_threshold="0.05",
+    )
+
+
+@query(CATALOG["t_kl_report"].sql)
+def request_t_report(spark, sf_dir):
+    """The classes that a report by a form finds too far away."""
+    form = {"privacy_model": "t-closeness", "treatment": "report", "t": str(T), "sensitive_column": "c_mktsegment"}
+    request = PrivacyRequest.from_form(form | {"quasi_identifiers": ",".join(BALANCE_QIS)})
+    return rounded(report_classes(customers(spark, sf_dir), replace(request, rules=CUSTOMER_RULES)), "distance")

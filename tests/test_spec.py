@@ -1,6 +1,8 @@
 import pytest
 
 from veilwright import PrivacyRequest, anonymize, parse_rules
+from veilwright.plans.dispatch import report_classes
+from veilwright.spec import TREATMENTS
 
 
 def test_form_defaults():
@@ -44,6 +46,12 @@ def test_bad_layer_bound():
         ({"privacy_model": "km-anonymity", "quasi_identifiers": "a", "k": "2", "m": "0"}, "other than 0"),
         ({"k": "2", "quasi_identifiers": "a", "suppression_threshold": "1.5"}, "between 0 and 1"),
         ({"privacy_model": "l-diversity", "quasi_identifiers": "a", "k": "2", "l": "2"}, "sensitive"),
+        ({"quasi_identifiers": "a", "k": "2", "treatment": "other"}, "no treatment 'other'"),
+        ({"quasi_identifiers": "a", "k": "2", "treatment": "sized"}, "choose one of share, classes, cells"),
+        ({"privacy_model": "differential_privacy", "quasi_identifiers": "a", "e": "1", "treatment": "cells"}, "choose one of share$"),
+        ({"quasi_identifiers": "a", "k": "2", "treatment": "groups", "mappings": '{"zip": {"1": "x"}}'}, "mapped"),
+        ({"quasi_identifiers": "a", "k": "2", "treatment": "groups", "mappings": '{"a": "x"}'}, "must be an object"),
+        ({"quasi_identifiers": "a", "k": "2", "treatment": "new_nulls", "importance": "s"}, "ranked"),
     ],
 )
 def test_rejected_requests(spark, form, message):
@@ -63,6 +71,33 @@ def test_every_model_runs_from_a_form(spark, model):
     assert 0 < out.count() <= 30
 
 
+TREATED = [(model, treatment) for treatment, models in TREATMENTS.items() for model in models if treatment != "share"]
+
+
+@pytest.mark.parametrize(("model", "treatment"), TREATED)
+def test_every_treatment_runs_from_a_form(spark, model, treatment):
+    data = [(i, i % 3, "ab"[i % 2], "xyz"[i % 3 - 1]) for i in range(30)]
+    df = spark.createDataFrame(data, "id int, a int, g string, s string")
+    form = {"privacy_model": model, "treatment": treatment, "quasi_identifiers": "a,g", "sensitive_column": "s", "key": "id"}
+    form |= {"k": "5", "l": "2", "t": "0.1", "m": "1", "mappings": '{"g": {"a": "first"}}', "importance": "g"}
+    request = PrivacyRequest.from_form(form)
+    out = anonymize(df, request)
+    assert out.columns == (["a", "g"] if treatment == "keys" else df.columns)
+    rows = out.collect()
+    if treatment == "report":
+        assert len(rows) == 30 and report_classes(df, request).count() == 6
+    else:
+        with pytest.raises(ValueError, match="no report"):
+            report_classes(df, request)
+    if treatment in ("cells", "keys", "new_nulls", "levels") or (model, treatment) == ("k-anonymity", "classes"):
+        assert len(rows) == 30  # six classes of five rows: nothing to do
+    if treatment == "groups":
+        assert {r.g for r in rows} == {"first", "b"}
+        assert {r.s for r in rows} == ({"x", "y", "z"} if model == "k-anonymity" else {"Suppressed"})
+    if model == "l-diversity" and treatment == "classes":
+        assert not rows  # one value a class
+
+
 def test_flat_rules_and_all_fields_by_a_form(spark):
     from veilwright.plans.dispatch import anonymize
 

@@ -102,7 +102,7 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
     The decision is made per class, not per row: the table is first reduced to its distinct
     classes with their sizes, and a class below ``k`` keeps the largest subset of its columns that
     at least ``k`` rows share; among subsets of one size the one that keeps the most important
-    columns.  If no subset does, all its columns go.  All rows sharing the kept values still match
+    columns, those named in ``importance`` before the others.  If no subset does, all its columns go.  All rows sharing the kept values still match
     one another under NULL-as-wildcard, so the result is k-anonymous in that sense.
 
     Most classes need to lose one column only, which is looked at first.  For the others shared subsets
@@ -114,7 +114,8 @@ def local_suppression(df: DataFrame, qis: Sequence[str], k: int, importance: Seq
     """
     require_batch(df, "local suppression")
     check_columns(df.columns, list(qis), "quasi-identifier")
-    ranked = list(importance or qis)
+    check_columns(qis, list(importance or ()), "ranked")
+    ranked = list(dict.fromkeys([*(importance or ()), *qis]))
     rank, width = {q: ranked.index(q) for q in qis}, len(ranked)
     own = [f"v_{i}" for i in range(width)]
     counted = df.select(*[F.col(f"`{q}`").alias(v) for q, v in zip(ranked, own, strict=True)]).groupBy(*own).agg(F.count(F.lit(1)).alias("n"))

@@ -20,6 +20,21 @@ DEFAULT_MASK = "Masked"
 DEFAULT_NOISY_MASK = "***"
 MODELS = ("k-anonymity", "l-diversity", "t-closeness", "km-anonymity", "differential_privacy")
 DEFAULT_MODEL = "k-anonymity"
+#: What is done about violating classes, and the models that can: delete a share of their rows; remove them whole; blank
+#: cells; blank cells of the table as it came and keep the quasi-identifiers; remove rows that lose a cell; look values up
+#: and keep large classes; raise whole columns; require sizes and then delete by aligned shares; report only.
+TREATMENTS = {
+    "share": MODELS,
+    "classes": ("k-anonymity", "l-diversity", "t-closeness", "km-anonymity"),
+    "cells": ("k-anonymity",),
+    "keys": ("k-anonymity",),
+    "new_nulls": ("k-anonymity",),
+    "groups": ("k-anonymity", "l-diversity"),
+    "levels": ("k-anonymity",),
+    "sized": ("t-closeness",),
+    "report": ("l-diversity", "t-closeness"),
+}
+DEFAULT_TREATMENT = "share"
 DEFAULT_QIS = ("Gender", "Age", "Zipcode")
 DEFAULT_SENSITIVE = ("Disease",)
 DEFAULT_THRESHOLD = 0.3
@@ -105,6 +120,15 @@ def parse_rules(document: str | Mapping[str, object] | None) -> dict[str, Rule]:
     return {column: _parse_rule(column, raw) for column, raw in document.items()}
 
 
+def _parse_mappings(document: str | Mapping[str, object] | None) -> dict[str, Mapping[object, str]]:
+    """Labels of values by column, from a JSON text or an already decoded object."""
+    decoded = json.loads(document or "{}") if isinstance(document, str) else document or {}
+    for column, labels in decoded.items():
+        if not isinstance(labels, Mapping):
+            raise ValueError(f"the mapping of column {column!r} must be an object of values and labels")
+    return dict(decoded)
+
+
 def _split(value: object, default: tuple[str, ...]) -> tuple[str, ...]:
     if value is None:
         return default
@@ -161,6 +185,11 @@ class PrivacyRequest:
     order_col: str | None = None
     #: Write the rows between the phases of a two-phase model to the checkpoint folder.
     checkpoint: bool = False
+    #: What is done about violating classes, one of ``TREATMENTS``.
+    treatment: str = DEFAULT_TREATMENT
+    #: Labels of values by column, for the treatment "groups"; columns whose cells "new_nulls" keeps longest come first.
+    mappings: Mapping[str, Mapping[object, str]] = field(default_factory=dict)
+    importance: tuple[str, ...] | None = None
 
     @classmethod
     def from_form(cls, form: Mapping[str, object]) -> PrivacyRequest:
@@ -201,12 +230,18 @@ class PrivacyRequest:
             distance=text("distance", "shares"),  # type: ignore[arg-type]
             order_col=text("order_column", None),
             checkpoint=flag("checkpoint"),
+            treatment=text("treatment", DEFAULT_TREATMENT),  # type: ignore[arg-type]
+            mappings=_parse_mappings(form.get("mappings")),  # type: ignore[arg-type]
+            importance=_split(form.get("importance") or None, ()) or None,
         )
 
     def validate(self, columns: Sequence[str]) -> None:
         """Raise ``ValueError`` for a request that no plan can serve."""
         if self.model not in MODELS:
             raise ValueError(f"unknown privacy model {self.model!r}; choose one of {', '.join(MODELS)}")
+        if self.model not in TREATMENTS.get(self.treatment, ()):
+            fitting = [name for name, models in TREATMENTS.items() if self.model in models]
+            raise ValueError(f"{self.model} has no treatment {self.treatment!r}; choose one of {', '.join(fitting)}")
         check_columns(columns, self.qis, "quasi-identifier")
         check_fraction(self.threshold)
         check_columns(columns, self.key or (), "key")
@@ -218,6 +253,8 @@ class PrivacyRequest:
             "km-anonymity": ("k", "m"),
             "differential_privacy": ("epsilon",),
         }[self.model]
+        if self.treatment == "report":  # looks at all classes, whatever their size
+            needs = tuple(name for name in needs if name != "k")
         for name in needs:
             if getattr(self, name) is None:
                 raise ValueError(f"{self.model} needs a value for {name}")
@@ -227,3 +264,5 @@ class PrivacyRequest:
             raise ValueError("km-anonymity needs an m other than 0")
         if self.model in ("l-diversity", "t-closeness", "km-anonymity"):
             check_columns(columns, self.sensitive, "sensitive")
+        check_columns(columns, list(self.mappings), "mapped")
+        check_columns(self.qis, self.importance or (), "ranked")
