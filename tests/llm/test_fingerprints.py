@@ -1,3 +1,4 @@
+import difflib
 import hashlib
 
 import numpy as np
@@ -57,3 +58,24 @@ def test_groups_of_alike_texts(spark):
     got = {r.doc_id: r.group_id for r in fp.near_groups(rows, 0.5).collect()}
     assert got == {i: i // 3 * 3 for i in range(9)} | {9: 9, 10: 9, 11: 11}
     assert fp.near_groups(edge(spark)).count() == 13 and fp.near_groups(empty(spark)).count() == 0
+
+
+def test_recall_of_planted_pairs(spark):
+    """Texts of 240 characters from the documents, and each again with one character replaced, lost or added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()
+    rng = np.random.default_rng(3)
+    plain = sorted({r.text[-240:] for r in docs if r.text and len(r.text) > 800})[:200]
+    rows = []
+    for i, text in enumerate(plain):
+        at, kind = int(rng.integers(0, len(text))), i % 3
+        rows += [(2 * i, text), (2 * i + 1, text[:at] + "~" * (kind != 1) + text[at + (kind != 2) :])]
+    got = {r.doc_id: r.group_id for r in fp.near_groups(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert len(got) == 2 * len(plain)
+    together = np.mean([got[2 * i] == got[2 * i + 1] for i in range(len(plain))])
+    assert together >= 0.9
+    members = {}
+    for doc_id, group in got.items():
+        members.setdefault(group, set()).add(doc_id // 2)
+    for group in members.values():  # the documents hold near copies of their own; nothing else may be put together
+        first, *others = sorted(group)
+        assert all(difflib.SequenceMatcher(None, plain[first], plain[o], False).ratio() > 0.9 for o in others)
