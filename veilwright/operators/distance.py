@@ -95,7 +95,7 @@ def _piece_areas(shapes: DataFrame, steps: DataFrame) -> DataFrame:
     # the share at which the global function reaches the level of the piece
     meeting = _latest(wanted.select("at").distinct(), levels, _level_range, -1)
     cross = F.greatest("start", F.least("stop", F.coalesce("found", F.lit(1.0)))).alias("cross")
-    crossed = attach(wanted, meeting, ["at"], ["found"]).select(*SHAPE, cross)
+    crossed = stored(attach(wanted, meeting, ["at"], ["found"]).select(*SHAPE, cross))  # read twice below
     corners = crossed.select("*", F.posexplode(F.array("start", "cross", "stop")).alias("corner", "at"))
     shares = steps.select(F.col("share").alias("at"), F.struct("share", "level", "area").alias("found"))
     met = _latest(corners.select("at").distinct(), shares, _share_range, 0)
@@ -121,7 +121,8 @@ def share_distance(
     global values: pieces of one shape, of which classes of like counts have many, are looked up
     once, in a merge of two sorted tables range by range.
 
-    The pieces and the steps, both out of aggregates, are written down as the plan is built, so each table is counted once.
+    The pieces, their shapes and the steps, all out of aggregates, are written down as the plan is built, so each table is
+    counted once and each merge made once.
     """
     mine = Window.partitionBy(*cols(qis)).orderBy(F.col("__n").asc_nulls_first())
     upto = mine.rowsBetween(Window.unboundedPreceding, Window.currentRow)
