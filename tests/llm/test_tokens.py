@@ -137,3 +137,29 @@ def test_winners_never_overlap():
         if len(at):
             top = np.flatnonzero(rank == rank.max())
             assert len(np.intersect1d(won, top)) * 2 >= len(top)
+
+
+def test_new_words_go_through_the_tokenizer_together(plain, monkeypatch):
+    draw = random.Random(7)
+    words = ["".join(draw.choice("abcdefgé") for _ in range(9)) for _ in range(6000)]
+    texts = [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]
+    sent = []
+    whole = tokens.Encoder._whole
+    monkeypatch.setattr(tokens.Encoder, "_whole", lambda self, t: sent.append(len(t)) or whole(self, t))
+    (ids, counts), = tokens.Encoder(VOCABULARY).encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert [*ids[a:b], 0] == plain(text).tolist()
+    # one by one only the first word of each text and what stands before it
+    assert sum(sent) <= len(texts) + 1 + -(-len(words) // tokens.TOGETHER)
+
+
+def test_late_passes_look_at_few_places(monkeypatch):
+    draw = np.random.default_rng(11)
+    ids = np.minimum(draw.zipf(1.5, 200_000), 3000).astype(np.uint32)
+    looked_at = []
+    among = repair._among
+    monkeypatch.setattr(repair, "_among", lambda pairs, key: looked_at.append(len(key)) or among(pairs, key))
+    rules, symbols = repair.compress(ids, 50_257)
+    assert (repair.expand(symbols, rules, 50_257) == ids).all()
+    assert len(looked_at) > 4 and looked_at[-1] < len(symbols) / 5

@@ -36,6 +36,8 @@ FREQUENT = 8
 #: Eight times the frequency that the first pass asks for.
 FIRST_OFTEN = 1 << 12
 END_ID = 0
+#: Slots by which pairs are found, a multiplier and a shift that deal 32 bits out over them.
+SLOTS, MIX, SHIFT = 1 << 18, np.uint32(0x9E3779B1), np.uint32(14)
 SCHEMA = (
     "part int, shard int, doc_ids array<bigint>, n_ids array<bigint>, n_symbols array<bigint>, "
     "base int, rules binary, expansion binary, symbols binary, total bigint"
@@ -60,24 +62,48 @@ def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return won[np.append(True, np.diff(at[won]) > 1)] if len(won) else won
 
 
+def _among(pairs: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys that are among the pairs (rising, no two equal), and their numbers there.
+
+    Looked up by slot; only where several pairs have one slot the number is searched for.
+    """
+    slots, numbers = (pairs * MIX) >> SHIFT, np.arange(len(pairs), dtype=np.int32)
+    table = np.full(SLOTS, -1, dtype=np.int32)
+    table[slots] = numbers
+    several = slots[table[slots] != numbers]
+    table[several] = len(pairs)
+    which = table[(key * MIX) >> SHIFT]
+    at = np.flatnonzero(which >= 0)
+    which, key = which[at], key[at]
+    unsure = np.flatnonzero(which == len(pairs))
+    which[unsure] = np.minimum(np.searchsorted(pairs, key[unsure]), len(pairs) - 1)
+    same = np.flatnonzero(pairs[which] == key)
+    return at[same], which[same]
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """``rules`` (pairs of symbols; rule i makes symbol ``base + i``) and the ``symbols`` that are left.
 
     Each pass counts all pairs and replaces those of at least a certain frequency, an eighth of the one before,
-    down to ``FREQUENT``; a rule is made of a pair that is replaced twice or more.
+    down to ``FREQUENT``; a rule is made of a pair that is replaced twice or more.  Once all pairs of that frequency are
+    known, only those that were not replaced and those with a new symbol can have it: later passes look at their places alone.
     """
     x = ids.astype(np.uint16)
     rules: list[np.ndarray] = []
     n_rules = 0
     often = FIRST_OFTEN
+    live = None
     while len(x) > 1 and base + n_rules < SYMBOLS:
         often = max(often // 8, FREQUENT)
-        # a pair is no more frequent than its rarer half
-        common = np.bincount(x, minlength=SYMBOLS) >= often
-        common[END_ID] = False
-        inside = common[x]
-        at = np.flatnonzero(inside[:-1] & inside[1:])
-        key = (x[at].astype(np.uint32) << 16) | x[at + 1]
+        if live is None:
+            # a pair is no more frequent than its rarer half
+            common = np.bincount(x, minlength=SYMBOLS) >= often
+            common[END_ID] = False
+            inside = common.take(x)
+            at = np.flatnonzero(inside[:-1] & inside[1:])
+        else:
+            at = live[(x[live] != END_ID) & (x[1:][live] != END_ID)]
+        key = (x[at].astype(np.uint32) << 16) | x[1:][at]
         in_order = np.sort(key)
         edge = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1]))) if len(key) else at
         count = np.diff(np.append(edge, len(key)))
@@ -87,23 +113,25 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
                 break
             continue
         most = np.argsort(-count[frequent], kind="stable")[: SYMBOLS - base - n_rules]
+        # pairs that find no symbol left may find one in the next pass
+        known = often == FREQUENT and len(most) == len(frequent)
         frequent = np.sort(frequent[most])
         pairs, weight = in_order[edge[frequent]], count[frequent]
-        is_left, is_right = np.zeros(SYMBOLS, dtype=bool), np.zeros(SYMBOLS, dtype=bool)
-        is_left[pairs >> 16], is_right[pairs & 0xFFFF] = True, True
-        near = is_left[x[at]] & is_right[x[at + 1]]
-        at, key = at[near], key[near]
-        which = np.searchsorted(pairs, key)
-        hit = pairs[np.minimum(which, len(pairs) - 1)] == key
-        at, which = at[hit], which[hit]
-        won = _winners(at, weight[which] * len(pairs) + which)
+        hit, which = _among(pairs, key)
+        at = at[hit]
+        stays = np.zeros(len(x), dtype=bool)
+        stays[at] = True
+        won = _winners(at, (weight * len(pairs) + np.arange(len(pairs)))[which])
         at, which = at[won], which[won]
         used = np.bincount(which, minlength=len(pairs)) > 1
-        at, which = at[used[which]], which[used[which]]
-        x[at] = base + n_rules + (np.cumsum(used) - 1)[which]
+        won = used[which]
+        at, which = at[won], which[won]
+        x[at] = (base + n_rules - 1 + np.cumsum(used))[which]
+        stays[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(x), dtype=bool)
         keep[at + 1] = False
         x = x[keep]
+        live = np.flatnonzero(stays[keep][:-1]) if known else None
         rules.append(np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], axis=1).astype("<u2"))
         n_rules += int(used.sum())
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u2")), x.astype("<u2")

@@ -2,7 +2,8 @@
 
 The vocabulary's rule cuts a text into words before any merge, so a word's ids do not depend on its
 neighbours.  Batches are therefore cut into words, every distinct word is looked at once, and only
-words not met before go through the tokenizer.  Texts with white space in a row are cut by the rule
+words not met before go through the tokenizer: those that begin with a space many at a time in one text, whose
+ids are dealt out by the bytes that each id stands for.  Texts with white space in a row are cut by the rule
 in Python instead of Arrow, and texts with characters beyond the Latin blocks are encoded whole.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,8 @@ import pyarrow.compute as pc
 #: Text bytes handled at a time, and words remembered by a worker (twice that for a moment).
 CHUNK_BYTES = 8 << 20
 REMEMBERED = 350_000
+#: Words that the tokenizer gets in one text.
+TOGETHER = 1000
 #: White space, letters and digits below U+0250, as the vocabulary's rule sees them.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
@@ -45,6 +48,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         special = self.tokenizer.get_added_tokens_decoder().values()
         self.special = "|".join(re.escape(str(t.content)) for t in special)
+        words = self.tokenizer.get_vocab()
+        # a token is written with one character for each of its bytes
+        self.bytes = np.zeros(max(words.values(), default=0) + 1, dtype=np.int64)
+        self.bytes[list(words.values())] = [len(token) for token in words]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -52,19 +59,31 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the rule cuts apart again: a space and something that is not white space."""
+        if not words:
+            return []
+        texts = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        found = b"".join(self._whole(texts))
+        length = np.fromiter((len(w.encode()) for w in words), dtype=np.int64, count=len(words))
+        after = np.cumsum(self.bytes[np.frombuffer(found, dtype="<u4")])
+        ends = (4 * (np.searchsorted(after, np.cumsum(length)) + 1)).tolist()
+        return [found[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _remember(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words by word, for the given ones at least."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        missing = []
+        apart, alone = [], []
         for word in words:
             if word not in young:
                 if word in old:
                     young[word] = old[word]
                 else:
-                    missing.append(word)
-        young.update(zip(missing, self._whole(missing), strict=True))
+                    (apart if word[:1] == " " and word[1:2].strip() else alone).append(word)
+        young.update(zip(apart, self._apart(apart), strict=True))
+        young.update(zip(alone, self._whole(alone), strict=True))
         return young
 
     def _cut(self, texts: list[str]) -> list[bytes]:
@@ -107,16 +126,28 @@ class Encoder:
         return np.concatenate(parts), counts
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without white space in a row: a space begins a word, so the rule sees each piece between spaces once."""
+        return self._parts(texts, pc.replace_substring(texts, " ", f"{MARK} "), self._words)
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._parts(texts, pc.replace_substring_regex(texts, RE2_RULE, f"{MARK}\\0"), self._known)
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        known = self._remember(words)
+        found = [known[w] for w in words]
+        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        return np.frombuffer(b"".join(found), dtype="<u4"), length
+
+    @staticmethod
+    def _parts(texts: pa.Array, marked: pa.Array, look_up: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts from those of their parts between marks; every distinct part is looked up once."""
         if not len(texts):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        lists = pc.split_pattern(pc.replace_substring_regex(texts, RE2_RULE, f"{MARK}\\0"), MARK)
+        lists = pc.split_pattern(marked, MARK)
         offsets = np.asarray(lists.offsets).astype(np.int64)
         encoded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        words = encoded.dictionary.to_pylist()
-        known = self._remember(words)
-        found = [known[w] for w in words]
-        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        flat, length = look_up(encoded.dictionary)
         which = np.asarray(encoded.indices)
         counts = length[which]
         ids = gather(flat, (np.cumsum(length) - length)[which], counts)
