@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from queries.base import CUSTOMER_KEY, CUSTOMER_QIS, CUSTOMER_RULES, THRESHOLD, K
+from queries.base import CUSTOMER_KEY, CUSTOMER_QIS, CUSTOMER_RULES, FINE_QIS, ORDER_RULES, THRESHOLD, K
 from queries.models import LINE_KEY
 from tests.conftest import rows
 from veilwright.operators import lists, numbering, suppression
@@ -13,7 +13,7 @@ from veilwright.operators.categories import typed
 from veilwright.operators.classes import attach_class_size, class_sizes, class_stats
 from veilwright.operators.distance import class_distance
 from veilwright.plans.report import privacy_report
-from veilwright.operators.generalize import generalize_auto
+from veilwright.operators.generalize import generalize_auto, generalize_known
 from veilwright.operators.suppression import drop_share, suppress_values
 from veilwright.operators.wildcard import local_suppression
 from veilwright.plans.classbased import k_anonymity, km_anonymity, l_diversity, t_closeness
@@ -208,6 +208,20 @@ def test_a_large_list_moves_little_more_than_its_rows(spark, no_broadcast, monke
     assert rows(kept) == rows(plain) == rows(df.filter("l_suppkey <> 7"))
 
 
+def test_a_filter_makes_labels_once(spark, monkeypatch):
+    """Labels of moments are not made again for every place of the filter that a row looks at."""
+    monkeypatch.setattr(lists, "SMALL_BYTES", -1)
+    df = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    df = generalize_known(df, FINE_QIS, ORDER_RULES)
+    found = lists.listed(df, class_sizes(df, FINE_QIS).filter("class_size < 2"), FINE_QIS, mark=F.lit("m"))
+    ways = {"only": found.only(df, "x"), "without": found.without(df, "x"), "attach": found.attach(df, "x")[0]}
+    for name, way in ways.items():
+        tests = [line for line in plan(way).splitlines() if re.search(r"\bFilter \(", line)]
+        assert tests and not any("1995-01-01" in line for line in tests), name
+    assert ways["attach"].count() == df.count()
+    assert rows(ways["only"].unionByName(ways["without"])) == rows(df)
+
+
 @pytest.mark.parametrize("model", ["l", "t", "km"])
 def test_two_phases_read_whole_rows_once(spark, no_broadcast, model):
     df = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")

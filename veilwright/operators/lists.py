@@ -88,29 +88,46 @@ class Listed:
         wanted = 1 << max(10, (self.rows * KEY_BITS - 1).bit_length())
         return min(wanted, MOST_BITS) if self.rows * LEAST_KEY_BITS <= MOST_BITS else 0
 
-    def _places(self, keys: Sequence[Column]) -> list[Column]:
-        return [F.pmod(fingerprint(keys, probe), F.lit(self._bits)) for probe in PROBES]
+    def _places(self, mark: Column) -> list[Column]:
+        """Places in the filter of a key by its ``mark``, one number."""
+        return [F.pmod(fingerprint([mark], probe), F.lit(self._bits)) for probe in PROBES]
 
     @cached_property
     def _filter(self) -> DataFrame:
         """The words of the filter in one row."""
-        places = self.table.select(F.explode(F.array(*self._places(cols(self.keys)))).alias("place"))
+        marks = self.table.select(_mark(cols(self.keys)).alias("mark"))
+        places = marks.select(F.explode(F.array(*self._places(F.col("mark")))).alias("place"))
         one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("place", F.lit(64)).cast("int"))
-        marks = places.select(F.floor(F.col("place") / 64).alias("word"), one.alias("bits"))
+        bits = places.select(F.floor(F.col("place") / 64).alias("word"), one.alias("bits"))
         none = self.table.sparkSession.range(self._bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
-        words = marks.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        words = bits.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
         every = F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])
         return stored(words.agg(every.alias("words")))
 
-    def maybe(self) -> Column:
-        """Whether a row may be of a listed class: no row of one is ever ruled out."""
+    def maybe(self, mark: Column | None = None) -> Column:
+        """Whether a row may be of a listed class: no row of one is ever ruled out.
+
+        ``mark`` is the mark of its key where a column has that already.
+        """
         words = self._filter.scalar()
         tests = [
             F.getbit(F.get(words, F.floor(place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
-            for place in self._places(self._own())
+            for place in self._places(_mark(self._own()) if mark is None else mark)
         ]
         return all_of(tests)
 
+    def _sifted(self, rows: DataFrame, may_be: bool = True) -> DataFrame:
+        """The rows that may be of a listed class, or the others.
+
+        A test on columns is pushed below the projection that makes them and makes them again for every
+        place it looks at; labels of moments take longer than all the rest.  The mark is therefore made by a generator of
+        one row, which no test is pushed through: labels are made once for each row.
+        """
+        mark = f"{prefix_free_in(rows.columns)}mark"
+        test = self.maybe(F.col(mark))
+        once = rows.select("*", F.stack(F.lit(1), _mark(self._own())).alias(mark))
+        return once.filter(test if may_be else ~test).select(*cols(rows.columns))
+
     def beside(self, rows: DataFrame, join: object, null_safe: bool = False) -> tuple[DataFrame, Column, str]:
         """The list under names that are free in ``rows``, what a row of it agrees in, and the prefix of the names."""
         prefix = prefix_free_in(rows.columns)
@@ -134,7 +151,7 @@ class Listed:
         side, same, _ = self.beside(rows, join, null_safe)
         if self.small:
             return rows.join(F.broadcast(side), same, "left_semi")
-        return (rows.filter(self.maybe()) if self._bits else rows).join(side, same, "left_semi")
+        return (self._sifted(rows) if self._bits else rows).join(side, same, "left_semi")
 
     def without(self, rows: DataFrame, join: object, null_safe: bool = False, gone: Mapping[str, Column] | None = None) -> DataFrame:
         """All rows but those of the listed classes.
@@ -151,8 +168,8 @@ class Listed:
             return rows.join(F.broadcast(side), same, "left_anti")
         if not self._bits:
             return rows.join(side, same, "left_anti")
-        looked_up = rows.filter(self.maybe()).join(side, same, "left_anti")
-        return rows.filter(~self.maybe()).union(looked_up)
+        looked_up = self._sifted(rows).join(side, same, "left_anti")
+        return self._sifted(rows, False).union(looked_up)
 
     def attach(self, rows: DataFrame, join: object, null_safe: bool = False) -> tuple[DataFrame, str]:
         """All rows with the carried columns, NULL where the class is not listed, and the prefix of their names."""
@@ -166,8 +183,12 @@ class Listed:
         if self.small or not self._bits:
             return joined(rows), prefix
         types = {f.name: f.dataType for f in self.table.schema}
-        apart = rows.filter(~self.maybe()).select("*", *[F.lit(None).cast(types[c]).alias(f"{prefix}{c}") for c in self.carried])
-        return apart.union(joined(rows.filter(self.maybe()))), prefix
+        apart = self._sifted(rows, False).select("*", *[F.lit(None).cast(types[c]).alias(f"{prefix}{c}") for c in self.carried])
+        return apart.union(joined(self._sifted(rows))), prefix
+
+
+def _mark(keys: Sequence[Column]) -> Column:
+    return fingerprint(keys, "mark")
 
 
 def _keys(columns: Sequence[Column], kinds: Sequence[T.DataType]) -> list[Column]:
