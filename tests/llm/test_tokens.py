@@ -1,6 +1,8 @@
 """Token files and packing: both against the tokenizer itself."""
 
+import gc
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -154,6 +156,48 @@ def test_new_words_go_through_the_tokenizer_together(plain, monkeypatch):
     assert sum(sent) <= len(texts) + 1 + -(-len(words) // tokens.TOGETHER)
 
 
+def test_remembered_words_take_a_few_bytes(plain):
+    draw = random.Random(13)
+    texts = [" ".join("".join(draw.choice("abcdefgé") for _ in range(9)) for _ in range(60)) for _ in range(500)]
+    encoder = tokens.Encoder(VOCABULARY)
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    got = [ids[a:b] for ids, n in encoder.encode(pa.array(texts)) for a, b in zip(np.cumsum(n) - n, np.cumsum(n), strict=True)]
+    assert all([*ids, 0] == plain(t).tolist() for ids, t in zip(got, texts, strict=True))
+    del got
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 75 * 30_000
+
+
+@pytest.mark.parametrize("text", ["語の文 ", "two  spaces ", "aa\t\tbb "])
+def test_the_tokenizer_gets_bounded_runs(plain, monkeypatch, text):
+    monkeypatch.setattr(tokens, "AT_A_TIME", 2000)
+    encoder, sent = tokens.Encoder(VOCABULARY), []
+    inner = encoder.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            sent.append(sum(map(len, texts)))
+            return inner.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Watched()
+    texts = [text * i + str(i) for i in range(60)] * 4 + [text * 900]
+    (ids, counts), = encoder.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    assert all([*ids[a:b], 0] == plain(t).tolist() for t, a, b in zip(texts, ends - counts, ends, strict=True))
+    assert max(sent) <= max(2000, len(text) * 900) and (sum(sent) < sum(map(len, texts)) or len(sent) > 10)
+
+
+def test_words_are_found_after_they_have_grown_old(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 40)
+    texts = ["one two three four", "five six  seven", "", "one two\n\nsix é", "eight nine ten", "two four ten five one"] * 3
+    got = list(tokens.documents(VOCABULARY, pa.array(texts), 0))
+    assert all(np.array_equal(a, plain(t)) for a, t in zip(got, texts, strict=True))
+
+
 def test_late_passes_look_at_few_places(monkeypatch):
     draw = np.random.default_rng(11)
     ids = np.minimum(draw.zipf(1.5, 200_000), 3000).astype(np.uint32)

@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes handled at a time, and words remembered by a worker (twice that for a moment).
-CHUNK_BYTES = 8 << 20
-REMEMBERED = 350_000
-#: Words that the tokenizer gets in one text.
+#: Text bytes handled at a time, and words remembered by a worker (twice that for a moment), of so many bytes at most.
+CHUNK_BYTES = 4 << 20
+REMEMBERED, REMEMBERED_BYTES = 350_000, 16 << 20
+#: Words that the tokenizer gets in one text, and characters that it or the rule in Python gets at a time.
 TOGETHER = 1000
+AT_A_TIME = 1 << 18
 #: White space, letters and digits below U+0250, as the vocabulary's rule sees them.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
@@ -36,6 +37,46 @@ MARK = "\0"
 #: RE2: characters that the rule above does not know or that mark the cuts, and uncertain white space.
 UNKNOWN = r"[^\x01-\x{24f}]"
 UNCERTAIN = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}](?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}]|$)"
+#: A word of a space and something that is not white space.
+SPACED = r"^ [^\x09-\x0d\x1c-\x20\x{85}\x{a0}]"
+
+
+class Memory:
+    """Distinct words and their ids, flat: a few bytes a word instead of some objects."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.string())
+        self.ids = np.zeros(0, dtype="<u4")
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Places of words, -1 for those not there."""
+        return np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Words that are not there yet."""
+        if len(words):
+            self.words = pa.concat_arrays([self.words, words])
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.ids = np.concatenate((self.ids, ids))
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[at]
+        return gather(self.ids, self.starts[at], lengths), lengths
+
+
+def runs(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of about ``AT_A_TIME`` characters, a longer text on its own; short ones count as ten."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size + max(len(text), 10) > AT_A_TIME and i > start:
+            yield texts[start:i]
+            start, size = i, 0
+        size += max(len(text), 10)
+    if texts:
+        yield texts[start:]
 
 
 class Encoder:
@@ -52,45 +93,59 @@ class Encoder:
         # a token is written with one character for each of its bytes
         self.bytes = np.zeros(max(words.values(), default=0) + 1, dtype=np.int64)
         self.bytes[list(words.values())] = [len(token) for token in words]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = Memory(), Memory()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of texts; what the tokenizer returns takes a hundred bytes a token, so it goes run by run."""
+        return [
+            array("I", e.ids).tobytes()
+            for run in runs(texts)
+            for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)
+        ]
+
+    def _apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that the rule cuts apart again: a space and something that is not white space."""
-        if not words:
-            return []
-        texts = ["".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
-        found = b"".join(self._whole(texts))
-        length = np.fromiter((len(w.encode()) for w in words), dtype=np.int64, count=len(words))
-        after = np.cumsum(self.bytes[np.frombuffer(found, dtype="<u4")])
-        ends = (4 * (np.searchsorted(after, np.cumsum(length)) + 1)).tolist()
-        return [found[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _remember(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words by word, for the given ones at least."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
+        edges = pa.array([*range(0, len(words), TOGETHER), len(words)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(edges, words), "").to_pylist()
+        ids = np.frombuffer(b"".join(self._whole(texts) if texts else []), dtype="<u4")
+        after = np.cumsum(np.asarray(pc.binary_length(words)), dtype=np.int64)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), after) + 1, prepend=0)
+
+    def _alone(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self._whole(words.to_pylist())
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        return np.frombuffer(b"".join(found), dtype="<u4"), lengths
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words; those not met before are remembered."""
+        if len(self.young.words) > REMEMBERED or self.young.words.nbytes > REMEMBERED_BYTES:
+            self.young, self.old = Memory(), self.young
         young, old = self.young, self.old
-        apart, alone = [], []
-        for word in words:
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    (apart if word[:1] == " " and word[1:2].strip() else alone).append(word)
-        young.update(zip(apart, self._apart(apart), strict=True))
-        young.update(zip(alone, self._whole(alone), strict=True))
-        return young
+        at = young.find(words)
+        missing = np.flatnonzero(at < 0)
+        before = old.find(words.take(pa.array(missing)))
+        met, new = before >= 0, missing[before < 0]
+        apart = np.asarray(pc.match_substring_regex(words.take(pa.array(new)), SPACED))
+        for which, look_up in (
+            (missing[met], lambda _: old.get(before[met])),
+            (new[apart], self._apart),
+            (new[~apart], self._alone),
+        ):
+            at[which] = len(young.words) + np.arange(len(which))
+            part = words.take(pa.array(which))
+            young.add(part, *look_up(part))
+        return young.get(at)
 
     def _cut(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that the rule can cut into words."""
-        words = [WORDS.findall(t) for t in texts]
-        known = self._remember(list({w for ws in words for w in ws}))
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        out = []
+        for run in runs(texts):
+            words = [WORDS.findall(t) for t in run]
+            encoded = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
+            ids, ends = _each(encoded, *self._known(encoded.dictionary))
+            ends = ends[np.cumsum([0, *map(len, words)])].tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        return out
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of consecutive texts: all ids in one array, and the number of ids of each text."""
@@ -99,6 +154,7 @@ class Encoder:
         edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(texts)] if len(texts) else []
         for a, b in zip(edges, edges[1:], strict=False):
             yield self._chunk(pc.fill_null(texts.slice(a, b - a), "").cast(pa.string()))
+            pa.default_memory_pool().release_unused()  # else freed pages stay with the worker
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         unknown = np.asarray(pc.match_substring_regex(texts, UNKNOWN))
@@ -132,13 +188,6 @@ class Encoder:
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self._parts(texts, pc.replace_substring_regex(texts, RE2_RULE, f"{MARK}\\0"), self._known)
 
-    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words = words.to_numpy(zero_copy_only=False).tolist()
-        known = self._remember(words)
-        found = [known[w] for w in words]
-        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        return np.frombuffer(b"".join(found), dtype="<u4"), length
-
     @staticmethod
     def _parts(texts: pa.Array, marked: pa.Array, look_up: Callable) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts from those of their parts between marks; every distinct part is looked up once."""
@@ -147,20 +196,26 @@ class Encoder:
         lists = pc.split_pattern(marked, MARK)
         offsets = np.asarray(lists.offsets).astype(np.int64)
         encoded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        flat, length = look_up(encoded.dictionary)
-        which = np.asarray(encoded.indices)
-        counts = length[which]
-        ids = gather(flat, (np.cumsum(length) - length)[which], counts)
-        ends = np.concatenate(([0], np.cumsum(counts)))
+        del lists
+        ids, ends = _each(encoded, *look_up(encoded.dictionary))
         offsets -= offsets[0]
         return ids, ends[offsets[1:]] - ends[offsets[:-1]]
 
 
+def _each(encoded: pa.DictionaryArray, flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in order from those of the distinct ones, and where each word ends, 0 first."""
+    which = np.asarray(encoded.indices)
+    counts = length[which]
+    ids = gather(flat, (np.cumsum(length) - length)[which], counts)
+    return ids, np.concatenate(([0], np.cumsum(counts)))
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices ``flat[start : start + length]``, one after another."""
     ends = np.cumsum(lengths)
-    shift = starts - (ends - lengths)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, lengths)]
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 @lru_cache(maxsize=2)
