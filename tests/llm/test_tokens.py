@@ -207,3 +207,24 @@ def test_late_passes_look_at_few_places(monkeypatch):
     rules, symbols = repair.compress(ids, 50_257)
     assert (repair.expand(symbols, rules, 50_257) == ids).all()
     assert len(looked_at) > 4 and looked_at[-1] < len(symbols) / 5
+
+
+@pytest.mark.parametrize("room", [400, 2000])
+def test_late_passes_look_at_few_places_where_symbols_run_out(monkeypatch, room):
+    draw = np.random.default_rng(12)
+    ids = np.minimum(draw.zipf(1.3, 200_000), 3000).astype(np.uint32)
+    looked_at = []
+    among = repair._among
+    monkeypatch.setattr(repair, "_among", lambda pairs, key: looked_at.append(len(key)) or among(pairs, key))
+    base = repair.SYMBOLS - room
+    rules, symbols = repair.compress(ids, base)
+    assert (repair.expand(symbols, rules, base) == ids).all() and len(rules) == room
+    assert looked_at[-1] < 0.5 * len(symbols)
+
+
+def test_counts_of_values():
+    draw = np.random.default_rng(4)
+    for size in (0, 1, 2, 500):
+        values = draw.integers(0, 40, size).astype(np.uint32)
+        got, want = repair._counted(values), np.unique(values, return_counts=True)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))

@@ -55,9 +55,13 @@ def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     beats_next, beats_last = np.ones(len(at), dtype=bool), np.ones(len(at), dtype=bool)
     beats_next[:-1] = ~touches | ~higher
     beats_last[1:] = ~touches | higher | equal
-    repeated = np.append(False, touches & equal)
-    start = np.maximum.accumulate(np.where(repeated, 0, np.arange(len(at))))
-    won = np.flatnonzero(beats_next & beats_last & ((np.arange(len(at)) - start) % 2 == 0))
+    wins = beats_next & beats_last
+    # within a run of overlaps the first stands before ``repeated``
+    repeated = np.flatnonzero(touches & equal) + 1
+    begins = np.diff(repeated, prepend=-1) != 1
+    place = np.arange(len(repeated))
+    wins[repeated[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]] = False
+    won = np.flatnonzero(wins)
     # the end of a run may still touch what stands before it
     return won[np.append(True, np.diff(at[won]) > 1)] if len(won) else won
 
@@ -81,6 +85,14 @@ def _among(pairs: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[same], which[same]
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, rising, and how often each occurs: sorting is faster than counting one by one."""
+    in_order = np.sort(values)
+    edge = np.flatnonzero(in_order[1:] != in_order[:-1]) + 1
+    edge = np.concatenate(([0], edge)) if len(values) else edge
+    return in_order[edge], np.diff(edge, append=len(values))
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """``rules`` (pairs of symbols; rule i makes symbol ``base + i``) and the ``symbols`` that are left.
 
@@ -97,30 +109,37 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         often = max(often // 8, FREQUENT)
         if live is None:
             # a pair is no more frequent than its rarer half
-            common = np.bincount(x, minlength=SYMBOLS) >= often
+            ids_there, count = _counted(x)
+            common = np.zeros(SYMBOLS, dtype=bool)
+            common[ids_there[count >= often]] = True
             common[END_ID] = False
             inside = common.take(x)
-            at = np.flatnonzero(inside[:-1] & inside[1:])
+            looked_at = inside[:-1] & inside[1:]
+            at = np.flatnonzero(looked_at)
+            key = ((x[:-1].astype(np.uint32) << 16) | x[1:])[looked_at]
         else:
             at = live[(x[live] != END_ID) & (x[1:][live] != END_ID)]
-        key = (x[at].astype(np.uint32) << 16) | x[1:][at]
-        in_order = np.sort(key)
-        edge = np.flatnonzero(np.concatenate(([True], in_order[1:] != in_order[:-1]))) if len(key) else at
-        count = np.diff(np.append(edge, len(key)))
-        frequent = np.flatnonzero(count >= often)
-        if not len(frequent):
+            key = (x[at].astype(np.uint32) << 16) | x[1:][at]
+        pairs, weight = _counted(key)
+        frequent = weight >= often
+        pairs, weight = pairs[frequent], weight[frequent]
+        if not len(pairs):
             if often == FREQUENT:
                 break
             continue
-        most = np.argsort(-count[frequent], kind="stable")[: SYMBOLS - base - n_rules]
-        # pairs that find no symbol left may find one in the next pass
-        known = often == FREQUENT and len(most) == len(frequent)
-        frequent = np.sort(frequent[most])
-        pairs, weight = in_order[edge[frequent]], count[frequent]
         hit, which = _among(pairs, key)
         at = at[hit]
         stays = np.zeros(len(x), dtype=bool)
         stays[at] = True
+        room = SYMBOLS - base - n_rules
+        if len(pairs) > room:
+            # pairs that find no symbol left stay and may find one in the next pass
+            most = np.sort(np.argsort(-weight, kind="stable")[:room])
+            number = np.full(len(pairs), -1, dtype=np.int32)
+            number[most] = np.arange(room, dtype=np.int32)
+            which = number[which]
+            at, which = at[which >= 0], which[which >= 0]
+            pairs, weight = pairs[most], weight[most]
         won = _winners(at, (weight * len(pairs) + np.arange(len(pairs)))[which])
         at, which = at[won], which[won]
         used = np.bincount(which, minlength=len(pairs)) > 1
@@ -131,7 +150,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         keep = np.ones(len(x), dtype=bool)
         keep[at + 1] = False
         x = x[keep]
-        live = np.flatnonzero(stays[keep][:-1]) if known else None
+        live = np.flatnonzero(stays[keep][:-1]) if often == FREQUENT else None
         rules.append(np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], axis=1).astype("<u2"))
         n_rules += int(used.sum())
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u2")), x.astype("<u2")
