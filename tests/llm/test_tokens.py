@@ -228,3 +228,25 @@ def test_counts_of_values():
         values = draw.integers(0, 40, size).astype(np.uint32)
         got, want = repair._counted(values), np.unique(values, return_counts=True)
         assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_remembered_words_are_found_by_marks():
+    draw = random.Random(21)
+    known = list({"".join(draw.choices("abé語 ", k=draw.choice([0, 1, 5, 9, 70, 200]))) for _ in range(40_000)})
+    assert len(set(tokens.marks(pa.array(known)).tolist())) == len(known) > tokens.MARKED
+    assert not len(tokens.marks(pa.array([], pa.string())))
+    memory, held = tokens.Memory(), {}
+    for start in range(0, len(known) // 2, 3000):
+        part = pa.array(["", *known], pa.string()).slice(start + 1, 3000)
+        memory.add(part, tokens.marks(part), np.arange(3000, dtype="<u4"), np.ones(3000, dtype=np.int64))
+        held |= {w: start + i for i, w in enumerate(part.to_pylist())}
+    got = memory.find(pa.array(known), tokens.marks(pa.array(known)))
+    assert got.tolist() == [held.get(w, -1) for w in known] and -1 in got
+
+
+def test_words_of_one_mark_keep_their_ids(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "marks", lambda words: np.asarray(tokens.pc.binary_length(words)).astype(np.uint64))
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 40)
+    texts = ["one two six ten", "ten two nine eight", "", "two  one\n\nsix é", "eight nine ten", "the for and you one"] * 3
+    got = list(tokens.documents(VOCABULARY, pa.array(texts), 0))
+    assert all(np.array_equal(a, plain(t)) for a, t in zip(got, texts, strict=True))

@@ -39,27 +39,64 @@ UNKNOWN = r"[^\x01-\x{24f}]"
 UNCERTAIN = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}](?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}]|$)"
 #: A word of a space and something that is not white space.
 SPACED = r"^ [^\x09-\x0d\x1c-\x20\x{85}\x{a0}]"
+#: A number drawn for every byte at each of 64 places, and words that are marked at a time.
+DRAWN = np.random.default_rng(64).integers(0, 1 << 64, 64 * 256, dtype=np.uint64)
+MARKED = 1 << 14
+
+
+def marks(words: pa.Array) -> np.ndarray:
+    """A number for each word, by which it is looked up; different words hardly ever share one."""
+    found = [np.zeros(0, dtype=np.uint64)]
+    for start in range(0, len(words), MARKED):
+        part = words.slice(start, MARKED)
+        _, offsets, data = part.buffers()
+        edges = np.frombuffer(offsets, dtype=np.int32)[part.offset : part.offset + len(part) + 1]
+        held = np.frombuffer(data or b"", dtype=np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        place = np.arange(len(held), dtype=np.int32) - np.repeat(edges[:-1], np.diff(edges))
+        drawn = DRAWN[((place & 63) << 8) | held] * (2 * (place >> 6) + 1).astype(np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(drawn))
+        found.append(sums[edges[1:]] - sums[edges[:-1]])
+    return np.concatenate(found)
 
 
 class Memory:
-    """Distinct words and their ids, flat: a few bytes a word instead of some objects."""
+    """Distinct words and their ids, flat: a few bytes a word instead of some objects.
+
+    Words are found by their marks, kept in order, and then compared; no table of all words is made for each batch.
+    """
 
     def __init__(self):
+        self.marks = np.zeros(0, dtype=np.uint64)
+        self.places = np.zeros(0, dtype=np.int32)
         self.words = pa.array([], pa.string())
         self.ids = np.zeros(0, dtype="<u4")
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.lengths = np.zeros(0, dtype=np.int64)
-
-    def find(self, words: pa.Array) -> np.ndarray:
-        """Places of words, -1 for those not there."""
-        return np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
-
-    def add(self, words: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Words that are not there yet."""
+        self.starts = np.zeros(0, dtype=np.int32)
+        self.lengths = np.zeros(0, dtype=np.int32)
+
+    def find(self, words: pa.Array, marked: np.ndarray) -> np.ndarray:
+        """Places of words, -1 for those not there or behind another word of the same mark."""
+        found = np.full(len(words), -1, dtype=np.int64)
+        if len(words) and len(self.words):
+            order = np.argsort(marked)
+            at = np.minimum(np.searchsorted(self.marks, marked[order]), len(self.marks) - 1)
+            there = self.marks[at] == marked[order]
+            order, at = order[there], self.places[at[there]]
+            same = np.asarray(pc.equal(words.take(pa.array(order)), self.words.take(pa.array(at))))
+            found[order[same]] = at[same]
+        return found
+
+    def add(self, words: pa.Array, marked: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Words that were not found."""
         if len(words):
+            order = np.argsort(marked)
+            before = np.searchsorted(self.marks, marked[order], side="right")
+            self.marks = np.insert(self.marks, before, marked[order])
+            self.places = np.insert(self.places, before, len(self.words) + order)
             self.words = pa.concat_arrays([self.words, words])
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
-            self.lengths = np.concatenate((self.lengths, lengths))
+            starts = len(self.ids) + np.cumsum(lengths) - lengths
+            self.starts = np.concatenate((self.starts, starts.astype(np.int32)))
+            self.lengths = np.concatenate((self.lengths, lengths.astype(np.int32)))
             self.ids = np.concatenate((self.ids, ids))
 
     def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,10 +157,10 @@ class Encoder:
         """Ids of distinct words; those not met before are remembered."""
         if len(self.young.words) > REMEMBERED or self.young.words.nbytes > REMEMBERED_BYTES:
             self.young, self.old = Memory(), self.young
-        young, old = self.young, self.old
-        at = young.find(words)
+        young, old, marked = self.young, self.old, marks(words)
+        at = young.find(words, marked)
         missing = np.flatnonzero(at < 0)
-        before = old.find(words.take(pa.array(missing)))
+        before = old.find(words.take(pa.array(missing)), marked[missing])
         met, new = before >= 0, missing[before < 0]
         apart = np.asarray(pc.match_substring_regex(words.take(pa.array(new)), SPACED))
         for which, look_up in (
@@ -133,7 +170,7 @@ class Encoder:
         ):
             at[which] = len(young.words) + np.arange(len(which))
             part = words.take(pa.array(which))
-            young.add(part, *look_up(part))
+            young.add(part, marked[which], *look_up(part))
         return young.get(at)
 
     def _cut(self, texts: list[str]) -> list[bytes]:
